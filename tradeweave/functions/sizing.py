@@ -1,0 +1,27 @@
+"""Broadcast only what is known to be small."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate, an upper bound for scans, filters and projections."""
+    stats = df._jdf.queryExecution().optimizedPlan().stats()
+    return int(str(stats.sizeInBytes()))
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    # the setting may read "10MB" or "-1"; Spark turns it into bytes itself
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
+    return conf.autoBroadcastJoinThreshold()
+
+
+def broadcast_if_small(df: DataFrame, measured_on: DataFrame | None = None) -> DataFrame:
+    """Broadcast hint when the planned size is under Spark's own threshold.
+
+    ``measured_on`` names the frame whose size bounds this one, for a dimension whose own
+    estimate is inflated by a join that adds no rows.  Above the threshold the frame is
+    returned as it is and Spark joins by shuffle.
+    """
+    bound = planned_bytes(measured_on if measured_on is not None else df)
+    return F.broadcast(df) if bound <= broadcast_limit(df) else df
