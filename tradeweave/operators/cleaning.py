@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tradeweave import labels as L
 from tradeweave.functions.dates import as_moment, elapsed_days, month_of
 from tradeweave.functions.rounding import ratio
-from tradeweave.functions.sizing import broadcast_if_small
 from tradeweave.functions.text import title_case
-from tradeweave.plans.ordering import grouped_quantiles
+from tradeweave.plans.joins import skew_join
+from tradeweave.plans.quantiles import grouped_quantiles
 from tradeweave.schemas import STAR
 
 
@@ -46,13 +46,8 @@ def clean_customers(raw: DataFrame) -> DataFrame:
 
 def clean_products(raw: DataFrame, translation: DataFrame) -> DataFrame:
     """Products with English categories; a category without translation becomes 'other'."""
-    named = keep_first(raw, "product_id").join(
-        broadcast_if_small(translation.select(
-            "product_category_name", "product_category_name_english"
-        )),
-        "product_category_name",
-        "left",
-    )
+    names = translation.select("product_category_name", "product_category_name_english")
+    named = skew_join(keep_first(raw, "product_id"), names, "product_category_name", "left")
     return conform(
         named.withColumnsRenamed(
             {

@@ -8,24 +8,25 @@ from pyspark.sql import functions as F
 from tradeweave.functions.rounding import ratio
 from tradeweave.operators.customers import cohort_activity
 from tradeweave.plans.grains import delivered, rows
+from tradeweave.plans.joins import attach, skew_join
 from tradeweave.plans.star import Star
 
 
 def cohort_orders(star: Star) -> DataFrame:
     """Every delivered order with its buyer and the buyer's first month."""
     accounts = star.customers.select("customer_id", "customer_unique_id")
-    sold = delivered(star.orders).select("customer_id", "order_month")
+    sold = delivered(star.orders).select("order_id", "customer_id", "order_month")
     # first months are summed up per account before accounts meet their person
     firsts = (
         sold.groupBy("customer_id")
         .agg(F.min("order_month").alias("first"))
-        .join(accounts, "customer_id")
+        .transform(lambda df: attach(df, accounts, "customer_id"))
         .groupBy("customer_unique_id")
         .agg(F.min("first").alias("cohort_month"))
     )
+    owned = skew_join(sold, accounts, "customer_id")
     return (
-        sold.join(accounts, "customer_id")
-        .join(firsts, "customer_unique_id")
+        skew_join(owned, firsts, "customer_unique_id")
         .select("customer_unique_id", "cohort_month", "order_month")
     )
 

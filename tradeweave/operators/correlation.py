@@ -29,7 +29,8 @@ from tradeweave.plans.fanout import (
     per_order,
     scatters,
 )
-from tradeweave.plans.grains import rows
+from tradeweave.plans.grains import account_states, rows
+from tradeweave.plans.joins import skew_join
 from tradeweave.plans.ordering import durable, running
 from tradeweave.plans.star import Star
 
@@ -44,12 +45,12 @@ def analysis_base(star: Star) -> DataFrame:
     products = star.products.select(
         "product_id", "product_weight_g", F.col("product_category_english").alias("category")
     )
-    states = star.customers.select("customer_id", "customer_state")
-    orders = analysis_orders(star).join(states, "customer_id")
+    orders = skew_join(analysis_orders(star), account_states(star), "customer_id")
+    scores = star.reviews.select("order_id", "review_id", "review_score")
+    items = skew_join(star.items, products, "product_id")
+    placed = skew_join(items, orders, "order_id", measured=star.items)
     return (
-        star.items.join(products, "product_id")
-        .join(orders, "order_id")
-        .join(star.reviews.select("order_id", "review_id", "review_score"), "order_id")
+        skew_join(placed, scores, "order_id", measured=star.items)
         .select(
             "order_id",
             "delivery_days_actual",
@@ -102,7 +103,8 @@ def ranked(lv: Levels) -> Levels:
     """
     k = lv.items.groupBy("order_id").agg(rows().alias("k"))
     r = lv.reviews.groupBy("order_id").agg(rows().alias("r"))
-    paired = lv.orders.join(k, "order_id").join(r, "order_id")
+    # one narrow row per order, needed by all three levels below
+    paired = durable(lv.orders.join(k, "order_id").join(r, "order_id"))
     counts = paired.select("order_id", "k", "r")
 
     def weighed(df: DataFrame, names: list[str], weight: Column) -> DataFrame:
@@ -114,8 +116,8 @@ def ranked(lv: Levels) -> Levels:
     weights = {ORDER: F.col("k") * F.col("r"), ITEM: F.col("r"), REVIEW: F.col("k")}
     sources = {
         ORDER: paired,
-        ITEM: lv.items.join(counts, "order_id"),
-        REVIEW: lv.reviews.join(counts, "order_id"),
+        ITEM: skew_join(lv.items, counts, "order_id"),
+        REVIEW: skew_join(lv.reviews, counts, "order_id"),
     }
     parts = [weighed(sources[lvl], lv.at(lvl), weights[lvl]) for lvl in sources if lv.at(lvl)]
     seen = parts[0]
@@ -129,24 +131,25 @@ def ranked(lv: Levels) -> Levels:
             "variable",
             "value",
             ((F.col("before") - F.col("start")) * 2 + F.col("rows") + 1)
-            .cast("decimal(14,0)")
+            .cast("double")
             .alias("rank"),
         )
     )
     sizes = {row["variable"]: row["count"] for row in ranks.groupBy("variable").count().collect()}
 
-    def replace(level: str) -> DataFrame:
-        df = lv.frame(level)
+    def replace(source: Levels, level: str) -> DataFrame:
+        df = source.frame(level)
         for name in lv.at(level):
             table = ranks.filter(F.col("variable") == name).select(
                 F.col("value").alias(name), F.col("rank").alias(f"{name}_rank")
             )
-            if sizes.get(name, 0) <= BROADCAST_VALUES:
-                table = F.broadcast(table)
-            df = df.join(table, name).drop(name).withColumnRenamed(f"{name}_rank", name)
+            known = sizes.get(name, 0) <= BROADCAST_VALUES
+            df = df.join(F.broadcast(table), name) if known else skew_join(df, table, name)
+            df = df.drop(name).withColumnRenamed(f"{name}_rank", name)
         return df
 
-    return Levels(replace(ORDER), replace(ITEM), replace(REVIEW), lv.variables)
+    found = Levels(paired.drop("k", "r"), lv.items, lv.reviews, lv.variables)
+    return Levels(*[replace(found, level) for level in (ORDER, ITEM, REVIEW)], lv.variables)
 
 
 def welch_late_vs_ontime(star: Star) -> DataFrame:
@@ -262,10 +265,10 @@ def scatter_sample(star: Star, size: int = 5000) -> DataFrame:
         "product_id", "product_weight_g"
     )
     digest = F.md5(F.concat_ws("|", "order_id", "order_item_id", "product_id", "review_id"))
+    items = skew_join(star.items, weights, "product_id")
+    placed = skew_join(items, orders, "order_id", measured=star.items)
     return (
-        star.items.join(weights, "product_id")
-        .join(orders, "order_id")
-        .join(star.reviews.select("order_id", "review_id"), "order_id")
+        skew_join(placed, star.reviews.select("order_id", "review_id"), "order_id", measured=star.items)
         .select("product_weight_g", "delivery_days_actual", digest.alias("digest"))
         .orderBy("digest")
         .limit(size)

@@ -8,6 +8,7 @@ from tradeweave.functions.buckets import pick, segment_of
 from tradeweave.functions.dates import month_index
 from tradeweave.functions.rounding import cents, mean_money, percent, ratio
 from tradeweave.plans.grains import delivered, person_sales, rows
+from tradeweave.plans.joins import attach
 from tradeweave.plans.ordering import tiled
 from tradeweave.plans.star import Star
 
@@ -90,7 +91,9 @@ def person_months(star: Star) -> DataFrame:
         .agg(F.collect_set("order_month").alias("months"))
     )
     return (
-        per_account.join(star.customers.select("customer_id", "customer_unique_id"), "customer_id")
+        attach(
+            per_account, star.customers.select("customer_id", "customer_unique_id"), "customer_id"
+        )
         .select("customer_unique_id", F.explode("months").alias("month"))
         .groupBy("customer_unique_id")
         .agg(F.collect_set("month").alias("months"))

@@ -7,6 +7,7 @@ from tradeweave import labels as L
 from tradeweave.functions.buckets import delivery_bucket, pick, weight_bucket
 from tradeweave.functions.rounding import cents, mean_money, percent, ratio
 from tradeweave.plans.grains import (
+    account_states,
     delivered,
     item_sums,
     reviewed_orders,
@@ -14,6 +15,7 @@ from tradeweave.plans.grains import (
     rows,
     state_deliveries,
 )
+from tradeweave.plans.joins import attach, skew_join
 from tradeweave.plans.ordering import durable, ntile_at
 from tradeweave.plans.star import Star
 
@@ -111,7 +113,7 @@ def freight_by_state_weight(star: Star) -> DataFrame:
         "product_id", weight_bucket(F.col("product_weight_g")).alias("weight_bucket")
     )
     lines = (
-        star.items.join(weights, "product_id")
+        skew_join(star.items, weights, "product_id")
         .groupBy("order_id", "weight_bucket")
         .agg(*item_sums())
     )
@@ -128,7 +130,7 @@ def freight_by_state_weight(star: Star) -> DataFrame:
         .agg(*[F.sum(name).alias(name) for name in sums])
     )
     return (
-        per_account.join(star.customers.select("customer_id", "customer_state"), "customer_id")
+        attach(per_account, account_states(star), "customer_id")
         .groupBy("customer_state", "weight_bucket")
         .agg(*[F.sum(name).alias(name) for name in sums])
         .select(
@@ -160,7 +162,7 @@ def seller_reliability(
     lines = star.items.groupBy("order_id", "seller_id").agg(*item_sums())
     sums = reviewed_sums(lines, timed, "seller_id").filter(F.col("orders") >= min_orders)
     sellers = durable(
-        sums.join(star.sellers, "seller_id").select(
+        attach(sums, star.sellers, "seller_id").select(
             "seller_id",
             "seller_city",
             "seller_state",

@@ -8,10 +8,10 @@ from tradeweave.plans.grains import (
     account_sales,
     category_sales,
     delivered,
-    order_sales,
     rows,
     state_deliveries,
 )
+from tradeweave.plans.joins import skew_join
 from tradeweave.plans.star import Star
 
 
@@ -20,7 +20,7 @@ def baseline_kpis(star: Star) -> DataFrame:
     orders = delivered(star.orders).select("order_id", "customer_id")
     sold = star.items.select("order_id", "product_id", "seller_id", "total_value")
     return (
-        sold.join(orders, "order_id")
+        skew_join(sold, orders, "order_id")
         .agg(
             F.count_distinct("order_id").alias("total_orders"),
             F.count_distinct("customer_id").alias("total_customers"),

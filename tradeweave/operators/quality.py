@@ -84,10 +84,12 @@ def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
 def with_surrogate_key(df: DataFrame, table: str) -> DataFrame:
     """Numbers the rows of a table without a natural key from 1, in column order.
 
-    The order takes in every column, so only identical rows could swap numbers.
+    The order takes in every column, so only identical rows could swap numbers; their place
+    of arrival still tells them apart and lets many copies spread over tasks.
     """
-    ordered = numbered(df, *[f.name for f in STAR[table].fields])
-    return ordered.withColumnRenamed("position", SURROGATE_KEYS[table]).drop("n")
+    arriving = df.withColumn("arrival", F.monotonically_increasing_id())
+    ordered = numbered(arriving, *[f.name for f in STAR[table].fields], "arrival")
+    return ordered.withColumnRenamed("position", SURROGATE_KEYS[table]).drop("n", "arrival")
 
 
 def surrogate_keys(star: Star) -> DataFrame:

@@ -7,10 +7,12 @@ from tradeweave.functions.rounding import cents, mean_money, percent, ratio
 from tradeweave.plans.grains import (
     category_lines,
     item_sums,
+    product_categories,
     reviewed_orders,
     reviewed_sums,
     rows,
 )
+from tradeweave.plans.joins import attach, skew_join
 from tradeweave.plans.ordering import running, tiled
 from tradeweave.plans.star import Star
 
@@ -19,7 +21,7 @@ def seller_sums(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
     """Item-by-review sums of delivered orders per seller, with city and state."""
     lines = star.items.groupBy("order_id", "seller_id").agg(*item_sums())
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
-    return reviewed_sums(lines, orders, "seller_id").join(star.sellers, "seller_id")
+    return attach(reviewed_sums(lines, orders, "seller_id"), star.sellers, "seller_id")
 
 
 def seller_performance(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
@@ -46,7 +48,7 @@ def seller_performance(star: Star, *, dedupe_reviews: bool = False) -> DataFrame
     standing = _revenue_standing(tiles)
     total = tiles.agg(F.sum("total_revenue").alias("all_revenue"))
     return (
-        tiles.join(standing, "total_revenue")
+        skew_join(tiles, standing, "total_revenue")
         .crossJoin(F.broadcast(total))  # one row
         .withColumns(
             {
@@ -109,12 +111,9 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
     pairs are formed once per distinct set and weighted by its count, instead of once per
     order.  Pairing a category with itself gives its number of orders in the same pass.
     """
-    categories = star.products.select(
-        "product_id", F.col("product_category_english").alias("category")
-    )
+    lines = star.items.select("order_id", "product_id")
     baskets = (
-        star.items.select("order_id", "product_id")
-        .join(categories, "product_id")
+        skew_join(lines, product_categories(star), "product_id")
         .filter(F.col("category").isNotNull())
         .groupBy("order_id")
         .agg(F.sort_array(F.collect_set("category")).alias("basket"))
@@ -151,7 +150,8 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
 def seller_state_summary(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
     """Sellers, orders and revenue per seller state; one row per state."""
     states = star.sellers.select("seller_id", "seller_state")
-    lines = star.items.groupBy("order_id", "seller_id").agg(*item_sums()).join(states, "seller_id")
+    by_seller = star.items.groupBy("order_id", "seller_id").agg(*item_sums())
+    lines = skew_join(by_seller, states, "seller_id", measured=star.items)
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
     sums = reviewed_sums(
         lines,
@@ -176,10 +176,8 @@ def top_products(star: Star, top: int = 30, *, dedupe_reviews: bool = False) ->
     """Products with the highest revenue; only the kept rows are ranked."""
     lines = star.items.groupBy("order_id", "product_id").agg(*item_sums())
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
-    names = star.products.select("product_id", F.col("product_category_english").alias("category"))
     return (
-        reviewed_sums(lines, orders, "product_id")
-        .join(names, "product_id")
+        attach(reviewed_sums(lines, orders, "product_id"), product_categories(star), "product_id")
         .orderBy(F.desc("revenue"), "product_id")
         .limit(top)
         .select(

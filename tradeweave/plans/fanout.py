@@ -3,7 +3,8 @@
 The analysis looks at every pairing of an order's items with its reviews.  A figure over
 those pairings is a product of a sum over items and a sum over reviews, so items and
 reviews are summed per order first and an order with very many of both stays one row.
-All values are whole numbers (days, grams, cents, scores), so sums are exact.
+All values are whole numbers (days, grams, cents, scores) held as doubles, so sums are
+exact up to 2**53 and independent of row order until then.
 """
 
 from dataclasses import dataclass
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tradeweave.functions.stats import scatter
 from tradeweave.plans.grains import delivered, rows
+from tradeweave.plans.joins import skew_join
 from tradeweave.plans.star import Star
 
 ORDER, ITEM, REVIEW = "order", "item", "review"
@@ -31,11 +33,10 @@ MAX_DAYS = 60
 
 def analysis_orders(star: Star, max_days: int = MAX_DAYS) -> DataFrame:
     """Delivered orders of known customers that took between 0 and ``max_days`` days."""
-    return (
-        delivered(star.orders)
-        .filter(F.col("delivery_days_actual").between(0, max_days))
-        .join(star.customers.select("customer_id"), "customer_id", "left_semi")
+    timely = delivered(star.orders).filter(
+        F.col("delivery_days_actual").between(0, max_days)
     )
+    return skew_join(timely, star.customers.select("customer_id"), "customer_id", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ class Levels:
 def levels(star: Star, *variables: str) -> Levels:
     def whole(name: str) -> Column:
         column = F.col(name) * 100 if name in MONEY else F.col(name)
-        return column.cast("decimal(14,0)").alias(name)
+        return column.cast("double").alias(name)
 
     def complete(df: DataFrame, level: str, *keep: str) -> DataFrame:
         names = [v for v in variables if LEVELS[v] == level]
@@ -67,7 +68,7 @@ def levels(star: Star, *variables: str) -> Levels:
     weights = star.products.select("product_id", "product_weight_g")
     return Levels(
         complete(analysis_orders(star), ORDER, "is_late_delivery"),
-        complete(star.items.join(weights, "product_id"), ITEM),
+        complete(skew_join(star.items, weights, "product_id"), ITEM),
         complete(star.reviews, REVIEW),
         tuple(variables),
     )
@@ -92,13 +93,9 @@ def per_order(lv: Levels) -> DataFrame:
     return lv.orders.join(summed(ITEM, "k"), "order_id").join(summed(REVIEW, "r"), "order_id")
 
 
-def _wide(column: Column) -> Column:
-    return column.cast("decimal(38,0)")
-
-
 def pair_sums(lv: Levels) -> list[Column]:
     """Aggregates over ``per_order`` rows: ``n``, ``x_<v>`` and ``x_<v>_<w>``."""
-    k, r = _wide(F.col("k")), _wide(F.col("r"))
+    k, r = F.col("k").cast("double"), F.col("r").cast("double")
     times = {ORDER: k * r, ITEM: r, REVIEW: k}
 
     def total(a: str) -> Column:
@@ -108,8 +105,8 @@ def pair_sums(lv: Levels) -> list[Column]:
         one, other = LEVELS[a], LEVELS[b]
         if one == other:
             own = F.col(a) * F.col(b) if one == ORDER else F.col(f"s_{a}_{b}")
-            return _wide(own) * times[one]
-        result = _wide(total(a)) * _wide(total(b))
+            return own * times[one]
+        result = total(a) * total(b)
         # a level neither value belongs to repeats the product once per row it has
         for level, count in ((ITEM, k), (REVIEW, r)):
             if level not in (one, other):
@@ -118,8 +115,8 @@ def pair_sums(lv: Levels) -> list[Column]:
 
     names = list(lv.variables)
     return [
-        F.sum(k * r).alias("n"),
-        *[F.sum(_wide(total(a)) * times[LEVELS[a]]).alias(f"x_{a}") for a in names],
+        F.sum(F.col("k") * F.col("r")).alias("n"),
+        *[F.sum(total(a) * times[LEVELS[a]]).alias(f"x_{a}") for a in names],
         *[F.sum(product(a, b)).alias(f"x_{a}_{b}") for a, b in pairs(names)],
     ]
 

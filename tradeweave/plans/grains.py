@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave import labels as L
+from tradeweave.plans.joins import attach, skew_join
 from tradeweave.plans.star import Star
 
 
@@ -55,7 +56,7 @@ def account_sales(star: Star) -> DataFrame:
             F.max(bought).alias("last_order"),
         )
     )
-    return per_account.join(star.customers, "customer_id")
+    return attach(per_account, star.customers, "customer_id")
 
 
 def person_sales(star: Star) -> DataFrame:
@@ -73,12 +74,14 @@ def person_sales(star: Star) -> DataFrame:
     )
 
 
+def product_categories(star: Star) -> DataFrame:
+    return star.products.select("product_id", F.col("product_category_english").alias("category"))
+
+
 def category_lines(star: Star) -> DataFrame:
     """One row per (order, category) with item sums, all order states."""
-    categories = star.products.select("product_id", F.col("product_category_english").alias("category"))
-    return (
-        star.items.join(categories, "product_id").groupBy("order_id", "category").agg(*item_sums())
-    )
+    lines = skew_join(star.items, product_categories(star), "product_id")
+    return lines.groupBy("order_id", "category").agg(*item_sums())
 
 
 def category_sales(star: Star) -> DataFrame:
@@ -161,6 +164,10 @@ def reviewed_sums(
     )
 
 
+def account_states(star: Star) -> DataFrame:
+    return star.customers.select("customer_id", "customer_state")
+
+
 def account_deliveries(star: Star) -> DataFrame:
     """Timed deliveries per account, joined to its state."""
     days, promised, early = (
@@ -184,7 +191,7 @@ def account_deliveries(star: Star) -> DataFrame:
             F.sum("is_late_delivery").alias("late"),
         )
     )
-    return per_account.join(star.customers.select("customer_id", "customer_state"), "customer_id")
+    return attach(per_account, account_states(star), "customer_id")
 
 
 def state_deliveries(star: Star) -> DataFrame:

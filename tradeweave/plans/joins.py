@@ -1,0 +1,103 @@
+"""Joins that hold up when a key is hot or the other side is large.
+
+A side is broadcast only when the files it is read from are smaller than Spark's own
+broadcast threshold; beyond that the join is shuffled, and hot keys are spread.
+"""
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tradeweave.plans.ordering import durable
+
+HEAVY_SHARE = 1000  # a key is heavy above 1/1000 of the rows, so fewer than 1000 keys are
+SAMPLED = 0.01
+BROADCAST_ROWS = 100_000
+
+
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of everything a frame is read from.
+
+    Catalyst multiplies the sizes of both sides of a join, which is far too much for the
+    one-row-per-key lookups frames here are made of; their sources are the better bound.
+    """
+    return sum(int(str(leaf.stats().sizeInBytes())) for leaf in _leaves(df))
+
+
+def _leaves(df: DataFrame, kind: str | None = None) -> list:
+    found = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [found.apply(i) for i in range(found.size())]
+    return [leaf for leaf in leaves if kind is None or leaf.nodeName() == kind]
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether a frame may be broadcast: judged by its sources, or by counting its rows
+    (no further than the limit) where it is read from a checkpoint, which has no size."""
+    # the session parses settings such as "10MB" itself; -1 turns broadcasting off
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if limit >= 0 and _leaves(df, "LogicalRDD"):
+        return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return source_bytes(df) <= limit
+
+
+def attach(df: DataFrame, lookup: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """Joins a lookup to a frame already summed to (about) one row per key."""
+    return df.join(F.broadcast(lookup) if is_small(lookup) else lookup, keys, how)
+
+
+def skew_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: str | Sequence[str],
+    how: str = "inner",
+    *,
+    measured: DataFrame | None = None,
+) -> DataFrame:
+    """Joins detail rows, among which single keys may hold a large share, to a lookup.
+
+    Heavy keys are found in a sample of ``left`` (or of ``measured``, a cheaper frame with
+    the same keys) and stored, so that both sides see the same ones.  Their rows are dealt
+    out over all shuffle partitions by a salt, and the few lookup rows they need are
+    repeated once per salt.  Which keys are picked changes only the balance, never the
+    result.  ``how`` may be inner, left or left_semi.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if is_small(right):
+        return left.join(F.broadcast(right), keys, how)
+    heavy = heavy_keys(left if measured is None else measured, keys)
+    if heavy.isEmpty():
+        return left.join(right, keys, how)
+    salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # copies of a row differ at least in the task that reads them
+    spread = F.xxhash64(*left.columns) + F.spark_partition_id()
+    dealt = _flag(left, heavy, keys).withColumn(
+        "salt", F.when(F.col("heavy"), F.pmod(spread, F.lit(salts))).otherwise(0).cast("int")
+    )
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    repeated = _flag(right, heavy, keys).withColumn(
+        "salt", F.explode(F.when(F.col("heavy"), every).otherwise(F.array(F.lit(0))))
+    )
+    return dealt.drop("heavy").join(repeated.drop("heavy"), [*keys, "salt"], how).drop("salt")
+
+
+def heavy_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys above 1/1000 of a sample: fewer than 1000 rows, stored."""
+    counts = (
+        df.select(*keys)
+        .dropna()
+        .sample(fraction=SAMPLED, seed=7)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("hits"))
+    )
+    total = counts.agg(F.sum("hits").alias("all_hits"))
+    return durable(
+        counts.crossJoin(F.broadcast(total))  # one row
+        .filter(F.col("hits") * HEAVY_SHARE > F.col("all_hits"))
+        .select(*keys)
+    )
+
+
+def _flag(df: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
+    marked = df.join(F.broadcast(heavy.withColumn("heavy", F.lit(True))), keys, "left")
+    return marked.withColumn("heavy", F.coalesce("heavy", F.lit(False)))
