@@ -47,10 +47,10 @@ def analysis_base(star: Star) -> DataFrame:
     )
     orders = skew_join(analysis_orders(star), account_states(star), "customer_id")
     scores = star.reviews.select("order_id", "review_id", "review_score")
-    items = skew_join(star.items, products, "product_id")
-    placed = skew_join(items, orders, "order_id", measured=star.items)
+    items = skew_join(star.order_items, products, "product_id")
+    placed = skew_join(items, orders, "order_id", measured=star.order_items)
     return (
-        skew_join(placed, scores, "order_id", measured=star.items)
+        skew_join(placed, scores, "order_id", measured=star.order_items)
         .select(
             "order_id",
             "delivery_days_actual",
@@ -265,10 +265,10 @@ def scatter_sample(star: Star, size: int = 5000) -> DataFrame:
         "product_id", "product_weight_g"
     )
     digest = F.md5(F.concat_ws("|", "order_id", "order_item_id", "product_id", "review_id"))
-    items = skew_join(star.items, weights, "product_id")
-    placed = skew_join(items, orders, "order_id", measured=star.items)
+    items = skew_join(star.order_items, weights, "product_id")
+    placed = skew_join(items, orders, "order_id", measured=star.order_items)
     return (
-        skew_join(placed, star.reviews.select("order_id", "review_id"), "order_id", measured=star.items)
+        skew_join(placed, star.reviews.select("order_id", "review_id"), "order_id", measured=star.order_items)
         .select("product_weight_g", "delivery_days_actual", digest.alias("digest"))
         .orderBy("digest")
         .limit(size)

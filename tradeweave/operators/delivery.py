@@ -113,7 +113,7 @@ def freight_by_state_weight(star: Star) -> DataFrame:
         "product_id", weight_bucket(F.col("product_weight_g")).alias("weight_bucket")
     )
     lines = (
-        skew_join(star.items, weights, "product_id")
+        skew_join(star.order_items, weights, "product_id")
         .groupBy("order_id", "weight_bucket")
         .agg(*item_sums())
     )
@@ -159,7 +159,7 @@ def seller_reliability(
     timed = reviewed_orders(star, dedupe_reviews=dedupe_reviews).filter(
         F.col("delivery_days_actual").isNotNull()
     )
-    lines = star.items.groupBy("order_id", "seller_id").agg(*item_sums())
+    lines = star.order_items.groupBy("order_id", "seller_id").agg(*item_sums())
     sums = reviewed_sums(lines, timed, "seller_id").filter(F.col("orders") >= min_orders)
     sellers = durable(
         attach(sums, star.sellers, "seller_id").select(

@@ -18,7 +18,7 @@ from tradeweave.plans.star import Star
 def baseline_kpis(star: Star) -> DataFrame:
     """Distinct orders, accounts, products and sellers, revenue and its means; one row."""
     orders = delivered(star.orders).select("order_id", "customer_id")
-    sold = star.items.select("order_id", "product_id", "seller_id", "total_value")
+    sold = star.order_items.select("order_id", "product_id", "seller_id", "total_value")
     return (
         skew_join(sold, orders, "order_id")
         .agg(

@@ -93,7 +93,7 @@ def with_surrogate_key(df: DataFrame, table: str) -> DataFrame:
 
 
 def surrogate_keys(star: Star) -> DataFrame:
-    return with_surrogate_key(star.items, "fact_order_items")
+    return with_surrogate_key(star.order_items, "fact_order_items")
 
 
 def cleaning_report(raw: Mapping[str, DataFrame], star: Star) -> DataFrame:
@@ -108,7 +108,7 @@ def cleaning_report(raw: Mapping[str, DataFrame], star: Star) -> DataFrame:
         return summed.select(F.lit(table).alias("table"), F.explode(F.array(*cells)).alias("m"))
 
     number = rows()
-    items, scores = star.items, star.reviews
+    items, scores = star.order_items, star.reviews
     mean_item = mean_money(cents(F.sum("total_value")), F.count("total_value"))
     mean_score = ratio(F.sum("review_score"), F.count("review_score"), 2)
     parts = [

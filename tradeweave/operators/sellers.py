@@ -19,7 +19,7 @@ from tradeweave.plans.star import Star
 
 def seller_sums(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
     """Item-by-review sums of delivered orders per seller, with city and state."""
-    lines = star.items.groupBy("order_id", "seller_id").agg(*item_sums())
+    lines = star.order_items.groupBy("order_id", "seller_id").agg(*item_sums())
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
     return attach(reviewed_sums(lines, orders, "seller_id"), star.sellers, "seller_id")
 
@@ -111,7 +111,7 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
     pairs are formed once per distinct set and weighted by its count, instead of once per
     order.  Pairing a category with itself gives its number of orders in the same pass.
     """
-    lines = star.items.select("order_id", "product_id")
+    lines = star.order_items.select("order_id", "product_id")
     baskets = (
         skew_join(lines, product_categories(star), "product_id")
         .filter(F.col("category").isNotNull())
@@ -150,8 +150,8 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
 def seller_state_summary(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
     """Sellers, orders and revenue per seller state; one row per state."""
     states = star.sellers.select("seller_id", "seller_state")
-    by_seller = star.items.groupBy("order_id", "seller_id").agg(*item_sums())
-    lines = skew_join(by_seller, states, "seller_id", measured=star.items)
+    by_seller = star.order_items.groupBy("order_id", "seller_id").agg(*item_sums())
+    lines = skew_join(by_seller, states, "seller_id", measured=star.order_items)
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
     sums = reviewed_sums(
         lines,
@@ -174,7 +174,7 @@ def seller_state_summary(star: Star, *, dedupe_reviews: bool = False) -> DataFra
 
 def top_products(star: Star, top: int = 30, *, dedupe_reviews: bool = False) -> DataFrame:
     """Products with the highest revenue; only the kept rows are ranked."""
-    lines = star.items.groupBy("order_id", "product_id").agg(*item_sums())
+    lines = star.order_items.groupBy("order_id", "product_id").agg(*item_sums())
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
     return (
         attach(reviewed_sums(lines, orders, "product_id"), product_categories(star), "product_id")

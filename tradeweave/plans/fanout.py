@@ -68,7 +68,7 @@ def levels(star: Star, *variables: str) -> Levels:
     weights = star.products.select("product_id", "product_weight_g")
     return Levels(
         complete(analysis_orders(star), ORDER, "is_late_delivery"),
-        complete(skew_join(star.items, weights, "product_id"), ITEM),
+        complete(skew_join(star.order_items, weights, "product_id"), ITEM),
         complete(star.reviews, REVIEW),
         tuple(variables),
     )

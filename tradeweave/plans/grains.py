@@ -37,7 +37,7 @@ def item_sums() -> list[Column]:
 
 def order_sales(star: Star) -> DataFrame:
     """One row per delivered order that has items, with its item sums."""
-    per_order = star.items.groupBy("order_id").agg(*item_sums())
+    per_order = star.order_items.groupBy("order_id").agg(*item_sums())
     return delivered(star.orders).join(per_order, "order_id")
 
 
@@ -80,7 +80,7 @@ def product_categories(star: Star) -> DataFrame:
 
 def category_lines(star: Star) -> DataFrame:
     """One row per (order, category) with item sums, all order states."""
-    lines = skew_join(star.items, product_categories(star), "product_id")
+    lines = skew_join(star.order_items, product_categories(star), "product_id")
     return lines.groupBy("order_id", "category").agg(*item_sums())
 
 

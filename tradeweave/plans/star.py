@@ -36,7 +36,7 @@ class Star(Tables):
     sellers = property(lambda self: self["dim_sellers"])
     geolocation = property(lambda self: self["dim_geolocation"])
     orders = property(lambda self: self["fact_orders"])
-    items = property(lambda self: self["fact_order_items"])
+    order_items = property(lambda self: self["fact_order_items"])
     payments = property(lambda self: self["fact_payments"])
     reviews = property(lambda self: self["fact_reviews"])
 
