@@ -76,7 +76,7 @@ def hot(spark):
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 def test_salted_join_is_a_join(spark, hot, no_broadcast, how):
     left, right = hot
-    ours, plain = skew_join(left, right, "k", how), left.join(right, "k", how)
+    ours, plain = skew_join(left, right, "k", how, spread_by="x"), left.join(right, "k", how)
     assert ours.columns == plain.columns
     assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
 
@@ -86,13 +86,23 @@ def test_salt_spreads_the_hot_key(spark, hot, no_broadcast):
     assert 7 in [r["k"] for r in heavy_keys(left, ["k"]).collect()]
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = skew_join(left, right, "k").filter("k = 7")
+        joined = skew_join(left, right, "k", spread_by="x").filter("k = 7")
         parts = joined.groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(parts) >= 5 and max(r["count"] for r in parts) < 15_000
 
 
+def test_salt_keeps_scans_narrow(spark, no_broadcast, tmp_path):
+    spark.range(5000).selectExpr("id % 2 AS k", "id AS x", "id AS a", "id AS b").write.parquet(
+        str(tmp_path / "wide")
+    )
+    wide, lookup = spark.read.parquet(str(tmp_path / "wide")), spark.range(9).selectExpr("id AS k")
+    used = skew_join(wide, lookup, "k", spread_by="x").groupBy("k").agg(F.sum("a"))
+    plan = used._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan and "ReadSchema: struct<k:bigint,x:bigint,a:bigint>" in plan
+
+
 def test_reports_without_broadcast(spark, no_broadcast):
     """The paths large tables take give the same answers."""
     import __spark_entry__ as contract

@@ -19,23 +19,29 @@ def cents(amount: Column | str) -> Column:
     return (amount * 100).cast(WIDE)
 
 
-def ratio(num: Column | str, den: Column | str, places: int, shift: int = 0) -> Column:
-    """``num * 10**shift / den`` rounded to ``places`` decimals; null when ``den`` is 0.
+def ratio(
+    num: Column | str, den: Column | str, places: int, shift: int = 0, *, signed: bool = False
+) -> Column:
+    """``num * 10**shift / den`` rounded to ``places`` decimals; null unless ``den`` > 0.
 
-    ``num`` and ``den`` hold whole numbers and ``den`` is not negative.
+    ``num`` and ``den`` hold whole numbers; ``signed`` is needed where ``num`` may be
+    negative.  The expression is kept short because Spark compiles it for every use.
     """
     num = F.col(num) if isinstance(num, str) else num
     den = F.col(den) if isinstance(den, str) else den
     power = places + shift
-    size = F.abs(num.cast(WIDE)) * F.lit(10 ** max(power, 0))
-    parts = F.nullif(den.cast(WIDE) * F.lit(10 ** max(-power, 0)), F.lit(0).cast(WIDE))
-    rounded = F.call_function("div", size * 2 + parts, parts * 2).cast("decimal(20,0)")
-    signed = F.when(num < 0, -rounded).otherwise(rounded)
-    return (signed * F.lit(Decimal(1).scaleb(-places))).cast(f"decimal(20,{places})")
-
-
-def percent(num: Column | str, den: Column | str, places: int = 2) -> Column:
-    return ratio(num, den, places, shift=2)
+    n = (F.abs(num) if signed else num).cast(WIDE) * (2 * 10 ** max(power, 0))
+    d = den.cast(WIDE) * 10**-power if power < 0 else den.cast(WIDE)
+    steps = F.when(den > 0, F.call_function("div", n + d, d * 2))
+    if signed:
+        steps = F.when(num < 0, -steps).otherwise(steps)
+    return steps.cast("decimal(19,0)") * F.lit(Decimal(1).scaleb(-places))
+
+
+def percent(
+    num: Column | str, den: Column | str, places: int = 2, *, signed: bool = False
+) -> Column:
+    return ratio(num, den, places, shift=2, signed=signed)
 
 
 def mean_money(total_cents: Column | str, n: Column | str) -> Column:

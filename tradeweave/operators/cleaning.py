@@ -47,7 +47,14 @@ def clean_customers(raw: DataFrame) -> DataFrame:
 def clean_products(raw: DataFrame, translation: DataFrame) -> DataFrame:
     """Products with English categories; a category without translation becomes 'other'."""
     names = translation.select("product_category_name", "product_category_name_english")
-    named = skew_join(keep_first(raw, "product_id"), names, "product_category_name", "left")
+    named = skew_join(
+        keep_first(raw, "product_id"),
+        names,
+        "product_category_name",
+        "left",
+        spread_by="product_id",
+        measured=raw,
+    )
     return conform(
         named.withColumnsRenamed(
             {
@@ -120,7 +127,7 @@ def _medians(df: DataFrame, key: str, axes: list[str]) -> DataFrame:
     doubled = F.round(F.col("middle") * 2).cast("long")
     return middles.groupBy(key).agg(
         *[
-            F.max(F.when(F.col("axis") == a, ratio(doubled, F.lit(2_000_000), 6))).alias(a)
+            F.max(F.when(F.col("axis") == a, ratio(doubled, F.lit(2_000_000), 6, signed=True))).alias(a)
             for a in axes
         ]
     )

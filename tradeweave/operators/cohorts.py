@@ -24,9 +24,9 @@ def cohort_orders(star: Star) -> DataFrame:
         .groupBy("customer_unique_id")
         .agg(F.min("first").alias("cohort_month"))
     )
-    owned = skew_join(sold, accounts, "customer_id")
+    owned = skew_join(sold, accounts, "customer_id", spread_by="order_id")
     return (
-        skew_join(owned, firsts, "customer_unique_id")
+        skew_join(owned, firsts, "customer_unique_id", spread_by="order_id")
         .select("customer_unique_id", "cohort_month", "order_month")
     )
 

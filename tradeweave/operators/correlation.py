@@ -45,12 +45,12 @@ def analysis_base(star: Star) -> DataFrame:
     products = star.products.select(
         "product_id", "product_weight_g", F.col("product_category_english").alias("category")
     )
-    orders = skew_join(analysis_orders(star), account_states(star), "customer_id")
+    orders = skew_join(
+        analysis_orders(star), account_states(star), "customer_id", spread_by="order_id"
+    )
     scores = star.reviews.select("order_id", "review_id", "review_score")
-    items = skew_join(star.order_items, products, "product_id")
-    placed = skew_join(items, orders, "order_id", measured=star.order_items)
     return (
-        skew_join(placed, scores, "order_id", measured=star.order_items)
+        _item_rows(star, products, orders, scores)
         .select(
             "order_id",
             "delivery_days_actual",
@@ -68,6 +68,15 @@ def analysis_base(star: Star) -> DataFrame:
     )
 
 
+def _item_rows(
+    star: Star, products: DataFrame, orders: DataFrame, reviews: DataFrame
+) -> DataFrame:
+    """Items with their product, order and every review of the order."""
+    hot = {"spread_by": "product_id", "measured": star.order_items}
+    items = skew_join(star.order_items, products, "product_id", spread_by="order_id")
+    return skew_join(skew_join(items, orders, "order_id", **hot), reviews, "order_id", **hot)
+
+
 def _corr(a: str, b: str) -> Column:
     return correlation(F.col(f"v_{a}_{a}"), F.col(f"v_{b}_{b}"), F.col(f"v_{a}_{b}"))
 
@@ -113,13 +122,13 @@ def ranked(lv: Levels) -> Levels:
             "v.variable", "v.value", "weight"
         )
 
-    weights = {ORDER: F.col("k") * F.col("r"), ITEM: F.col("r"), REVIEW: F.col("k")}
-    sources = {
-        ORDER: paired,
-        ITEM: skew_join(lv.items, counts, "order_id"),
-        REVIEW: skew_join(lv.reviews, counts, "order_id"),
-    }
-    parts = [weighed(sources[lvl], lv.at(lvl), weights[lvl]) for lvl in sources if lv.at(lvl)]
+    parts = []
+    if names := lv.at(ORDER):
+        parts.append(weighed(paired, names, F.col("k") * F.col("r")))
+    for level, weight in ((ITEM, "r"), (REVIEW, "k")):
+        if names := lv.at(level):
+            counted = skew_join(lv.frame(level), counts, "order_id", spread_by=names)
+            parts.append(weighed(counted, names, F.col(weight)))
     seen = parts[0]
     for part in parts[1:]:
         seen = seen.unionByName(part)
@@ -144,7 +153,10 @@ def ranked(lv: Levels) -> Levels:
                 F.col("value").alias(name), F.col("rank").alias(f"{name}_rank")
             )
             known = sizes.get(name, 0) <= BROADCAST_VALUES
-            df = df.join(F.broadcast(table), name) if known else skew_join(df, table, name)
+            if known:
+                df = df.join(F.broadcast(table), name)
+            else:
+                df = skew_join(df, table, name, spread_by="order_id")
             df = df.drop(name).withColumnRenamed(f"{name}_rank", name)
         return df
 
@@ -265,10 +277,8 @@ def scatter_sample(star: Star, size: int = 5000) -> DataFrame:
         "product_id", "product_weight_g"
     )
     digest = F.md5(F.concat_ws("|", "order_id", "order_item_id", "product_id", "review_id"))
-    items = skew_join(star.order_items, weights, "product_id")
-    placed = skew_join(items, orders, "order_id", measured=star.order_items)
     return (
-        skew_join(placed, star.reviews.select("order_id", "review_id"), "order_id", measured=star.order_items)
+        _item_rows(star, weights, orders, star.reviews.select("order_id", "review_id"))
         .select("product_weight_g", "delivery_days_actual", digest.alias("digest"))
         .orderBy("digest")
         .limit(size)

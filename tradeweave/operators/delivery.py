@@ -29,7 +29,7 @@ def delivery_sla_by_state(star: Star) -> DataFrame:
             F.col("deliveries").alias("total_deliveries"),
             ratio("days", "deliveries", 1).alias("avg_delivery_days"),
             ratio("promised", "promises", 1).alias("avg_estimated_days"),
-            ratio("early", "compared", 1).alias("avg_delta_days"),
+            ratio("early", "compared", 1, signed=True).alias("avg_delta_days"),
             "min_days",
             "max_days",
             F.col("late").alias("late_deliveries"),
@@ -113,7 +113,7 @@ def freight_by_state_weight(star: Star) -> DataFrame:
         "product_id", weight_bucket(F.col("product_weight_g")).alias("weight_bucket")
     )
     lines = (
-        skew_join(star.order_items, weights, "product_id")
+        skew_join(star.order_items, weights, "product_id", spread_by="order_id")
         .groupBy("order_id", "weight_bucket")
         .agg(*item_sums())
     )

@@ -20,7 +20,7 @@ def baseline_kpis(star: Star) -> DataFrame:
     orders = delivered(star.orders).select("order_id", "customer_id")
     sold = star.order_items.select("order_id", "product_id", "seller_id", "total_value")
     return (
-        skew_join(sold, orders, "order_id")
+        skew_join(sold, orders, "order_id", spread_by="product_id")
         .agg(
             F.count_distinct("order_id").alias("total_orders"),
             F.count_distinct("customer_id").alias("total_customers"),
@@ -123,7 +123,7 @@ def slowest_states(star: Star, top: int = 10) -> DataFrame:
             "deliveries",
             ratio("days", "deliveries", 1).alias("avg_delivery_days"),
             ratio("promised", "promises", 1).alias("avg_estimated_days"),
-            ratio("early", "compared", 1).alias("avg_delta_days"),
+            ratio("early", "compared", 1, signed=True).alias("avg_delta_days"),
             percent("late", "deliveries").alias("late_pct"),
         )
         .orderBy(F.desc("avg_delivery_days"), "customer_state")

@@ -36,7 +36,8 @@ def revenue_waterfall(star: Star) -> DataFrame:
             }
         )
         .withColumn(
-            "mom_growth_pct", percent(cents(F.col("monthly_revenue") - previous), cents(previous))
+            "mom_growth_pct",
+            percent(cents(F.col("monthly_revenue") - previous), cents(previous), signed=True),
         )
         .orderBy("order_month")
     )

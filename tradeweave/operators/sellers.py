@@ -48,7 +48,7 @@ def seller_performance(star: Star, *, dedupe_reviews: bool = False) -> DataFrame
     standing = _revenue_standing(tiles)
     total = tiles.agg(F.sum("total_revenue").alias("all_revenue"))
     return (
-        skew_join(tiles, standing, "total_revenue")
+        skew_join(tiles, standing, "total_revenue", spread_by="seller_id")
         .crossJoin(F.broadcast(total))  # one row
         .withColumns(
             {
@@ -113,7 +113,7 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
     """
     lines = star.order_items.select("order_id", "product_id")
     baskets = (
-        skew_join(lines, product_categories(star), "product_id")
+        skew_join(lines, product_categories(star), "product_id", spread_by="order_id")
         .filter(F.col("category").isNotNull())
         .groupBy("order_id")
         .agg(F.sort_array(F.collect_set("category")).alias("basket"))
@@ -151,7 +151,9 @@ def seller_state_summary(star: Star, *, dedupe_reviews: bool = False) -> DataFra
     """Sellers, orders and revenue per seller state; one row per state."""
     states = star.sellers.select("seller_id", "seller_state")
     by_seller = star.order_items.groupBy("order_id", "seller_id").agg(*item_sums())
-    lines = skew_join(by_seller, states, "seller_id", measured=star.order_items)
+    lines = skew_join(
+        by_seller, states, "seller_id", spread_by="order_id", measured=star.order_items
+    )
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
     sums = reviewed_sums(
         lines,

@@ -36,7 +36,8 @@ def analysis_orders(star: Star, max_days: int = MAX_DAYS) -> DataFrame:
     timely = delivered(star.orders).filter(
         F.col("delivery_days_actual").between(0, max_days)
     )
-    return skew_join(timely, star.customers.select("customer_id"), "customer_id", "left_semi")
+    known = star.customers.select("customer_id")
+    return skew_join(timely, known, "customer_id", "left_semi", spread_by="order_id")
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,9 @@ def levels(star: Star, *variables: str) -> Levels:
     weights = star.products.select("product_id", "product_weight_g")
     return Levels(
         complete(analysis_orders(star), ORDER, "is_late_delivery"),
-        complete(skew_join(star.order_items, weights, "product_id"), ITEM),
+        complete(
+            skew_join(star.order_items, weights, "product_id", spread_by="order_id"), ITEM
+        ),
         complete(star.reviews, REVIEW),
         tuple(variables),
     )

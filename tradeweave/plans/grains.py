@@ -80,7 +80,9 @@ def product_categories(star: Star) -> DataFrame:
 
 def category_lines(star: Star) -> DataFrame:
     """One row per (order, category) with item sums, all order states."""
-    lines = skew_join(star.order_items, product_categories(star), "product_id")
+    lines = skew_join(
+        star.order_items, product_categories(star), "product_id", spread_by="order_id"
+    )
     return lines.groupBy("order_id", "category").agg(*item_sums())
 
 

@@ -52,25 +52,27 @@ def skew_join(
     keys: str | Sequence[str],
     how: str = "inner",
     *,
+    spread_by: str | Sequence[str],
     measured: DataFrame | None = None,
 ) -> DataFrame:
     """Joins detail rows, among which single keys may hold a large share, to a lookup.
 
     Heavy keys are found in a sample of ``left`` (or of ``measured``, a cheaper frame with
     the same keys) and stored, so that both sides see the same ones.  Their rows are dealt
-    out over all shuffle partitions by a salt, and the few lookup rows they need are
-    repeated once per salt.  Which keys are picked changes only the balance, never the
-    result.  ``how`` may be inner, left or left_semi.
+    out over all shuffle partitions by a salt made of ``spread_by``, a column that varies
+    within a key, and of the reading task, which tells copies apart.  The few lookup rows
+    they need are repeated once per salt.  Which keys are picked changes only the balance,
+    never the result.  ``how`` may be inner, left or left_semi.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
+    spread_by = [spread_by] if isinstance(spread_by, str) else list(spread_by)
     if is_small(right):
         return left.join(F.broadcast(right), keys, how)
     heavy = heavy_keys(left if measured is None else measured, keys)
     if heavy.isEmpty():
         return left.join(right, keys, how)
     salts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # copies of a row differ at least in the task that reads them
-    spread = F.xxhash64(*left.columns) + F.spark_partition_id()
+    spread = F.xxhash64(*spread_by) + F.spark_partition_id()
     dealt = _flag(left, heavy, keys).withColumn(
         "salt", F.when(F.col("heavy"), F.pmod(spread, F.lit(salts))).otherwise(0).cast("int")
     )

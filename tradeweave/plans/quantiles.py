@@ -18,7 +18,7 @@ def grouped_quantiles(
     spans = placed.groupBy(*groups).agg(
         F.min("before").alias("group_start"), F.sum(weight).alias("group_n")
     )
-    keyed = skew_join(placed, spans, groups) if groups else placed.crossJoin(F.broadcast(spans))
+    keyed = skew_join(placed, spans, groups, spread_by=value)
     first = F.col("before") - F.col("group_start")
     keyed = keyed.withColumns({"first": first, "last": first + F.col(weight) - 1})
 

@@ -69,7 +69,6 @@ STAR_REPORTS: tuple[Report, ...] = (
     clusters.rfm_profile,
     clusters.rfm_features,
     clusters.kmeans_k_search,
-    clusters.kmeans_segments,
     correlation.analysis_base,
     correlation.pearson_matrix,
     correlation.spearman_matrix,
@@ -161,11 +160,23 @@ def _on_star(report: Report) -> Query:
     return run
 
 
-def _on_clusters(report: Callable[[DataFrame], DataFrame]) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        return portable(report(clusters.kmeans_segments(sample_star(spark, folder))))
+_clustered: dict[tuple[str, str], DataFrame] = {}
 
-    return run
+
+def _assignment(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored cluster assignment, made once per application as a nightly job would."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _clustered:
+        _clustered[key] = clusters.kmeans_segments(sample_star(spark, folder))
+    return _clustered[key]
+
+
+def kmeans_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return portable(_assignment(spark, folder))
+
+
+def _on_clusters(report: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: portable(report(_assignment(spark, folder)))
 
 
 def _clean(table: str) -> Query:
@@ -223,6 +234,7 @@ def all_queries() -> dict[str, Query]:
     found |= {report.__name__: _on_star(report) for report in STAR_REPORTS}
     found |= {report.__name__: _on_clusters(report) for report in CLUSTER_REPORTS}
     extra = (
+        kmeans_segments,
         verify_load,
         pk_duplicates,
         fk_orphans,
