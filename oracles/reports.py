@@ -731,4 +731,7 @@ def statements() -> dict[str, str]:
         _cohorts(),
         _marts(),
     )
-    return {name: query(body) for part in parts for name, body in part.items()}
+    found = {name: query(body) for part in parts for name, body in part.items()}
+    # the same report, by way of CSV files
+    found["load_raw"] = found["revenue_waterfall"]
+    return found

@@ -14,6 +14,7 @@ ORACLES = contract.oracle_sql()
 SEARCHED = {
     "kmeans_k_search",
     "kmeans_segments",
+    "export_clusters",
     "cluster_summary",
     "segment_profile",
     "segment_revenue_share",

@@ -21,9 +21,11 @@ from tradeweave.operators import (
     sellers,
 )
 from tradeweave.plans.ordering import checkpoint_folder
-from tradeweave.plans.star import Star, Tables
+from tradeweave.plans.star import Star, Tables, star_from_raw
+from tradeweave.sources import files
 from tradeweave.sources.sample import sample_raw, sample_star
-from tradeweave.sources.warehouse import read_star, write_star
+from tradeweave.sources.warehouse import export_clusters as export
+from tradeweave.sources.warehouse import read_clusters, read_star, write_star
 
 Report = Callable[[Star], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,14 +185,32 @@ def _clean(table: str) -> Query:
     return lambda spark, folder: portable(sample_star(spark, folder)[table])
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4()}"
+
+
 def verify_load(spark: SparkSession, folder: str) -> DataFrame:
     """Stores the star in a fresh shared folder and compares row counts."""
     star = sample_star(spark, folder)
-    target = f"{checkpoint_folder(spark)}/star-{uuid.uuid4()}"
+    target = _fresh(spark, "star")
     write_star(star, target)
     return portable(quality.verify_load(star, read_star(spark, target)))
 
 
+def load_raw(spark: SparkSession, folder: str) -> DataFrame:
+    """All nine raw tables through CSV files, cleaned, up to the monthly revenue report."""
+    paths = files.write_csv(sample_raw(spark, folder), _fresh(spark, "csv"))
+    star = star_from_raw(files.load_raw(spark, paths))
+    return portable(revenue.revenue_waterfall(star))
+
+
+def export_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """The cluster assignment as read back from its stored table."""
+    target = _fresh(spark, "clusters")
+    export(_assignment(spark, folder), target)
+    return portable(read_clusters(spark, target))
+
+
 def pk_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Key check on the raw tables, where copies still exist."""
     raw = sample_raw(spark, folder)
@@ -235,6 +255,8 @@ def all_queries() -> dict[str, Query]:
     found |= {report.__name__: _on_clusters(report) for report in CLUSTER_REPORTS}
     extra = (
         kmeans_segments,
+        export_clusters,
+        load_raw,
         verify_load,
         pk_duplicates,
         fk_orphans,

@@ -49,6 +49,16 @@ def load_csv(spark: SparkSession, path: str, name: str) -> DataFrame | None:
     )
 
 
+def write_csv(raw: Mapping[str, DataFrame], folder: str) -> dict[str, str]:
+    """Stores raw tables as CSV with headers, one folder each; returns their paths."""
+    paths = {name: f"{folder}/{name}" for name in RAW}
+    for name, path in paths.items():
+        raw[name].select(*RAW[name].fieldNames()).write.option("header", True).option(
+            "escape", '"'
+        ).csv(path)
+    return paths
+
+
 def load_raw(spark: SparkSession, paths: Mapping[str, str]) -> Tables:
     """All nine raw tables; raises with every missing one named."""
     missing = [
