@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tradeweave.plans.joins import heavy_keys, skew_join
-from tradeweave.plans.ordering import numbered, running, tiled, value_standing
+from tradeweave.plans.ordering import numbered, running, tiled, tiled_each, value_standing
 from tradeweave.plans.quantiles import grouped_quantiles
 
 
@@ -22,6 +22,18 @@ def test_ntile(spark, n, tiles):
     assert as_rows(ours.select("id", "t"), "id") == as_rows(plain.select("id", "t"), "id")
 
 
+@pytest.mark.parametrize("n", [0, 3, 14])
+def test_several_tiles_at_once(spark, n):
+    df = spark.range(n).selectExpr("id", "id % 3 AS a", "CASE WHEN id % 4 > 0 THEN id END AS b")
+    ours = tiled_each(df.repartition(3), "id", 5, {"ta": -F.col("a"), "tb": F.col("b")})
+    plain = df.select(
+        "*",
+        F.ntile(5).over(Window.orderBy(F.desc("a"), "id")).alias("ta"),
+        F.ntile(5).over(Window.orderBy("b", "id")).alias("tb"),
+    )
+    assert as_rows(ours, "id") == as_rows(plain, "id")
+
+
 @pytest.mark.parametrize("key", ["1", "CASE WHEN id % 3 = 0 THEN id END"])
 def test_positions_with_one_key_or_null_keys(spark, key):
     df = spark.range(500).withColumn("key", F.expr(key))

@@ -1,5 +1,7 @@
 """Customer value: recency/frequency/monetary scores, segments, retention, lifetime value."""
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,13 @@ from tradeweave.functions.dates import month_index
 from tradeweave.functions.rounding import cents, mean_money, percent, ratio
 from tradeweave.plans.grains import delivered, person_sales, rows
 from tradeweave.plans.joins import attach
-from tradeweave.plans.ordering import tiled
+from tradeweave.plans.ordering import tiled, tiled_each
 from tradeweave.plans.star import Star
 
 
+NEVER = Decimal(10) ** 30  # sorts people without any dated order last
+
+
 def rfm_metrics(star: Star) -> DataFrame:
     """Per person: days since the last order (against the newest order of any status),
     number of orders, and spend."""
@@ -34,11 +39,13 @@ def rfm_scores(star: Star, tiles: int = 5) -> DataFrame:
 
     Equal values are ordered by person id, so a score never depends on the run.
     """
-    person = F.asc("customer_unique_id")
-    scored = rfm_metrics(star)
-    scored = tiled(scored, "r_score", tiles, F.desc("recency_days"), person)
-    scored = tiled(scored, "f_score", tiles, F.asc("frequency"), person)
-    scored = tiled(scored, "m_score", tiles, F.asc("monetary"), person)
+    longest_first = F.coalesce(-F.col("recency_days").cast("decimal(38,2)"), F.lit(NEVER))
+    scored = tiled_each(
+        rfm_metrics(star),
+        "customer_unique_id",
+        tiles,
+        {"r_score": longest_first, "f_score": F.col("frequency"), "m_score": F.col("monetary")},
+    )
     scores = [F.col(name) for name in ("r_score", "f_score", "m_score")]
     return scored.withColumns(
         {

@@ -13,7 +13,7 @@ from tradeweave.plans.grains import (
     rows,
 )
 from tradeweave.plans.joins import attach, skew_join
-from tradeweave.plans.ordering import running, tiled
+from tradeweave.plans.ordering import tiled, value_standing
 from tradeweave.plans.star import Star
 
 
@@ -65,16 +65,13 @@ def seller_performance(star: Star, *, dedupe_reviews: bool = False) -> DataFrame
 
 def _revenue_standing(sellers: DataFrame) -> DataFrame:
     """Dense rank and revenue up to and including each distinct revenue."""
-    sums = sellers.groupBy("total_revenue").agg(
-        F.sum("total_revenue").alias("together"), F.lit(1).alias("one")
+    standing = value_standing(
+        sellers, "total_revenue", descending=True, weight="total_revenue"
     )
-    placed = running(
-        sums, [F.desc("total_revenue")], {"before": "together", "values_before": "one"}
-    )
-    return placed.select(
+    return standing.select(
         "total_revenue",
-        (F.col("values_before") + 1).alias("revenue_rank"),
-        (F.col("before") + F.col("together")).alias("cumulative_revenue"),
+        F.col("dense_rank").alias("revenue_rank"),
+        (F.col("rows_before") + F.col("rows")).alias("cumulative_revenue"),
     )
 
 

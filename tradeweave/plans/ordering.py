@@ -84,6 +84,26 @@ def tiled(df: DataFrame, name: str, tiles: int, *order: Column | str) -> DataFra
     )
 
 
+def tiled_each(df: DataFrame, ident: str, tiles: int, orders: dict[str, Column]) -> DataFrame:
+    """Several NTILEs of the same rows from one global order.
+
+    ``orders`` maps each new column to the number it sorts by, ascending, ties by ``ident``.
+    Every row enters the order once per number; its tiles are then gathered by key.
+    """
+    marks = [
+        F.struct(F.lit(i).alias("which"), key.cast("decimal(38,2)").alias("key"))
+        for i, key in enumerate(orders.values())
+    ]
+    long = df.select("*", F.explode(F.array(*marks)).alias("mark"))
+    ranked = numbered(long.select(*df.columns, "mark.*"), "which", "key", ident)
+    n = F.call_function("div", F.col("n"), F.lit(len(orders)))
+    tile = ntile_at(F.col("position") - F.col("which") * n, n, tiles)
+    gathered = ranked.select(*df.columns, "which", tile.alias("tile")).groupBy(*df.columns)
+    return gathered.agg(
+        *[F.max(F.when(F.col("which") == i, F.col("tile"))).alias(name) for i, name in enumerate(orders)]
+    )
+
+
 def running(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> DataFrame:
     """Adds, for each ``new -> column``, the sum of ``column`` over all earlier rows."""
     slices = sliced(df, *order)
@@ -115,7 +135,8 @@ def running(df: DataFrame, order: list[Column | str], sums: dict[str, str]) -> D
 def value_standing(
     df: DataFrame, key: str, *, descending: bool = False, weight: str | None = None
 ) -> DataFrame:
-    """One row per distinct value: its row count, dense rank, and rows before it.
+    """One row per distinct value: its rows (or the sum of ``weight``), dense rank, and the
+    rows (or weight) before it.
 
     Ties share a value, so RANGE running sums, DENSE_RANK and average ranks all follow
     from this table, which holds no ties and is joined back on the value.
