@@ -1,14 +1,16 @@
 """Each operator of this folder over its whole table, by name, and its DuckDB statement."""
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeweave.llm import shards
+from tradeweave.llm import shards, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 24
+TOKEN_LIMIT = 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,8 +21,23 @@ def op1_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     return shards.place(table(spark, folder, "documents"), SHARDS)
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed public tokenizer files lie; TOKENIZER_DIR names another folder."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if folder is None:
+        import public_tokenizers
+
+        return public_tokenizers.path(name)
+    return os.path.join(folder, name)
+
+
+def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    model = vocabulary("byte_bpe_50k.json")
+    return token_counts.token_counts(table(spark, folder, "documents"), model, TOKEN_LIMIT)
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jump_shards,)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts)}
 
 
 def llm_statements() -> dict[str, str]:
