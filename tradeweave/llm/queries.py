@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeweave.llm import shards, token_counts
+from tradeweave.llm import archives, byte_pairs, shards, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,8 +36,22 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(table(spark, folder, "documents"), model, TOKEN_LIMIT)
 
 
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op4_zip_warc(spark: SparkSession, folder: str) -> DataFrame:
+    listed = archives.write_archives(table(spark, folder, "pages"))
+    return archives.read_archives(listed, payloads=False)
+
+
+def op6_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = byte_pairs.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return byte_pairs.encode(table(spark, folder, "documents"), ranks, token_counts.PATTERN)
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs)}
 
 
 def llm_statements() -> dict[str, str]:
