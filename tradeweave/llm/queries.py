@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeweave.llm import archives, byte_pairs, shards, simhash, token_counts
+from tradeweave.llm import archives, byte_pairs, contamination, shards, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,8 +50,13 @@ def op6_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return byte_pairs.encode(table(spark, folder, "documents"), ranks, token_counts.PATTERN)
 
 
+def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return contamination.contaminated(docs, items).drop("spans", "items")
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs, op10_positional_index)}
 
 
 def llm_statements() -> dict[str, str]:
