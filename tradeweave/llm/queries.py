@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeweave.llm import archives, byte_pairs, contamination, shards, simhash, token_counts
+from tradeweave.llm import archives, bit_slices, byte_pairs, contamination, shards, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,14 +50,36 @@ def op6_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return byte_pairs.encode(table(spark, folder, "documents"), ranks, token_counts.PATTERN)
 
 
+def op7_bit_slices(spark: SparkSession, folder: str) -> DataFrame:
+    return bit_slices.top_k(table(spark, folder, "embeddings"), k=20, step=20)
+
+
 def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return contamination.contaminated(docs, items).drop("spans", "items")
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs, op10_positional_index)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs, op7_bit_slices, op10_positional_index)}
+
+
+OP7_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, v.vec_id,
+           CAST(list_sum(list_transform(list_zip(q.whole, v.whole), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id, score
+FROM scored
+QUALIFY rank <= 20
+"""
 
 
 def llm_statements() -> dict[str, str]:
-    return {}
+    return {"op7_bit_slices": OP7_SQL}
