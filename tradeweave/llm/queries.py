@@ -5,12 +5,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeweave.llm import archives, bit_slices, byte_pairs, contamination, shards, simhash, token_counts
+from tradeweave.llm import archives, bit_slices, byte_pairs, contamination, quality, shards, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 SHARDS = 24
 TOKEN_LIMIT = 1024
+QUALITY_FROM = 0.3
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,13 +55,19 @@ def op7_bit_slices(spark: SparkSession, folder: str) -> DataFrame:
     return bit_slices.top_k(table(spark, folder, "embeddings"), k=20, step=20)
 
 
+def op8_byte_network(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    network = quality.train(docs, table(spark, folder, "labels"))
+    return quality.scored(docs, network, QUALITY_FROM)
+
+
 def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return contamination.contaminated(docs, items).drop("spans", "items")
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs, op7_bit_slices, op10_positional_index)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs, op7_bit_slices, op8_byte_network, op10_positional_index)}
 
 
 OP7_SQL = """
