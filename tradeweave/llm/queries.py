@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradeweave.llm import archives, bit_slices, byte_pairs, contamination, quality, shards, simhash, token_counts
+from tradeweave.llm import archives, bit_slices, byte_pairs, contamination, personal, quality, shards, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,13 +61,18 @@ def op8_byte_network(spark: SparkSession, folder: str) -> DataFrame:
     return quality.scored(docs, network, QUALITY_FROM)
 
 
+def op9_skip_chain(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return personal.personal_data(docs, personal.train(docs)).drop("found")
+
+
 def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return contamination.contaminated(docs, items).drop("spans", "items")
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs, op7_bit_slices, op8_byte_network, op10_positional_index)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs, op7_bit_slices, op8_byte_network, op9_skip_chain, op10_positional_index)}
 
 
 OP7_SQL = """
