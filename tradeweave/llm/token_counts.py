@@ -53,7 +53,7 @@ def word_counts(distinct: DataFrame, definition: str) -> DataFrame:
         encode = _tokenizer(definition).encode_batch
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                part = batch.column(0).slice(at, BATCH)
+                part = batch.column("word").slice(at, BATCH)
                 found = encode(part.to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays(
                     [part, pa.array([len(x) for x in found], pa.int32())], names=["word", "fact"]
@@ -72,9 +72,8 @@ def token_counts(
     with open(model, encoding="utf-8") as file:
         definition = file.read()
     special = special_token(definition)
-    # one exchange by word serves both the distinct words and the join back to the blocks
-    found = words.block_words(docs, PATTERN, special, text).repartition("word")
-    facts = found.join(word_counts(found.select("word").distinct(), definition), "word")
+    found = words.block_words(docs, PATTERN, special, text)
+    facts = found.join(word_counts(words.distinct_words(found), definition), "word")
 
     def total(known: pa.Array, sequences: list[np.ndarray]) -> dict[str, pa.Array]:
         tokens = known.to_numpy().astype(np.int64)

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 16_000_000
 ROWS = 50_000  # rows to an Arrow batch that is handed back
 
+SIGNS = frozenset(".,;:!?")
+
 BLOCK = ["block_source", "block_number"]
 WORDS_SCHEMA = "block_source long, block_number int, number int, word string"
 PACK_TYPES = "block_source long, block_number int, numbers binary, facts binary"
@@ -85,7 +87,11 @@ class _Chunks(dict):
 
     def __missing__(self, chunk: str) -> tuple[int, ...] | None:
         found = None
-        if chunk and not chunk[0].isspace() and not chunk[-1].isspace():
+        if chunk.isalpha():  # most are a word, or one with a sign behind it
+            found = (self.numbers[self.before + chunk],)
+        elif chunk[-1:] in SIGNS and chunk[:-1].isalpha():
+            found = (self.numbers[self.before + chunk[:-1]], self.numbers[chunk[-1]])
+        elif chunk and not chunk[0].isspace() and not chunk[-1].isspace():
             found = tuple(map(self.numbers.__getitem__, self.split(self.before + chunk)))
         self[chunk] = found
         return found
@@ -156,7 +162,8 @@ def _sourced(docs: DataFrame, key: str, text: str) -> DataFrame:
 def block_words(
     docs: DataFrame, pattern: str, special: str | None = None, text: str = "text"
 ) -> DataFrame:
-    """(block_source, block_number, number, word): the distinct pre-tokens of each block."""
+    """(block_source, block_number, number, word), dealt by word: the distinct pre-tokens of each
+    block. One exchange serves both the distinct words and the join back to the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, number, block, found, _ in _blocks(batches, pattern, special):
@@ -175,7 +182,18 @@ def block_words(
                     names=[*BLOCK, "number", "word"],
                 )
 
-    return _sourced(docs, text, text).drop("id").mapInArrow(run, WORDS_SCHEMA)
+    found = _sourced(docs, text, text).drop("id").mapInArrow(run, WORDS_SCHEMA)
+    # no word is null; a join on the word would put this filter below one of two equal exchanges
+    return found.where("word IS NOT NULL").repartition("word")
+
+
+def distinct_words(found: DataFrame) -> DataFrame:
+    """The distinct words of ``block_words``, with counts of the other columns.
+
+    All columns are counted so that this reads the very exchange that the join back reads; an
+    exchange of the word alone would be another one, and the documents would be split again.
+    """
+    return found.groupBy("word").agg(*[F.count(c).alias(c) for c in (*BLOCK, "number")])
 
 
 def pack(numbers: list[int]) -> bytes:
