@@ -4,8 +4,10 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradeweave.llm import archives, bit_slices, byte_pairs, contamination, personal, quality, shards, simhash, token_counts
+from tradeweave.llm import archives, bit_slices, byte_pairs, contamination, licenses, personal, quality, shards, simhash, token_counts
+from tradeweave.llm.license_texts import TEMPLATES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +48,12 @@ def op4_zip_warc(spark: SparkSession, folder: str) -> DataFrame:
     return archives.read_archives(listed, payloads=False)
 
 
+def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(table(spark, folder, "documents"), TEMPLATES)
+    places = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"]))
+    return found.select("doc_id", "n_matches", "licenses", F.array_join(places, ",").alias("spans"))
+
+
 def op6_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_pairs.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
     return byte_pairs.encode(table(spark, folder, "documents"), ranks, token_counts.PATTERN)
@@ -72,7 +80,7 @@ def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op6_byte_pairs, op7_bit_slices, op8_byte_network, op9_skip_chain, op10_positional_index)}
+    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op5_license_scan, op6_byte_pairs, op7_bit_slices, op8_byte_network, op9_skip_chain, op10_positional_index)}
 
 
 OP7_SQL = """
