@@ -328,6 +328,15 @@ def contaminated(
     )
 
 
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """All columns of the documents that are not contaminated; those with a null key are kept."""
+    found = contaminated(docs, items, size, share, key, text)
+    hit = found.where("contaminated").select(key)
+    return docs.join(hit, key, "left_anti").select(*docs.columns)
+
+
 def proximity(index: DataFrame, words: list[str], reach: int) -> DataFrame:
     """(id, position): where the rarest of ``words`` stands with all others within ``reach``."""
     sought = tuple(w for x in words for w in split_words(x))

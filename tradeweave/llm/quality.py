@@ -250,3 +250,22 @@ def scored(
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def passing(docs: DataFrame, network: Network, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """All columns of the documents that score ``threshold`` or more."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            start, held, size = 0, [], 0
+            for k in range(batch.num_rows):
+                held.append((texts[k].as_py() or "").encode())
+                size += len(held[-1])
+                if size >= AT_ONCE or k + 1 == batch.num_rows:
+                    keep = pa.array(network.scores(held) >= threshold)
+                    yield batch.slice(start, len(held)).filter(keep)
+                    start, held, size = k + 1, [], 0
+
+    return docs.mapInArrow(run, docs.schema)

@@ -235,5 +235,22 @@ def near_duplicates(
     )
 
 
+def without_near_duplicates(
+    docs: DataFrame, size: int = 3, radius: int = 2, key: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """All columns of one document of each group: the one with the smallest key. A row repeated
+    with its key and text is kept once; different texts under one key are different documents and
+    stay, as do documents with a null key.
+
+    What stays is decided on (key, fingerprint) alone and then joined to the documents, of which
+    a group has at most one that matches, so no group is gathered.
+    """
+    known = docs.where(F.col(key).isNotNull())
+    groups = near_duplicates(known, size, radius, key, text)
+    kept = groups.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    one = known.join(kept, key, "left_semi").dropDuplicates([key, text])
+    return one.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+
+
 def hex_digits(fingerprint: str) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
