@@ -372,9 +372,6 @@ def _cohorts() -> dict[str, str]:
     months = ", ".join(
         f"max(CASE WHEN age = {a} AND p <> 0 THEN p END) AS month_{a}" for a in range(13)
     )
-    wide = ", ".join(
-        f"coalesce(max(CASE WHEN age = {a} THEN active END), 0) AS month_{a}" for a in range(13)
-    )
 
     def after(age: int) -> str:
         return (
@@ -389,7 +386,9 @@ def _cohorts() -> dict[str, str]:
         "retention_counts": """
             SELECT cohort AS cohort_month, age AS months_since_first, active AS active_customers
             FROM grid""",
-        "retention_counts_wide": f"SELECT cohort AS cohort_month, {wide} FROM grid GROUP BY cohort",
+        "retention_counts_wide": """
+            , named AS (SELECT cohort AS cohort_month, 'month_' || age AS month, active FROM grid)
+            PIVOT named ON month USING coalesce(max(active), 0) GROUP BY cohort_month""",
         "retention_matrix": f"""
             SELECT cohort AS cohort_month, age AS months_since_first,
               round({share}, 6) AS retention_pct FROM grid""",
@@ -612,6 +611,8 @@ def _tables() -> dict[str, str]:
         "dim_geolocation": ("(SELECT * FROM customers)", "zip"),
         "fact_orders": ("facts", "order_id"),
         "fact_reviews": ("written", "review_id"),
+        "fact_order_items": ("(SELECT row_number() OVER () AS item_id FROM items)", "item_id"),
+        "fact_payments": ("(SELECT row_number() OVER () AS payment_id FROM payments)", "payment_id"),
     }
     copies = " UNION ALL ".join(
         f"SELECT '{t}' AS \"table\", count(*) FILTER (key IS NOT NULL AND n > 1) "
@@ -732,6 +733,8 @@ def statements() -> dict[str, str]:
         _marts(),
     )
     found = {name: query(body) for part in parts for name, body in part.items()}
-    # the same report, by way of CSV files
+    # the same reports, by way of CSV files or the stored star
     found["load_raw"] = found["revenue_waterfall"]
+    found["stored_revenue_waterfall"] = found["revenue_waterfall"]
+    found["stored_seller_performance"] = found["seller_performance"]
     return found

@@ -1,11 +1,10 @@
-"""Distributed ranking and skew-safe joins against plain Spark windows and joins."""
+"""Distributed ranking against plain Spark windows."""
 
 import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tradeweave.plans.joins import heavy_keys, skew_join
 from tradeweave.plans.ordering import numbered, running, tiled, tiled_each, value_standing
 from tradeweave.plans.quantiles import grouped_quantiles
 
@@ -74,54 +73,3 @@ def test_grouped_quantiles_match_numpy(spark):
         expected = np.quantile(values[row["g"]], list(fractions.values()))
         assert [row[f] for f in fractions] == pytest.approx(expected.tolist())
         assert row["n"] == len(values[row["g"]])
-
-
-@pytest.fixture
-def hot(spark):
-    """40,000 rows of which half carry one key, a lookup with gaps, and a null key."""
-    key = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 101 == 0, None).otherwise(F.col("id") % 97)
-    left = spark.range(40_000).select(key.alias("k"), F.col("id").alias("x"))
-    right = spark.range(90).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y"))
-    return left, right
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
-def test_salted_join_is_a_join(spark, hot, no_broadcast, how):
-    left, right = hot
-    ours, plain = skew_join(left, right, "k", how, spread_by="x"), left.join(right, "k", how)
-    assert ours.columns == plain.columns
-    assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
-
-
-def test_salt_spreads_the_hot_key(spark, hot, no_broadcast):
-    left, right = hot
-    assert 7 in [r["k"] for r in heavy_keys(left, ["k"]).collect()]
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = skew_join(left, right, "k", spread_by="x").filter("k = 7")
-        parts = joined.groupBy(F.spark_partition_id()).count().collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-    assert len(parts) >= 5 and max(r["count"] for r in parts) < 15_000
-
-
-def test_salt_keeps_scans_narrow(spark, no_broadcast, tmp_path):
-    spark.range(5000).selectExpr("id % 2 AS k", "id AS x", "id AS a", "id AS b").write.parquet(
-        str(tmp_path / "wide")
-    )
-    wide, lookup = spark.read.parquet(str(tmp_path / "wide")), spark.range(9).selectExpr("id AS k")
-    used = skew_join(wide, lookup, "k", spread_by="x").groupBy("k").agg(F.sum("a"))
-    plan = used._jdf.queryExecution().executedPlan().toString()
-    assert "salt" in plan and "ReadSchema: struct<k:bigint,x:bigint,a:bigint>" in plan
-
-
-def test_reports_without_broadcast(spark, no_broadcast):
-    """The paths large tables take give the same answers."""
-    import __spark_entry__ as contract
-    from tests.compare import differences, duck
-
-    folder = "/root/testdata/sf0.001"
-    con, queries, oracles = duck(folder), contract.queries(), contract.oracle_sql()
-    for name in ("baseline_kpis", "pareto_abc", "analysis_base", "seller_performance",
-                 "seller_state_summary", "cohort_orders", "spearman_freight_review"):
-        assert differences(queries[name](spark, folder), con, oracles[name]) == [], name

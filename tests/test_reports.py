@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as contract
+from oracles.reports import statements
 from tests.compare import differences, duck
+from tradeweave.registry import all_queries
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
+QUERIES = all_queries()
+ORACLES = statements()
 
 # reports over all five clusters' tables run the whole k search; tests/test_clusters.py
 # checks them on planted clusters instead

@@ -1,5 +1,6 @@
 """Hand-made rows for the rules that are easy to get wrong."""
 
+import math
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -79,7 +80,7 @@ def test_installment_buckets(spark):
 
 def test_delivery_buckets_differ_at_minus_five(spark):
     days = [-1000, -999, -6, -5, -1, 0, 1, 9, 10, 999, 1000, None]
-    b = L.DELIVERY_BUCKETS
+    b = [*(name for _, name in L.DELIVERY_BUCKETS), L.DELIVERY_REST]
     assert column(spark, days, "int", buckets.delivery_bucket(F.col("v"))) == [
         b[4], b[4], b[4], b[3], b[3], b[2], b[1], b[1], b[0], b[0], b[0], b[4],
     ]
@@ -110,12 +111,23 @@ def test_segment_order_matters(spark):
 @pytest.mark.parametrize(
     "t, df, p",
     [(2.0, 10, 0.0733880), (12.7062047, 1, 0.05), (0.0, 5, 1.0), (3.5, 47.3, 0.0010254),
-     (1.959963985, 1e9, 0.05), (float("inf"), 3, 0.0)],
+     (1.959963985, 1e9, 0.05), (1.959963985, 1e12, 0.05), (float("inf"), 3, 0.0)],
 )
 def test_t_distribution(t, df, p):
     assert stats.two_sided_p(t, df) == pytest.approx(p, abs=1e-6)
 
 
+@pytest.mark.parametrize("t", [0.001, 0.7, 2.0, 3.9, 4.1, 6.0])
+def test_t_distribution_nears_the_normal_one(t):
+    for df in (1e7, 1e9, 1e11):
+        assert stats.two_sided_p(t, df) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-4)
+
+
+def test_p_value_without_convergence_is_unknown(monkeypatch):
+    monkeypatch.setattr(stats, "TERMS", 3)
+    assert math.isnan(stats.two_sided_p(2.0, 10))
+
+
 def test_significance_marks(spark):
     p = [0.0005, 0.001, 0.02, 0.05, None]
     found = column(spark, p, "double", stats.significance_label(F.col("v")))

@@ -97,3 +97,17 @@ def test_scans(spark):
     spark.range(3).createOrReplaceTempView("three")
     assert files.scan_table(spark, "three").count() == 3
     assert files.scan_sql(spark, "SELECT * FROM three WHERE id > 0").count() == 2
+
+
+def test_saved_table_is_replaced(spark):
+    """A catalog table is replaced as a whole and read back by name and by statement."""
+    from tradeweave.sources import files
+
+    try:
+        for n in (3, 2):
+            warehouse.save_table(spark.range(n).withColumnRenamed("id", "k"), "saved_numbers")
+        assert sorted(r["k"] for r in files.scan_table(spark, "saved_numbers").collect()) == [0, 1]
+        found = files.scan_sql(spark, "SELECT sum(k) AS total FROM saved_numbers").collect()
+        assert found[0]["total"] == 1
+    finally:
+        spark.sql("DROP TABLE IF EXISTS saved_numbers")

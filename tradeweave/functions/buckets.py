@@ -24,6 +24,14 @@ def below(value: Column, steps: Sequence[tuple[float, str]], rest: str) -> Colum
     return chain.otherwise(F.lit(rest))
 
 
+def at_least(value: Column, steps: Sequence[tuple[float, str]], rest: str) -> Column:
+    """Name of the first step whose limit is not above ``value``, else ``rest``."""
+    chain = F
+    for limit, name in steps:
+        chain = chain.when(value >= limit, F.lit(name))
+    return chain.otherwise(F.lit(rest))
+
+
 def pick(position: Column, names: Sequence[str]) -> Column:
     """The name at a 1-based position."""
     return F.element_at(F.array(*[F.lit(n) for n in names]), position.cast("int"))
@@ -41,16 +49,8 @@ def weight_bucket(grams: Column) -> Column:
 
 
 def delivery_bucket(days_early: Column) -> Column:
-    """Delivery against the promise, positive = early; exactly -5 is slightly late."""
-    early, soon, on_time, late, very_late = (F.lit(n) for n in L.DELIVERY_BUCKETS)
-    return (
-        F.when(days_early < -5, very_late)
-        .when(days_early < 0, late)
-        .when(days_early == 0, on_time)
-        .when(days_early < 10, soon)
-        .when(days_early >= 10, early)
-        .otherwise(very_late)
-    )
+    """Delivery against the promise in whole days, positive = early; exactly -5 is slightly late."""
+    return at_least(days_early, L.DELIVERY_BUCKETS, L.DELIVERY_REST)
 
 
 def delivery_cut(days_early: Column) -> Column:

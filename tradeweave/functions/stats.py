@@ -30,14 +30,32 @@ def correlation_t(r: Column, n: Column) -> Column:
     return F.coalesce(finite, F.when(rest <= 0, F.signum(r) * float("inf")))
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
-    if x <= 0.0 or x >= 1.0:
-        return float(x >= 1.0)
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _incomplete_beta(b, a, 1.0 - x)
+TERMS = 10_000_000  # of the continued fraction; it needs about the root of the larger parameter
+
+
+def _log_beta(a: float, b: float) -> float:
+    """Logarithm of the beta function; for a large parameter by the series of its ratio of gammas,
+    as the difference of two large logarithms would lose its digits."""
+    low, high = min(a, b), max(a, b)
+    if high < 1e5:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+
+    def tail(x: float) -> float:  # what Stirling's formula leaves of log gamma
+        return 1 / (12 * x) - 1 / (360 * x**3)
+
+    ratio = (high - 0.5) * -math.log1p(low / high) - low * math.log(high + low) + low
+    return math.lgamma(low) + ratio + tail(high) - tail(high + low)
+
+
+def _incomplete_beta(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta function at x, with y = 1 - x to its own full digits, by its
+    continued fraction (modified Lentz); NaN where that has not converged."""
+    if x <= 0.0 or y <= 0.0:
+        return float(y <= 0.0)
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    log_y = math.log(y) if y < 0.5 else math.log1p(-x)
     fraction, c, d = 1.0, 1.0, 0.0
-    for j in range(1, 100_000):
+    for j in range(1, TERMS):
         m = j // 2
         if j % 2:
             term = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
@@ -47,24 +65,22 @@ def _incomplete_beta(a: float, b: float, x: float) -> float:
         c = (1.0 + term / c) or 1e-300
         fraction *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    log_front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-    log_front += a * math.log(x) + b * math.log1p(-x)
-    return math.exp(log_front) / (a * fraction)
-
-
-NORMAL_FROM = 1e8  # degrees of freedom beyond which t is normal to eight digits
+            return math.exp(a * log_x + b * log_y - _log_beta(a, b)) / (a * fraction)
+    return math.nan
 
 
 def two_sided_p(t: float, df: float) -> float:
-    """Two-sided p-value of Student's t."""
+    """Two-sided p-value of Student's t, by one method for all degrees of freedom."""
     if math.isnan(t) or math.isnan(df) or df <= 0:
         return math.nan
     if math.isinf(t):
         return 0.0
-    if df > NORMAL_FROM:
-        return math.erfc(abs(t) / math.sqrt(2.0))
-    return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    x, y = df / (df + t * t), t * t / (df + t * t)
+    if y < 0.5 and abs(t) < 4.0:
+        # for many degrees of freedom x is so close to 1 that the fraction at y has more digits;
+        # far out its complement would be too small for that
+        return 1.0 - _incomplete_beta(0.5, df / 2.0, y, x)
+    return _incomplete_beta(df / 2.0, 0.5, x, y)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -42,13 +42,14 @@ NEED_ATTENTION = "Need Attention"
 CLV_TIERS = ("Basic", "Bronze", "Silver", "Gold", "Platinum")
 
 # delivery against the promise, earliest first
+# whole days early against the promise: lowest value -> name; below all of them, or unknown: the rest
 DELIVERY_BUCKETS = (
-    "1. Very Early (10+ days early)",
-    "2. Early (1-9 days)",
-    "3. On Time",
-    "4. Slightly Late (1-5 days)",
-    "5. Very Late (5+ days)",
+    (10, "1. Very Early (10+ days early)"),
+    (1, "2. Early (1-9 days)"),
+    (0, "3. On Time"),
+    (-5, "4. Slightly Late (1-5 days)"),
 )
+DELIVERY_REST = "5. Very Late (5+ days)"
 
 # the same idea with right-closed cuts: (lower bound, upper bound, name)
 DELIVERY_CUTS = (

@@ -11,7 +11,6 @@ from tradeweave import labels as L
 from tradeweave.functions.dates import as_moment, elapsed_days, month_of
 from tradeweave.functions.rounding import ratio
 from tradeweave.functions.text import title_case
-from tradeweave.plans.joins import skew_join
 from tradeweave.plans.quantiles import grouped_quantiles
 from tradeweave.schemas import STAR
 
@@ -47,14 +46,7 @@ def clean_customers(raw: DataFrame) -> DataFrame:
 def clean_products(raw: DataFrame, translation: DataFrame) -> DataFrame:
     """Products with English categories; a category without translation becomes 'other'."""
     names = translation.select("product_category_name", "product_category_name_english")
-    named = skew_join(
-        keep_first(raw, "product_id"),
-        names,
-        "product_category_name",
-        "left",
-        spread_by="product_id",
-        measured=raw,
-    )
+    named = keep_first(raw, "product_id").join(names, "product_category_name", "left")
     return conform(
         named.withColumnsRenamed(
             {

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tradeweave.functions.rounding import ratio
 from tradeweave.operators.customers import cohort_activity
 from tradeweave.plans.grains import delivered, rows
-from tradeweave.plans.joins import attach, skew_join
 from tradeweave.plans.star import Star
 
 
@@ -20,13 +19,13 @@ def cohort_orders(star: Star) -> DataFrame:
     firsts = (
         sold.groupBy("customer_id")
         .agg(F.min("order_month").alias("first"))
-        .transform(lambda df: attach(df, accounts, "customer_id"))
+        .transform(lambda df: df.join(accounts, "customer_id"))
         .groupBy("customer_unique_id")
         .agg(F.min("first").alias("cohort_month"))
     )
-    owned = skew_join(sold, accounts, "customer_id", spread_by="order_id")
+    owned = sold.join(accounts, "customer_id")
     return (
-        skew_join(owned, firsts, "customer_unique_id", spread_by="order_id")
+        owned.join(firsts, "customer_unique_id")
         .select("customer_unique_id", "cohort_month", "order_month")
     )
 

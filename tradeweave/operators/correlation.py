@@ -30,24 +30,17 @@ from tradeweave.plans.fanout import (
     scatters,
 )
 from tradeweave.plans.grains import account_states, rows
-from tradeweave.plans.joins import skew_join
 from tradeweave.plans.ordering import durable, running
 from tradeweave.plans.star import Star
 
 VARIABLES = tuple(LEVELS)
 
-# rank tables up to this many values are broadcast (16 bytes each), larger ones shuffled
-BROADCAST_VALUES = 1_000_000
-
-
 def analysis_base(star: Star) -> DataFrame:
     """One row per item and review of an analysed order."""
     products = star.products.select(
         "product_id", "product_weight_g", F.col("product_category_english").alias("category")
     )
-    orders = skew_join(
-        analysis_orders(star), account_states(star), "customer_id", spread_by="order_id"
-    )
+    orders = analysis_orders(star).join(account_states(star), "customer_id")
     scores = star.reviews.select("order_id", "review_id", "review_score")
     return (
         _item_rows(star, products, orders, scores)
@@ -72,9 +65,8 @@ def _item_rows(
     star: Star, products: DataFrame, orders: DataFrame, reviews: DataFrame
 ) -> DataFrame:
     """Items with their product, order and every review of the order."""
-    hot = {"spread_by": "product_id", "measured": star.order_items}
-    items = skew_join(star.order_items, products, "product_id", spread_by="order_id")
-    return skew_join(skew_join(items, orders, "order_id", **hot), reviews, "order_id", **hot)
+    items = star.order_items.join(products, "product_id")
+    return items.join(orders, "order_id").join(reviews, "order_id")
 
 
 def _corr(a: str, b: str) -> Column:
@@ -127,7 +119,7 @@ def ranked(lv: Levels) -> Levels:
         parts.append(weighed(paired, names, F.col("k") * F.col("r")))
     for level, weight in ((ITEM, "r"), (REVIEW, "k")):
         if names := lv.at(level):
-            counted = skew_join(lv.frame(level), counts, "order_id", spread_by=names)
+            counted = lv.frame(level).join(counts, "order_id")
             parts.append(weighed(counted, names, F.col(weight)))
     seen = parts[0]
     for part in parts[1:]:
@@ -144,7 +136,6 @@ def ranked(lv: Levels) -> Levels:
             .alias("rank"),
         )
     )
-    sizes = {row["variable"]: row["count"] for row in ranks.groupBy("variable").count().collect()}
 
     def replace(source: Levels, level: str) -> DataFrame:
         df = source.frame(level)
@@ -152,12 +143,7 @@ def ranked(lv: Levels) -> Levels:
             table = ranks.filter(F.col("variable") == name).select(
                 F.col("value").alias(name), F.col("rank").alias(f"{name}_rank")
             )
-            known = sizes.get(name, 0) <= BROADCAST_VALUES
-            if known:
-                df = df.join(F.broadcast(table), name)
-            else:
-                df = skew_join(df, table, name, spread_by="order_id")
-            df = df.drop(name).withColumnRenamed(f"{name}_rank", name)
+            df = df.join(table, name).drop(name).withColumnRenamed(f"{name}_rank", name)
         return df
 
     found = Levels(paired.drop("k", "r"), lv.items, lv.reviews, lv.variables)

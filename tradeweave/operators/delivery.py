@@ -10,12 +10,12 @@ from tradeweave.plans.grains import (
     account_states,
     delivered,
     item_sums,
+    items_by_order,
     reviewed_orders,
     reviewed_sums,
     rows,
     state_deliveries,
 )
-from tradeweave.plans.joins import attach, skew_join
 from tradeweave.plans.ordering import durable, ntile_at
 from tradeweave.plans.star import Star
 
@@ -113,7 +113,7 @@ def freight_by_state_weight(star: Star) -> DataFrame:
         "product_id", weight_bucket(F.col("product_weight_g")).alias("weight_bucket")
     )
     lines = (
-        skew_join(star.order_items, weights, "product_id", spread_by="order_id")
+        items_by_order(star).join(weights, "product_id")
         .groupBy("order_id", "weight_bucket")
         .agg(*item_sums())
     )
@@ -130,7 +130,7 @@ def freight_by_state_weight(star: Star) -> DataFrame:
         .agg(*[F.sum(name).alias(name) for name in sums])
     )
     return (
-        attach(per_account, account_states(star), "customer_id")
+        per_account.join(account_states(star), "customer_id")
         .groupBy("customer_state", "weight_bucket")
         .agg(*[F.sum(name).alias(name) for name in sums])
         .select(
@@ -159,10 +159,10 @@ def seller_reliability(
     timed = reviewed_orders(star, dedupe_reviews=dedupe_reviews).filter(
         F.col("delivery_days_actual").isNotNull()
     )
-    lines = star.order_items.groupBy("order_id", "seller_id").agg(*item_sums())
+    lines = items_by_order(star).groupBy("order_id", "seller_id").agg(*item_sums())
     sums = reviewed_sums(lines, timed, "seller_id").filter(F.col("orders") >= min_orders)
     sellers = durable(
-        attach(sums, star.sellers, "seller_id").select(
+        sums.join(star.sellers, "seller_id").select(
             "seller_id",
             "seller_city",
             "seller_state",

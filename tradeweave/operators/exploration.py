@@ -8,7 +8,6 @@ from tradeweave.functions.rounding import percent, ratio
 from tradeweave.operators import overview
 from tradeweave.plans.boxes import box_stats
 from tradeweave.plans.grains import account_states, category_sales, delivered, order_sales, rows
-from tradeweave.plans.joins import attach
 from tradeweave.plans.star import Star
 
 
@@ -69,7 +68,7 @@ def delivery_box_by_state(star: Star, top: int = 10, max_days: int = 60) -> Data
     )
     # at most (max_days + 1) rows per state from here on
     counts = (
-        attach(per_account, account_states(star), "customer_id")
+        per_account.join(account_states(star), "customer_id")
         .groupBy("customer_state", "delivery_days_actual")
         .agg(F.sum("rows").alias("rows"))
     )

@@ -8,26 +8,36 @@ from tradeweave.plans.grains import (
     account_sales,
     category_sales,
     delivered,
+    order_sales,
     rows,
     state_deliveries,
 )
-from tradeweave.plans.joins import skew_join
 from tradeweave.plans.star import Star
 
 
 def baseline_kpis(star: Star) -> DataFrame:
     """Distinct orders, accounts, products and sellers, revenue and its means; one row."""
-    orders = delivered(star.orders).select("order_id", "customer_id")
-    sold = star.order_items.select("order_id", "product_id", "seller_id", "total_value")
+    per_order = order_sales(star).agg(
+        rows().alias("total_orders"),
+        F.count_distinct("customer_id").alias("total_customers"),
+        F.sum("revenue").alias("total_revenue"),
+        F.coalesce(F.sum("valued"), F.lit(0)).alias("valued"),
+    )
+    kept = delivered(star.orders).select("order_id")
+    sold = star.order_items.select("order_id", "product_id", "seller_id")
+    per_kind = sold.join(kept, "order_id", "left_semi").agg(
+        F.count_distinct("product_id").alias("total_products"),
+        F.count_distinct("seller_id").alias("total_sellers"),
+    )
     return (
-        skew_join(sold, orders, "order_id", spread_by="product_id")
-        .agg(
-            F.count_distinct("order_id").alias("total_orders"),
-            F.count_distinct("customer_id").alias("total_customers"),
-            F.count_distinct("product_id").alias("total_products"),
-            F.count_distinct("seller_id").alias("total_sellers"),
-            F.sum("total_value").alias("total_revenue"),
-            F.count("total_value").alias("valued"),
+        per_order.crossJoin(F.broadcast(per_kind))  # one row each
+        .select(
+            "total_orders",
+            "total_customers",
+            "total_products",
+            "total_sellers",
+            "total_revenue",
+            "valued",
         )
         .withColumns(
             {

@@ -73,7 +73,7 @@ def pareto_abc(star: Star) -> DataFrame:
 def payment_installment_analysis(star: Star) -> DataFrame:
     """Payments of delivered orders by type and installment plan."""
     plan = installment_bucket(F.col("payment_installments")).alias("installment_bucket")
-    per_order = star.payments.groupBy("order_id", "payment_type", plan).agg(
+    per_order = star.payments.repartition("order_id").groupBy("order_id", "payment_type", plan).agg(
         rows().alias("payments"), F.sum("payment_value").alias("value")
     )
     plans = (

@@ -7,21 +7,21 @@ from tradeweave.functions.rounding import cents, mean_money, percent, ratio
 from tradeweave.plans.grains import (
     category_lines,
     item_sums,
+    items_by_order,
     product_categories,
     reviewed_orders,
     reviewed_sums,
     rows,
 )
-from tradeweave.plans.joins import attach, skew_join
 from tradeweave.plans.ordering import tiled, value_standing
 from tradeweave.plans.star import Star
 
 
 def seller_sums(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
     """Item-by-review sums of delivered orders per seller, with city and state."""
-    lines = star.order_items.groupBy("order_id", "seller_id").agg(*item_sums())
+    lines = items_by_order(star).groupBy("order_id", "seller_id").agg(*item_sums())
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
-    return attach(reviewed_sums(lines, orders, "seller_id"), star.sellers, "seller_id")
+    return reviewed_sums(lines, orders, "seller_id").join(star.sellers, "seller_id")
 
 
 def seller_performance(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
@@ -48,7 +48,7 @@ def seller_performance(star: Star, *, dedupe_reviews: bool = False) -> DataFrame
     standing = _revenue_standing(tiles)
     total = tiles.agg(F.sum("total_revenue").alias("all_revenue"))
     return (
-        skew_join(tiles, standing, "total_revenue", spread_by="seller_id")
+        tiles.join(standing, "total_revenue")
         .crossJoin(F.broadcast(total))  # one row
         .withColumns(
             {
@@ -110,7 +110,7 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
     """
     lines = star.order_items.select("order_id", "product_id")
     baskets = (
-        skew_join(lines, product_categories(star), "product_id", spread_by="order_id")
+        lines.join(product_categories(star), "product_id")
         .filter(F.col("category").isNotNull())
         .groupBy("order_id")
         .agg(F.sort_array(F.collect_set("category")).alias("basket"))
@@ -147,10 +147,8 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
 def seller_state_summary(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
     """Sellers, orders and revenue per seller state; one row per state."""
     states = star.sellers.select("seller_id", "seller_state")
-    by_seller = star.order_items.groupBy("order_id", "seller_id").agg(*item_sums())
-    lines = skew_join(
-        by_seller, states, "seller_id", spread_by="order_id", measured=star.order_items
-    )
+    by_seller = items_by_order(star).groupBy("order_id", "seller_id").agg(*item_sums())
+    lines = by_seller.join(states, "seller_id")
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
     sums = reviewed_sums(
         lines,
@@ -173,10 +171,10 @@ def seller_state_summary(star: Star, *, dedupe_reviews: bool = False) -> DataFra
 
 def top_products(star: Star, top: int = 30, *, dedupe_reviews: bool = False) -> DataFrame:
     """Products with the highest revenue; only the kept rows are ranked."""
-    lines = star.order_items.groupBy("order_id", "product_id").agg(*item_sums())
+    lines = items_by_order(star).groupBy("order_id", "product_id").agg(*item_sums())
     orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
     return (
-        attach(reviewed_sums(lines, orders, "product_id"), product_categories(star), "product_id")
+        reviewed_sums(lines, orders, "product_id").join(product_categories(star), "product_id")
         .orderBy(F.desc("revenue"), "product_id")
         .limit(top)
         .select(

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tradeweave.functions.stats import scatter
 from tradeweave.plans.grains import delivered, rows
-from tradeweave.plans.joins import skew_join
 from tradeweave.plans.star import Star
 
 ORDER, ITEM, REVIEW = "order", "item", "review"
@@ -37,7 +36,7 @@ def analysis_orders(star: Star, max_days: int = MAX_DAYS) -> DataFrame:
         F.col("delivery_days_actual").between(0, max_days)
     )
     known = star.customers.select("customer_id")
-    return skew_join(timely, known, "customer_id", "left_semi", spread_by="order_id")
+    return timely.join(known, "customer_id", "left_semi")
 
 
 @dataclass(frozen=True)
@@ -70,7 +69,7 @@ def levels(star: Star, *variables: str) -> Levels:
     return Levels(
         complete(analysis_orders(star), ORDER, "is_late_delivery"),
         complete(
-            skew_join(star.order_items, weights, "product_id", spread_by="order_id"), ITEM
+            star.order_items.join(weights, "product_id"), ITEM
         ),
         complete(star.reviews, REVIEW),
         tuple(variables),

@@ -1,8 +1,9 @@
 """Common grains: facts summed to the key of the next join before they are joined.
 
-Every sum starts map-side, so a hot product, seller, customer or order shrinks to one row
-per task before anything is shuffled, and the joins that follow are one row to one row.
-Counting distinct orders then is counting rows.
+A hot product, seller or customer shrinks to one row per order or task before anything is
+shuffled by it, and the joins that follow are one row to one row.  Counting distinct orders
+then is counting rows.  Joins of detail rows are left to Spark, which broadcasts small sides
+and, with adaptive execution, splits the partitions of hot keys.
 """
 
 from collections.abc import Sequence
@@ -11,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave import labels as L
-from tradeweave.plans.joins import attach, skew_join
 from tradeweave.plans.star import Star
 
 
@@ -35,6 +35,12 @@ def item_sums() -> list[Column]:
     ]
 
 
+def items_by_order(star: Star) -> DataFrame:
+    """Order items dealt by order: sums per order and more, and joins on the order, all use this
+    one exchange.  (order, seller) is nearly unique, so summing before it would save little."""
+    return star.order_items.repartition("order_id")
+
+
 def order_sales(star: Star) -> DataFrame:
     """One row per delivered order that has items, with its item sums."""
     per_order = star.order_items.groupBy("order_id").agg(*item_sums())
@@ -56,7 +62,7 @@ def account_sales(star: Star) -> DataFrame:
             F.max(bought).alias("last_order"),
         )
     )
-    return attach(per_account, star.customers, "customer_id")
+    return per_account.join(star.customers, "customer_id")
 
 
 def person_sales(star: Star) -> DataFrame:
@@ -79,19 +85,20 @@ def product_categories(star: Star) -> DataFrame:
 
 
 def category_lines(star: Star) -> DataFrame:
-    """One row per (order, category) with item sums, all order states."""
-    lines = skew_join(
-        star.order_items, product_categories(star), "product_id", spread_by="order_id"
+    """One row per (order, category) of delivered orders with item sums."""
+    kept = delivered(star.orders).select("order_id")
+    lines = items_by_order(star).join(kept, "order_id", "left_semi")
+    return (
+        lines.join(product_categories(star), "product_id")
+        .groupBy("order_id", "category")
+        .agg(*item_sums())
     )
-    return lines.groupBy("order_id", "category").agg(*item_sums())
 
 
 def category_sales(star: Star) -> DataFrame:
     """One row per category over delivered orders."""
-    kept = delivered(star.orders).select("order_id")
     return (
         category_lines(star)
-        .join(kept, "order_id")
         .groupBy("category")
         .agg(
             rows().alias("orders"),
@@ -193,7 +200,7 @@ def account_deliveries(star: Star) -> DataFrame:
             F.sum("is_late_delivery").alias("late"),
         )
     )
-    return attach(per_account, account_states(star), "customer_id")
+    return per_account.join(account_states(star), "customer_id")
 
 
 def state_deliveries(star: Star) -> DataFrame:

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradeweave.plans.joins import skew_join
 from tradeweave.plans.ordering import running
 
 
@@ -18,7 +17,7 @@ def grouped_quantiles(
     spans = placed.groupBy(*groups).agg(
         F.min("before").alias("group_start"), F.sum(weight).alias("group_n")
     )
-    keyed = skew_join(placed, spans, groups, spread_by=value)
+    keyed = placed.join(spans, groups)
     first = F.col("before") - F.col("group_start")
     keyed = keyed.withColumns({"first": first, "last": first + F.col(weight) - 1})
 

@@ -20,7 +20,7 @@ from tradeweave.operators import (
     revenue,
     sellers,
 )
-from tradeweave.plans.ordering import checkpoint_folder
+from tradeweave.plans.ordering import checkpoint_folder, durable
 from tradeweave.plans.star import Star, Tables, star_from_raw
 from tradeweave.sources import files
 from tradeweave.sources.sample import sample_raw, sample_star
@@ -191,10 +191,7 @@ def _fresh(spark: SparkSession, name: str) -> str:
 
 def verify_load(spark: SparkSession, folder: str) -> DataFrame:
     """Stores the star in a fresh shared folder and compares row counts."""
-    star = sample_star(spark, folder)
-    target = _fresh(spark, "star")
-    write_star(star, target)
-    return portable(quality.verify_load(star, read_star(spark, target)))
+    return portable(quality.verify_load(sample_star(spark, folder), _stored(spark, folder)))
 
 
 def load_raw(spark: SparkSession, folder: str) -> DataFrame:
@@ -213,7 +210,7 @@ def export_clusters(spark: SparkSession, folder: str) -> DataFrame:
 
 def pk_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Key check on the raw tables, where copies still exist."""
-    raw = sample_raw(spark, folder)
+    raw, star = sample_raw(spark, folder), sample_star(spark, folder)
     zipped = raw["geolocation"].withColumnRenamed(
         "geolocation_zip_code_prefix", "geolocation_zip_prefix"
     )
@@ -225,6 +222,8 @@ def pk_duplicates(spark: SparkSession, folder: str) -> DataFrame:
             "dim_geolocation": lambda: zipped,
             "fact_orders": lambda: raw["orders"],
             "fact_reviews": lambda: raw["reviews"],
+            "fact_order_items": lambda: quality.with_surrogate_key(star.order_items, "fact_order_items"),
+            "fact_payments": lambda: quality.with_surrogate_key(star.payments, "fact_payments"),
         }
     )
     return portable(quality.pk_duplicates(tables))
@@ -240,8 +239,25 @@ def cleaning_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def retention_counts_wide(spark: SparkSession, folder: str) -> DataFrame:
-    grid = cohorts.retention_counts(sample_star(spark, folder))
-    return portable(cohorts.widen(grid, "active_customers", range(13)))
+    """Every offset found; they are months, so their list is short."""
+    grid = durable(cohorts.retention_counts(sample_star(spark, folder)))
+    found = grid.select("months_since_first").distinct().orderBy("months_since_first").collect()
+    return portable(cohorts.widen(grid, "active_customers", [r[0] for r in found]))
+
+
+def stored_revenue_waterfall(spark: SparkSession, folder: str) -> DataFrame:
+    return portable(revenue.revenue_waterfall(_stored(spark, folder)))
+
+
+def stored_seller_performance(spark: SparkSession, folder: str) -> DataFrame:
+    return portable(sellers.seller_performance(_stored(spark, folder)))
+
+
+def _stored(spark: SparkSession, folder: str) -> Star:
+    """The star as written to a fresh shared folder and read back."""
+    target = _fresh(spark, "star")
+    write_star(sample_star(spark, folder), target)
+    return read_star(spark, target)
 
 
 def retention_curve_observed(spark: SparkSession, folder: str) -> DataFrame:
@@ -262,6 +278,8 @@ def all_queries() -> dict[str, Query]:
         fk_orphans,
         cleaning_report,
         retention_counts_wide,
+        stored_revenue_waterfall,
+        stored_seller_performance,
         retention_curve_observed,
     )
     return found | {query.__name__: query for query in extra}

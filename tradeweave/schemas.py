@@ -156,7 +156,7 @@ STAR = {
     ),
 }
 
-# Natural primary keys; items and payments are only numbered on load.
+# Primary keys; those of items and payments are numbers given on load.
 PRIMARY_KEYS = {
     "dim_customers": "customer_id",
     "dim_products": "product_id",
@@ -164,6 +164,8 @@ PRIMARY_KEYS = {
     "dim_geolocation": "geolocation_zip_prefix",
     "fact_orders": "order_id",
     "fact_reviews": "review_id",
+    "fact_order_items": "item_id",
+    "fact_payments": "payment_id",
 }
 
 # Row numbers added on load: table -> new column

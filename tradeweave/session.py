@@ -2,7 +2,8 @@
 
 from pyspark.sql import SparkSession
 
-# On a cluster these usually come from spark-defaults; the reports do not depend on them.
+# On a cluster these usually come from spark-defaults.  Results do not depend on them; how well a
+# hot key is spread does: joins leave that to adaptive execution.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
