@@ -101,5 +101,53 @@ QUALIFY rank <= 20
 """
 
 
+OP4_SQL = """
+WITH p AS (
+    SELECT page_id, regexp_replace(coalesce(url, ''), '\\s', '', 'g') AS url, coalesce(html, '') AS body
+    FROM pages
+), hashed AS (
+    SELECT *, CAST(CAST(unhex(sha1(body)) AS BIT) AS VARCHAR) AS bits, max(page_id) OVER (PARTITION BY body) AS first
+    FROM p
+)
+SELECT page_id, url, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + list_sum(list_transform(range(5), lambda j: CAST(substr(bits, 5 * i + j + 1, 1) AS INTEGER) << (4 - j)))::INTEGER,
+           1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed
+"""
+
+OP10_SQL = """
+WITH split AS (
+    SELECT kind, id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words
+    FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents
+          UNION ALL SELECT 'b', item_id, text FROM benchmark)
+), windows AS (
+    SELECT DISTINCT id AS item, n, array_to_string(words[i : i + n - 1], ' ') AS piece
+    FROM (SELECT id, words, least(13, len(words)) AS n, unnest(range(1, len(words) - least(13, len(words)) + 2)) AS i
+          FROM split WHERE kind = 'b' AND len(words) > 0)
+), places AS (
+    SELECT id, n, i, array_to_string(words[i : i + n - 1], ' ') AS piece
+    FROM (SELECT id, words, n, unnest(range(1, len(words) - n + 2)) AS i
+          FROM split CROSS JOIN (SELECT DISTINCT n FROM windows) WHERE kind = 'd' AND len(words) >= n)
+), found AS (
+    SELECT id, n, i, item FROM places JOIN windows USING (n, piece)
+), hit AS (
+    SELECT id, count(DISTINCT place) AS n_hit
+    FROM (SELECT id, unnest(range(i, i + n)) AS place FROM found) GROUP BY id
+), items AS (
+    SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT id, CAST(item AS VARCHAR) AS item FROM found) GROUP BY id
+)
+SELECT split.id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM split LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE kind = 'd'
+"""
+
+
 def llm_statements() -> dict[str, str]:
-    return {"op7_bit_slices": OP7_SQL}
+    return {"op4_zip_warc": OP4_SQL, "op7_bit_slices": OP7_SQL, "op10_positional_index": OP10_SQL}
