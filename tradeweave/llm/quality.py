@@ -40,10 +40,13 @@ def held_out(key: Column) -> Column:
 
 
 def padded(text: bytes) -> np.ndarray:
-    """The bytes as numbers from 1, filled up with 0 to whole steps, WIDTH of them at least."""
-    size = -(-(len(text) + WIDTH) // STEP) * STEP
-    out = np.zeros(size, np.int64)
-    out[: len(text)] = np.frombuffer(text, np.uint8).astype(np.int64) + 1
+    """The bytes as numbers from 1, with zeros before and after them, in whole steps.
+
+    A filter that reaches over the end of one document sees zeros, whichever document is next.
+    """
+    lead = WIDTH - STRIDE
+    out = np.zeros(-(-(lead + len(text) + WIDTH) // STEP) * STEP, np.int64)
+    out[lead : lead + len(text)] = np.frombuffer(text, np.uint8).astype(np.int64) + 1
     return out
 
 
