@@ -6,7 +6,7 @@ import pytest
 
 from oracles.reports import statements
 from tests.compare import differences, duck
-from tradeweave.operators import overview, revenue, sellers
+from tradeweave.operators import correlation, overview, revenue, sellers
 from tradeweave.registry import all_queries
 from tradeweave.sources.sample import sample_star
 from tradeweave.sources.warehouse import read_star, write_star
@@ -90,3 +90,15 @@ def test_building_a_report_runs_nothing_over_rows(spark, stored):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert list(jobs) == []
+
+
+def test_correlations_do_not_depend_on_partitions(spark):
+    """Sums are exact, so the order in which partitions are added changes no digit."""
+    found = []
+    for n in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            found.append(correlation.pearson_matrix(sample_star(spark, FOLDER)).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert found[0] == found[1]

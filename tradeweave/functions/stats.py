@@ -14,8 +14,15 @@ ALPHA = 0.05
 
 
 def scatter(n: Column, sx: Column, sy: Column, sxy: Column) -> Column:
-    """Sum of products of deviations from exact sums; of squares when x is y."""
-    return sxy.cast("double") - sx.cast("double") * sy.cast("double") / n.cast("double")
+    """Sum of products of deviations from exact sums; of squares when x is y.
+
+    sxy - sx * sy / n with the whole part of the mean of x taken off first, exactly: what is left
+    to subtract as doubles is no larger than the result needs.
+    """
+    some = F.when(n > 0, n)
+    mean = F.call_function("div", sx, some)
+    rest = sx - mean * some
+    return (sxy - mean * sy).cast("double") - (rest * sy).cast("double") / some.cast("double")
 
 
 def correlation(vx: Column, vy: Column, cov: Column) -> Column:

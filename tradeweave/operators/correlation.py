@@ -21,6 +21,7 @@ from tradeweave.plans.fanout import (
     LEVELS,
     ORDER,
     REVIEW,
+    WHOLE,
     Levels,
     analysis_orders,
     levels,
@@ -132,7 +133,7 @@ def ranked(lv: Levels) -> Levels:
             "variable",
             "value",
             ((F.col("before") - F.col("start")) * 2 + F.col("rows") + 1)
-            .cast("double")
+            .cast(WHOLE)
             .alias("rank"),
         )
     )
