@@ -16,7 +16,13 @@ TOKEN_LIMIT = 1024
 QUALITY_FROM = 0.3
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:  # Python workers on this machine import this package from here
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [*known, ROOT]))
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
