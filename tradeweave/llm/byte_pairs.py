@@ -9,6 +9,8 @@ lookup, so it is an array of small maps, and a pair's CRC-32 says which. As Java
 take each task seconds to read, so the plan holds it as one JSON string, which is parsed once for
 each few thousand words. In it and in the fold a byte is the character of the same number
 (ISO 8859-1), so that pieces are strings; ids are turned into binary pieces again for decoding.
+The fold is quadratic in a word's length, so the few words of ``LONG_WORD`` characters or more have
+the same merges made from a heap.
 
 Each distinct word of the corpus is encoded once; ids are joined back by block (``words``), where
 each document's ids are put in order, and decoding concatenates the binary pieces of those ids.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from tradeweave.llm import words
 
 SHELVES = 16_384  # maps that the ranks are dealt over; about three entries each
-TOGETHER = 50_000  # words that share one reading of the ranks
+TOGETHER = 100_000  # words that share one reading of the ranks
 LONG_WORD = 200  # characters from which a word's merges are kept in a heap, as the fold is quadratic
 NONE = (1 << 31) - 1  # rank of a pair that never merges
 NO_PAIR = NONE << 31
@@ -145,7 +147,8 @@ def merged(word: Column, shelves: Column) -> Column:
 
 
 def word_ids(distinct: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(word, fact): the token ids of each distinct pre-token."""
+    """(word, fact): the token ids of each distinct pre-token, less ``words.SHIFT`` as shorts where
+    they all fit."""
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -175,7 +178,13 @@ def word_ids(distinct: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         kind,
     )
     found = F.when(F.col("words").isNull(), F.col("long")).otherwise(encoded)
-    return rows.select(F.explode(found).alias("found")).select("found.*")
+    ids = F.col("found.fact")
+    if max(ranks.values(), default=0) < 2 * words.SHIFT:
+        unknown = F.raise_error(F.lit("a byte of the text is not in the vocabulary")).cast("short")
+        ids = F.transform(
+            ids, lambda x: F.when(x == NONE, unknown).otherwise((x - words.SHIFT).cast("short"))
+        )
+    return rows.select(F.explode(found).alias("found")).select("found.word", ids.alias("fact"))
 
 
 def _row(short: pa.Array | None, long: list[str], ids: list[list[int]]) -> pa.RecordBatch:
@@ -226,40 +235,43 @@ def encode(
     """Per document: its key, n_bytes, n_tokens, ids_sha256 (of the decimal ids, joined by commas),
     decoded_sha256 (of the bytes decoded from the ids) and, if wanted, ids."""
     pieces = {rank: piece for piece, rank in ranks.items()}
+    numerals = {rank: str(rank) for rank in pieces}
 
-    def assemble(known: pa.Array, sequences: list[np.ndarray]) -> dict[str, list]:
-        ids = known.to_pylist()
+    def assemble(
+        known: np.ndarray, ends: np.ndarray, sequences: list[np.ndarray]
+    ) -> dict[str, pa.Array]:
+        """Puts the ids of each document's words in order and decodes them."""
+        ids, starts = known.tolist(), np.concatenate([[0], ends[:-1]])
         try:
-            decoded = [b"".join(map(pieces.__getitem__, x)) for x in ids]
+            binary = list(map(pieces.__getitem__, ids))
         except KeyError:
             raise ValueError("a byte of the text is not in the vocabulary") from None
-        decimal = [",".join(map(str, x)) for x in ids]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        out: dict[str, list] = {
-            "n_tokens": pa.array([int(sizes[s].sum()) for s in sequences], pa.int64()),
-            "ids_sha256": [],
-            "decoded_sha256": [],
-        }
+        bounds = list(zip(starts.tolist(), ends.tolist(), strict=True))
+        decoded = [b"".join(binary[a:b]) for a, b in bounds]
+        digits = list(map(numerals.__getitem__, ids))
+        decimal = [",".join(digits[a:b]) for a, b in bounds]
+        del ids, binary, digits, bounds
+        sizes = ends - starts
+        hashes, back, all_ids = [], [], []
         for sequence in sequences:
             order = sequence.tolist()
             joined = ",".join(map(decimal.__getitem__, order))
-            out["ids_sha256"].append(hashlib.sha256(joined.encode()).hexdigest())
-            whole = b"".join(map(decoded.__getitem__, order))
-            out["decoded_sha256"].append(hashlib.sha256(whole).hexdigest())
-        out["ids_sha256"] = pa.array(out["ids_sha256"], pa.string())
-        out["decoded_sha256"] = pa.array(out["decoded_sha256"], pa.string())
+            hashes.append(hashlib.sha256(joined.encode()).hexdigest())
+            back.append(hashlib.sha256(b"".join(map(decoded.__getitem__, order))).hexdigest())
+            if keep_ids:
+                all_ids.append(known[words.spread(starts[sequence], sizes[sequence])].astype(np.int32))
+        out = {
+            "n_tokens": pa.array([int(sizes[s].sum()) for s in sequences], pa.int64()),
+            "ids_sha256": pa.array(hashes, pa.string()),
+            "decoded_sha256": pa.array(back, pa.string()),
+        }
         if keep_ids:
-            flat = known.flatten()
-            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            out["ids"] = pa.array(
-                [
-                    flat.take(pa.array(_spans(starts[s], sizes[s]))).to_numpy()
-                    for s in sequences
-                ],
-                pa.list_(pa.int32()),
-            )
+            offsets = np.cumsum([0, *map(len, all_ids)]).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *all_ids])
+            out["ids"] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
         return out
 
+    docs = words.stored(docs, key, text)
     found = words.block_words(docs, pattern, None, text)
     facts = found.join(word_ids(words.distinct_words(found), ranks), "word")
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -272,12 +284,6 @@ def encode(
     return rows.withColumnRenamed("id", key)
 
 
-def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0] .. starts[0] + sizes[0] - 1, starts[1] .., one after another."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(sizes.sum())) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
     """The rows with ``decoded``: the bytes of their ids, null where the ids are null."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 1)

@@ -72,11 +72,11 @@ def token_counts(
     with open(model, encoding="utf-8") as file:
         definition = file.read()
     special = special_token(definition)
+    docs = words.stored(docs, key, text)
     found = words.block_words(docs, PATTERN, special, text)
     facts = found.join(word_counts(words.distinct_words(found), definition), "word")
 
-    def total(known: pa.Array, sequences: list[np.ndarray]) -> dict[str, pa.Array]:
-        tokens = known.to_numpy().astype(np.int64)
+    def total(tokens: np.ndarray, _: np.ndarray, sequences: list[np.ndarray]) -> dict[str, pa.Array]:
         return {"n_tokens": pa.array([int(tokens[s].sum()) for s in sequences], pa.int64())}
 
     documents = words.block_documents(docs, PATTERN, special, key, text)

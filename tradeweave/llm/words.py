@@ -5,35 +5,42 @@ what a model says about one (its ids, its count) is worked out once per distinct
 corpus and joined back. Joining every occurrence would shuffle many times the corpus; here the
 documents are taken in blocks of bounded size, and within a block a pre-token is a number:
 
-* ``block_words``: (block, number, word), a row per distinct pre-token of a block;
+* ``block_words``: (at, word), a row per distinct pre-token of a block; ``at`` is one long of the
+  block and the number, as these rows are most of what is shuffled;
 * ``block_documents``: per document, the packed numbers of its pre-tokens in order;
 * ``with_facts``: gathers the facts about a block's words, packed, and applies a function to each
   block: its documents beside its facts.
 
-The block of a row follows from the input split and the rows before it in that split, so both
-tables agree as long as the documents are read from files or a checkpoint, which hold still.
+The block of a row follows from its partition and the rows before it there, so both tables agree
+as long as the documents are read from files or a checkpoint, which hold still; ``stored`` sees to
+that.
 ``with_facts`` checks that every number of a block has its fact and raises otherwise.
 """
 
-import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 16_000_000
+from tradeweave.plans.ordering import durable
+
+BLOCK_CHARS = 20_000_000
 ROWS = 50_000  # rows to an Arrow batch that is handed back
 
 SIGNS = frozenset(".,;:!?")
 
-BLOCK = ["block_source", "block_number"]
-WORDS_SCHEMA = "block_source long, block_number int, number int, word string"
-PACK_TYPES = "block_source long, block_number int, numbers binary, facts binary"
+NUMBER_BITS = 25  # of ``at``; a block has no more distinct pre-tokens than characters
+BLOCK_BITS = 12  # of a block: its number in its partition
+SHIFT = 1 << 15
+WORDS_SCHEMA = "at long, word string"
 
 
 @cache
@@ -127,139 +134,144 @@ class _Block:
 
 def _blocks(
     batches: Iterator[pa.RecordBatch], pattern: str, special: str | None
-) -> Iterator[tuple[int, int, _Block, list[list[int]] | None, pa.RecordBatch | None]]:
-    """(source, number, block, pre-token numbers by row, the rows) for runs of rows of one block,
-    and once with None for both at the block's end."""
-    source, number, block = None, 0, None
+) -> Iterator[tuple[int, _Block, list[list[int]] | None, pa.RecordBatch | None]]:
+    """(block, its words, pre-token numbers by row, the rows) for runs of rows of one block, and
+    once with None for the last two at the block's end."""
+    number = TaskContext.get().partitionId() << BLOCK_BITS
+    block = _Block(pattern, special)
     for batch in batches:
-        sources, texts = batch.column("block_source").to_pylist(), batch.column("text")
-        start = 0
+        texts, start = batch.column("text"), 0
         found: list[list[int]] = []
-        for k, own in enumerate(sources):
-            if block is None or own != source or block.chars >= BLOCK_CHARS:
-                if block is not None:
-                    if found:
-                        yield source, number, block, found, batch.slice(start, k - start)
-                    yield source, number, block, None, None
-                number = number + 1 if own == source else 0
-                source, block, start, found = own, _Block(pattern, special), k, []
+        for k in range(batch.num_rows):
+            if block.chars >= BLOCK_CHARS:
+                if found:
+                    yield number, block, found, batch.slice(start, k - start)
+                yield number, block, None, None
+                number, block, start, found = number + 1, _Block(pattern, special), k, []
             found.append(block.of(texts[k].as_py() or ""))
         if found:
-            yield source, number, block, found, batch.slice(start)
-    if block is not None:
-        yield source, number, block, None, None
+            yield number, block, found, batch.slice(start)
+    yield number, block, None, None
 
 
-def _sourced(docs: DataFrame, key: str, text: str) -> DataFrame:
-    source = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.spark_partition_id())
-    return docs.select(
-        source.alias("block_source"),
-        F.col(f"`{key}`").alias("id"),
-        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"),
-    )
+def stored(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The key and the text, checkpointed unless they are plainly read from files or the like: the
+    partitions of anything with a shuffle may come out otherwise the second time."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.children().apply(0)
+    kept = docs.select(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    still = plan.getClass().getSimpleName() in ("LogicalRelation", "LogicalRDD", "LocalRelation")
+    return kept if still else durable(kept)
+
+
+def _texts(docs: DataFrame, text: str) -> Column:
+    return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
 
 
 def block_words(
     docs: DataFrame, pattern: str, special: str | None = None, text: str = "text"
 ) -> DataFrame:
-    """(block_source, block_number, number, word), dealt by word: the distinct pre-tokens of each
-    block. One exchange serves both the distinct words and the join back to the blocks."""
+    """(at, word), dealt by word: the distinct pre-tokens of each block. One exchange serves both
+    the distinct words and the join back to the blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for source, number, block, found, _ in _blocks(batches, pattern, special):
+        for number, block, found, _ in _blocks(batches, pattern, special):
             if found is not None:
                 continue
             words = list(block.numbers)
             for at in range(0, len(words), ROWS):
                 part = words[at : at + ROWS]
+                places = (number << NUMBER_BITS) + np.arange(at, at + len(part), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(part), source, np.int64)),
-                        pa.array(np.full(len(part), number, np.int32)),
-                        pa.array(np.arange(at, at + len(part), dtype=np.int32)),
-                        pa.array(part, pa.string()),
-                    ],
-                    names=[*BLOCK, "number", "word"],
+                    [pa.array(places), pa.array(part, pa.string())], names=["at", "word"]
                 )
 
-    found = _sourced(docs, text, text).drop("id").mapInArrow(run, WORDS_SCHEMA)
+    found = docs.select(_texts(docs, text)).mapInArrow(run, WORDS_SCHEMA)
     # no word is null; a join on the word would put this filter below one of two equal exchanges
     return found.where("word IS NOT NULL").repartition("word")
 
 
 def distinct_words(found: DataFrame) -> DataFrame:
-    """The distinct words of ``block_words``, with counts of the other columns.
+    """(word, blocks): the distinct words of ``block_words`` and in how many blocks each occurs.
 
-    All columns are counted so that this reads the very exchange that the join back reads; an
-    exchange of the word alone would be another one, and the documents would be split again.
+    With that count this reads the very exchange that the join back reads; an exchange of the
+    word alone would be another one, and the documents would be split again.
     """
-    return found.groupBy("word").agg(*[F.count(c).alias(c) for c in (*BLOCK, "number")])
+    return found.groupBy("word").agg(F.count("at").alias("blocks"))
 
 
-def pack(numbers: list[int]) -> bytes:
+@cache
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@cache
+def _unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def pack(numbers: list[int] | np.ndarray) -> bytes:
     """Whole numbers as four byte planes, of which the high ones are mostly zero, compressed."""
     planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zlib.compress(planes.tobytes(), 1)
+    return _packer().compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_unpacker().decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
 def block_documents(
     docs: DataFrame, pattern: str, special: str | None = None, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(block_source, block_number, id, n_bytes, packed): each document's pre-tokens in order."""
-    rows = _sourced(docs, key, text)
+    """(block, id, n_bytes, packed): each document's pre-tokens in order."""
+    rows = docs.select(F.col(f"`{key}`").alias("id"), _texts(docs, text))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for source, number, _, found, batch in _blocks(batches, pattern, special):
-            if found is None:
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(found), source, np.int64)),
-                    pa.array(np.full(len(found), number, np.int32)),
-                    batch.column("id"),
-                    batch.column("n_bytes"),
-                    pa.array([pack(x) for x in found], pa.binary()),
-                ],
-                names=[*BLOCK, "id", "n_bytes", "packed"],
-            )
+        for number, _, found, batch in _blocks(batches, pattern, special):
+            if found is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(found), number, np.int64)),
+                        batch.column("id"),
+                        batch.column("n_bytes"),
+                        pa.array([pack(x) for x in found], pa.binary()),
+                    ],
+                    names=["block", "id", "n_bytes", "packed"],
+                )
 
     return rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(
-        run, f"block_source long, block_number int, id {kind}, n_bytes long, packed binary"
+        run, f"block long, id {kind}, n_bytes long, packed binary"
     )
 
 
 def _packed_facts(facts: DataFrame) -> DataFrame:
-    """Facts (block, number, fact binary or int) as a few rows per block."""
+    """Facts (at, fact: a whole number or a list of them) as a few rows per block; shorts hold
+    numbers less SHIFT."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in BLOCK])
-            source, number = (table.column(c).to_numpy() for c in BLOCK)
-            change = (np.diff(source) != 0) | (np.diff(number) != 0)
-            starts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).sort_by("at")
+            at = table.column("at").to_numpy()
+            block = at >> NUMBER_BITS
+            starts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist()]
+            fact = table.column("fact").combine_chunks()
             out = []
-            for a, b in zip(starts, [*starts[1:], len(source)], strict=True):
-                part = table.slice(a, b - a)
-                sink = pa.BufferOutputStream()
-                kept = part.select(["fact"]).combine_chunks()
-                with pa.ipc.new_stream(
-                    sink, kept.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")
-                ) as writer:
-                    writer.write_table(kept)
-                numbers = part.column("number").to_numpy().tolist()
-                out.append((int(source[a]), int(number[a]), pack(numbers), sink.getvalue().to_pybytes()))
-            columns = list(zip(*out, strict=True))
-            types = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                names=[*BLOCK, "numbers", "facts"],
-            )
+            for a, b in zip(starts, [*starts[1:], len(at)], strict=True):
+                own, sizes = fact.slice(a, b - a), b""
+                if pa.types.is_list(own.type):
+                    sizes = pack(pc.list_value_length(own).to_numpy())
+                    own = own.flatten()
+                if pa.types.is_int16(own.type):
+                    own = pc.add(own.cast(pa.int32()), SHIFT)
+                numbers = at[a:b] & ((1 << NUMBER_BITS) - 1)
+                steps = np.diff(numbers, prepend=0)  # sorted, so small
+                out.append((int(block[a]), pack(steps), sizes, pack(own.to_numpy())))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "numbers", "sizes", "facts"])
 
         held, rows = [], 0
         for batch in batches:
@@ -267,46 +279,54 @@ def _packed_facts(facts: DataFrame) -> DataFrame:
                 held.append(batch)
                 rows += batch.num_rows
             if rows >= 40 * ROWS:  # bounds what a task holds
-                yield from flush(held)
+                yield flush(held)
                 held, rows = [], 0
         if held:
-            yield from flush(held)
+            yield flush(held)
 
-    return facts.select(*BLOCK, "number", "fact").mapInArrow(run, PACK_TYPES)
+    return facts.select("at", "fact").mapInArrow(
+        run, "block long, numbers binary, sizes binary, facts binary"
+    )
 
 
 def with_facts(
     documents: DataFrame,
     facts: DataFrame,
-    apply: Callable[[np.ndarray | list, list[np.ndarray]], dict[str, list]],
+    apply: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], dict[str, pa.Array]],
     columns: str,
 ) -> DataFrame:
     """A row per document: id, n_bytes and what ``apply`` returns for its block.
 
-    ``apply`` gets the facts of a block by number (as an Arrow array) and the numbers of each
-    document's pre-tokens; ``columns`` names and types its results.
+    ``apply`` gets the facts of a block one after another, where each pre-token's end (a fact that
+    is a list may be of any size), and the numbers of each document's pre-tokens; ``columns``
+    names and types its results.
     """
     kind = documents.schema["id"].dataType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         sequences = [unpack(x) for x in left.column("packed").to_pylist()]
-        numbers, parts = [], []
-        for packed, facts_of in zip(
-            right.column("numbers").to_pylist(), right.column("facts").to_pylist(), strict=True
-        ):
-            numbers.append(unpack(packed))
-            parts.append(pa.ipc.open_stream(facts_of).read_all())
-        if parts:
-            order = np.argsort(np.concatenate(numbers), kind="stable")
-            sorted_numbers = np.concatenate(numbers)[order]
-            known = pa.concat_tables(parts).column("fact").combine_chunks().take(pa.array(order))
-        else:
-            sorted_numbers, known = np.zeros(0, np.uint32), pa.array([], pa.int32())
+        rows = right.select(["numbers", "sizes", "facts"]).to_pylist()
+        parts = [(np.cumsum(unpack(r["numbers"])), r["sizes"], unpack(r["facts"])) for r in rows]
+        nothing = np.zeros(0, np.int64)
+        numbers = np.concatenate([nothing, *(n for n, _, _ in parts)])
+        sizes = np.concatenate(
+            [nothing, *(unpack(s) if s else np.ones(len(n), np.uint32) for n, s, _ in parts)]
+        )
+        known = np.concatenate([nothing, *(f for _, _, f in parts)])
+        order = np.argsort(numbers, kind="stable")
         wanted = max((int(s.max()) + 1 for s in sequences if len(s)), default=0)
-        if wanted > len(sorted_numbers) or (sorted_numbers != np.arange(len(sorted_numbers))).any():
+        if wanted > len(numbers) or (numbers[order] != np.arange(len(numbers))).any():
             raise RuntimeError("the documents changed between two reads; store them first")
-        more = apply(known, sequences)
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        known = known[spread(starts[order], sizes[order])]
+        more = apply(known, np.cumsum(sizes[order], dtype=np.int64), sequences)
         return pa.table({"id": left.column("id"), "n_bytes": left.column("n_bytes"), **more})
 
-    grouped = documents.groupBy(*BLOCK).cogroup(_packed_facts(facts).groupBy(*BLOCK))
+    grouped = documents.groupBy("block").cogroup(_packed_facts(facts).groupBy("block"))
     return grouped.applyInArrow(run, f"id {kind}, n_bytes long, {columns}")
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0] .. starts[0] + sizes[0] - 1, starts[1] .., one after another."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (ends - sizes), sizes)
