@@ -32,6 +32,7 @@ KINDS = ("email", "ip", "card", "phone")  # label 0 is O, then these
 LABELS = 1 + len(KINDS)
 SAMPLE = 2000
 SAMPLE_BYTES = 32_768
+POOL = 40 * SAMPLE  # documents, expected at most, among which the sample is drawn
 LIKELY = 0.8
 TURNS, DAMPING = 30, 0.5
 OBSERVED = 30.0  # potential of a label that is known
@@ -342,15 +343,22 @@ def _text(column: str) -> Column:
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Field:
-    """A field from a sample of the documents that hold a digit or an @."""
-    drawn = (
-        docs.select(F.xxhash64(F.col(f"`{key}`"), F.lit(SEED)).alias("draw"), _text(text).alias("text"))
-        .where((F.octet_length("text") <= SAMPLE_BYTES) & F.col("text").rlike("[0-9@]"))
-        .orderBy("draw", "text")
-        .limit(SAMPLE)
+def train(docs: DataFrame, text: str = "text") -> Field:
+    """A field from a sample of the texts that hold a digit or an @, each once.
+
+    Hashes are drawn first and texts fetched by them after, so neither the driver nor a task ever
+    holds more than ``POOL`` hashes and ``SAMPLE`` texts.
+    """
+    share = min(1.0, POOL / max(1, docs.count()))
+    rows = docs.select(_text(text).alias("text")).withColumn("draw", F.xxhash64("text", F.lit(SEED)))
+    rows = rows.where(
+        (F.pmod("draw", F.lit(1 << 31)) < int(share * (1 << 31)))
+        & (F.octet_length("text") <= SAMPLE_BYTES)
+        & F.col("text").rlike("[0-9@]")
     )
-    return fit([r["text"] for r in drawn.select("text").collect()])
+    drawn = rows.select("draw").distinct().orderBy("draw").limit(SAMPLE)
+    found = rows.join(F.broadcast(drawn), "draw").groupBy("draw").agg(F.first("text").alias("text"))
+    return fit([r["text"] for r in sorted(found.collect(), key=lambda r: r["draw"])])
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

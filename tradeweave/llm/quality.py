@@ -211,7 +211,12 @@ def train(
     if len(shares) < 2:
         one = float(np.mean(list(shares))) if shares else 0.5
         return Network(shift=float(np.log((one + 0.01) / (1.01 - one))))
-    drawn = [known.where(F.col("label") == value).orderBy(*order).limit(SAMPLE) for value in (0, 1)]
+    place = F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 31))
+    drawn = []
+    for value in (0, 1):  # among four times as many as are wanted, so that tasks sort few
+        share = min(1.0, 4 * SAMPLE / shares[value])
+        pool = known.where((F.col("label") == value) & (place < int(share * (1 << 31))))
+        drawn.append(pool.orderBy(*order).limit(SAMPLE))
     wanted = drawn[0].unionByName(drawn[1])  # 2 * SAMPLE rows at most
     rows = texts.join(F.broadcast(wanted), "id").select("id", "label", "text").collect()
     first = {r["id"]: r for r in sorted(rows, key=lambda r: r["text"], reverse=True)}  # one for each id
