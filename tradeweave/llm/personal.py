@@ -2,9 +2,10 @@
 
 Patterns find the base spans: e-mail addresses, IP addresses, card and phone numbers. The field
 then labels the words that hold a digit or an ``@`` (any other word is O): what a word looks like
-gives its own potential, its neighbours give chain potentials, and a skip edge joins it to the last
-word before with the same digits or address, however far away, so that what is known about one
-mention reaches the others. Base spans are observed and stay; loopy belief propagation gives the
+gives its own potential, its neighbours give chain potentials, and a skip edge joins it to the mention
+before of the same number or address, however far away, so that what is known about one mention
+reaches the others. The number is that of a whole base span, or of a stretch of neighbouring number
+words, by digits that are equal or the end of the other's (``_in_runs``); its words are joined too. Base spans are observed and stay; loopy belief propagation gives the
 other words their probabilities, and those that are likely enough become spans of their own, such
 as a card number seen again in another notation or a phone number without its prefix.
 
@@ -127,11 +128,12 @@ class Words:
     start: list[int]
     end: list[int]
     document: list[int]
-    back: list[int]  # the word before with the same digits or address, -1 without
+    back: list[int]  # a word of the mention before of the same number or address, -1 without
+    mate: list[int]  # the word before of the same mention, if that has an edge back, -1 without
 
     @classmethod
     def none(cls) -> "Words":
-        return cls([], [], [], [], [], [], [])
+        return cls([], [], [], [], [], [], [], [])
 
 
 def _features(core: str, raw: str, before: str) -> list[int]:
@@ -159,39 +161,129 @@ def _features(core: str, raw: str, before: str) -> list[int]:
     return [FEATURES.index(name) for name, has in found.items() if has]
 
 
-def _same(core: str) -> str | None:
-    """What two mentions of one number or address share; None where too little is left."""
-    if "@" in core:
-        return core.casefold()
-    digits = NO_DIGIT.sub("", core)
-    return digits if len(digits) >= 7 and not any(map(str.isalpha, core)) else None
+LEAST, MOST = 7, 19  # digits of a number that is known again by its digits alone
+
+Mention = tuple[str, list[int]]  # digits, address or parts, and the words
+
+
+def _is_number(core: str) -> bool:
+    return "@" not in core and not any(map(str.isalpha, core))
 
 
 def add_words(words: Words, document: int, text: str, spans: list[Span]) -> None:
     cover, k = sorted(spans, key=lambda s: (s[1], -s[2])), 0
-    last: dict[str, int] = {}
     before = ""
-    reach, kind_at = 0, 0  # end and label of the base span that reaches furthest so far
+    reach, kind_at, span_at = 0, 0, -1  # end, label and number of the base span that reaches furthest so far
+    mentions: list[Mention] = []
+    runs: list[list[tuple[int, str]]] = []  # neighbouring number words outside base spans, and what they are
+    held: dict[int, list[int]] = {}  # words of base spans
+    last = -2  # place of the last word of a run
     for place, m in enumerate(WORD.finditer(text)):
         raw = m.group()
         core = raw.strip(EDGE)
         while k < len(cover) and cover[k][1] < m.end():
             if cover[k][2] > reach:
-                reach, kind_at = cover[k][2], KINDS.index(cover[k][0]) + 1
+                reach, kind_at, span_at = cover[k][2], KINDS.index(cover[k][0]) + 1, k
             k += 1
         if core and ("@" in core or has_digit(core)):
-            start = m.start() + raw.index(core)
+            start, own = m.start() + raw.index(core), len(words.label)
             words.features.append(_features(core, raw, before))
             words.label.append(kind_at if reach > m.start() else 0)
             words.place.append(place)
             words.start.append(start)
             words.end.append(start + len(core))
             words.document.append(document)
-            key = _same(core)
-            words.back.append(last.get(key, -1) if key else -1)
-            if key:
-                last[key] = len(words.label) - 1
+            words.back.append(-1)
+            words.mate.append(-1)
+            if "@" in core:
+                mentions.append((core.casefold(), [own]))
+            elif words.label[-1]:
+                held.setdefault(span_at, []).append(own)
+            elif _is_number(core):
+                if last != place - 1:
+                    runs.append([])
+                runs[-1].append((own, core))
+                last = place
         before = raw
+    known = {n: text[cover[n][1] : cover[n][2]] for n in held}
+    ips = {".".join(_parts(body)) for n, body in known.items() if cover[n][0] == "ip"}
+    for n, body in known.items():
+        mentions.append((NO_DIGIT.sub("", body).lstrip("0"), held[n]))
+        if cover[n][0] == "ip":
+            mentions.append((".".join(_parts(body)), held[n]))
+    mentions += _in_runs(runs, {key for key, _ in mentions}, ips)
+    _link(words, sorted(mentions, key=lambda m: m[1][0]))
+
+
+def _parts(text: str) -> list[str]:
+    return [part.lstrip("0") or "0" for part in NO_DIGIT.split(text) if part]
+
+
+def _in_runs(runs: list[list[tuple[int, str]]], known: set[str], ips: set[str]) -> list[Mention]:
+    """Mentions among number words: the longest stretches of a run that are a base span's number, the
+    end of one, or end with one, or that occur again; of four parts also the address of a base span.
+
+    A stretch has ``MOST`` digits without leading zeros and words at most, so a word begins few.
+    """
+    ends = {key[-n:] for key in known if key.isdigit() for n in range(LEAST, len(key) + 1)}
+    sizes = {len(key) for key in known if key.isdigit() and len(key) >= LEAST}
+    stretches: list[list[list[tuple[int, str, str]]]] = []  # of a run and word: (end, digits, address)
+    often: dict[str, int] = {}
+    for run in runs:
+        stretches.append([])
+        for i in range(len(run)):
+            found, digits = [], ""
+            for j in range(i, min(len(run), i + MOST)):
+                digits = (digits + NO_DIGIT.sub("", run[j][1])).lstrip("0")
+                if j > i and len(digits) > MOST:
+                    break
+                parts = _parts(" ".join(c for _, c in run[i : j + 1])) if ips and j < i + 4 else []
+                found.append((j, digits, ".".join(parts) if len(parts) == 4 else ""))
+                if len(digits) >= LEAST:
+                    often[digits] = often.get(digits, 0) + 1
+            stretches[-1].append(found)
+    out: list[Mention] = []
+    for run, of_run in zip(runs, stretches, strict=True):
+        i = 0
+        while i < len(run):
+            best = None
+            for j, digits, address in of_run[i]:
+                own = len(digits) >= LEAST
+                number = own and (digits in ends or any(digits[-n:] in known for n in sizes if n <= len(digits)))
+                if address in ips or number:
+                    best = (2, j, address if address in ips else digits)
+                elif own and often[digits] > 1 and (best is None or best[0] == 1):
+                    best = (1, j, digits)
+            if best is None:
+                i += 1
+            else:
+                out.append((best[2], [n for n, _ in run[i : best[1] + 1]]))
+                i = best[1] + 1
+    return out
+
+
+def _link(words: Words, mentions: list[Mention]) -> None:
+    """Joins the words of each mention to the one before of the same number: with equal digits, or
+    digits that are the end of the other's."""
+    whole: dict[str, int] = {}  # last mention of a key
+    ended: dict[str, int] = {}  # last mention of which it is the end
+    for n, (key, own) in enumerate(mentions):
+        tails = [key[-k:] for k in range(len(key) - 1, LEAST - 1, -1)] if key.isdigit() else []
+        if key.isdigit() and len(key) < LEAST:
+            continue
+        before = next((whole[t] for t in [key, *tails] if t in whole), -1)
+        before = max(before, ended.get(key, -1)) if key not in whole else before
+        if before >= 0:
+            theirs = mentions[before][1]
+            for at, word in enumerate(own):
+                if words.back[word] < 0 and word not in theirs:
+                    words.back[word] = theirs[at * len(theirs) // len(own)]
+            for mention in (own, theirs):
+                for word, next_word in zip(mention, mention[1:]):
+                    words.mate[next_word] = word
+        whole[key] = n
+        for tail in tails:
+            ended[tail] = n
 
 
 # --- the field
@@ -239,12 +331,17 @@ def fit(texts: list[str]) -> Field:
     place, document = np.array(words.place), np.array(words.document)
     joined = (document[1:] == document[:-1]) & (place[1:] == place[:-1] + 1)
     np.add.at(counts, (label[:-1][joined], label[1:][joined]), 1)
+    # neighbours without digit or @ are O, as in beliefs
+    np.add.at(counts[:, 0], label[np.append(~joined, True)], 1)
+    np.add.at(counts[0], label[np.append(True, ~joined)], 1)
     both = counts / counts.sum()
     chain = np.log(both / np.outer(both.sum(axis=1), both.sum(axis=0)))
     back = np.array(words.back)
     ends = np.flatnonzero(back >= 0)
-    same = int((label[ends] == label[back[ends]]).sum())
-    skip = np.log((same + 9) / (len(ends) - same + 1))  # as if nine of ten had agreed before
+    one, other = label[ends], label[back[ends]]
+    # O beside a kind says nothing: the patterns may not know that notation
+    same, different = int((one == other).sum()), int(((one != other) & (one > 0) & (other > 0)).sum())
+    skip = np.log((same + 9) / (different + 1))  # as if nine of ten had agreed before
     return Field(own, chain, float(np.clip(skip, 0, 5)))
 
 
@@ -264,17 +361,20 @@ def beliefs(field: Field, words: Words) -> np.ndarray:
     known = label > 0
     odds[known] = 0
     odds[known, label[known]] = OBSERVED
-    place, document, back = (np.array(x, np.int64) for x in (words.place, words.document, words.back))
+    place, document, back, mate = (
+        np.array(x, np.int64) for x in (words.place, words.document, words.back, words.mate)
+    )
     left = np.flatnonzero((document[1:] == document[:-1]) & (place[1:] == place[:-1] + 1))
     # a neighbour without digit or @ is O: a potential of the word itself
     lone_right = np.setdiff1d(np.arange(len(label)), left)
     lone_left = np.setdiff1d(np.arange(len(label)), left + 1)
     odds[lone_right] += field.chain[:, 0]
     odds[lone_left] += field.chain[0, :]
-    later = np.flatnonzero(back >= 0)
+    later = np.concatenate([np.flatnonzero(back >= 0), np.flatnonzero(mate >= 0)])
+    before = np.concatenate([back[back >= 0], mate[mate >= 0]])
     agree = field.skip * np.eye(LABELS)
-    source = np.concatenate([left, left + 1, back[later], later])
-    target = np.concatenate([left + 1, left, later, back[later]])
+    source = np.concatenate([left, left + 1, before, later])
+    target = np.concatenate([left + 1, left, later, before])
     table = np.concatenate(
         [
             np.broadcast_to(t, (n, LABELS, LABELS))
