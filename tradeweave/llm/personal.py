@@ -11,7 +11,8 @@ as a card number seen again in another notation or a phone number without its pr
 
 The weights are fitted on the driver on a bounded sample of documents (``SAMPLE`` texts of up to
 ``SAMPLE_BYTES``, drawn by hash) that the patterns have labelled. Finding is a projection of the
-documents and needs no shuffle. A word has one skip edge back, so edges grow with the words.
+documents and needs no shuffle. A word has two skip edges at most, back and to a known mention, and
+one in its own mention, so edges grow with the words. Each document's messages run until they settle.
 
 Cases: a null text counts as empty and has no spans; spans of different kinds may overlap; a match
 that fails its check is dropped and not tried again further on; repeated documents keep a row each;
@@ -35,7 +36,8 @@ SAMPLE = 2000
 SAMPLE_BYTES = 32_768
 POOL = 40 * SAMPLE  # documents, expected at most, among which the sample is drawn
 LIKELY = 0.8
-TURNS, DAMPING = 30, 0.5
+TURNS, SETTLED = 2000, 1e-3  # rounds at most, for a document that does not settle; the largest change that is none
+DAMPING, SLOWER = (0.5, 0.9), 200  # of messages, and the round from which on they are damped more
 OBSERVED = 30.0  # potential of a label that is known
 SEED = 11
 
@@ -130,10 +132,11 @@ class Words:
     document: list[int]
     back: list[int]  # a word of the mention before of the same number or address, -1 without
     mate: list[int]  # the word before of the same mention, if that has an edge back, -1 without
+    anchor: list[int]  # likewise of the first mention in a base span, or the first one; -1 if that is back
 
     @classmethod
     def none(cls) -> "Words":
-        return cls([], [], [], [], [], [], [], [])
+        return cls([], [], [], [], [], [], [], [], [])
 
 
 def _features(core: str, raw: str, before: str) -> list[int]:
@@ -195,6 +198,7 @@ def add_words(words: Words, document: int, text: str, spans: list[Span]) -> None
             words.document.append(document)
             words.back.append(-1)
             words.mate.append(-1)
+            words.anchor.append(-1)
             if "@" in core:
                 mentions.append((core.casefold(), [own]))
             elif words.label[-1]:
@@ -264,26 +268,41 @@ def _in_runs(runs: list[list[tuple[int, str]]], known: set[str], ips: set[str])
 
 def _link(words: Words, mentions: list[Mention]) -> None:
     """Joins the words of each mention to the one before of the same number: with equal digits, or
-    digits that are the end of the other's."""
+    digits that are the end of the other's; and to the first one of them that a base span holds, or
+    the first one, so that what is known is never more than one edge away."""
     whole: dict[str, int] = {}  # last mention of a key
     ended: dict[str, int] = {}  # last mention of which it is the end
+    group: list[int] = []  # the first mention of the same number
+    base: dict[int, int] = {}  # the first one in a base span, of a group
     for n, (key, own) in enumerate(mentions):
-        tails = [key[-k:] for k in range(len(key) - 1, LEAST - 1, -1)] if key.isdigit() else []
+        group.append(n)
         if key.isdigit() and len(key) < LEAST:
             continue
+        tails = [key[-k:] for k in range(len(key) - 1, LEAST - 1, -1)] if key.isdigit() else []
         before = next((whole[t] for t in [key, *tails] if t in whole), -1)
         before = max(before, ended.get(key, -1)) if key not in whole else before
         if before >= 0:
-            theirs = mentions[before][1]
-            for at, word in enumerate(own):
-                if words.back[word] < 0 and word not in theirs:
-                    words.back[word] = theirs[at * len(theirs) // len(own)]
-            for mention in (own, theirs):
+            group[n] = group[before]
+            _join(words, words.back, own, mentions[before][1])
+            for mention in (own, mentions[before][1]):
                 for word, next_word in zip(mention, mention[1:]):
                     words.mate[next_word] = word
+        if words.label[own[0]]:
+            base.setdefault(group[n], n)
         whole[key] = n
         for tail in tails:
             ended[tail] = n
+    for n, (_, own) in enumerate(mentions):
+        first = base.get(group[n], group[n])
+        if first != n:
+            _join(words, words.anchor, own, mentions[first][1])
+
+
+def _join(words: Words, edges: list[int], own: list[int], theirs: list[int]) -> None:
+    for at, word in enumerate(own):
+        other = theirs[at * len(theirs) // len(own)]
+        if edges[word] < 0 and word not in theirs and words.back[word] != other and words.back[other] != word:
+            edges[word] = other
 
 
 # --- the field
@@ -351,27 +370,31 @@ def _normal(odds: np.ndarray) -> np.ndarray:
 
 
 def beliefs(field: Field, words: Words) -> np.ndarray:
-    """(words, labels): each word's probabilities after loopy belief propagation.
+    return settled_beliefs(field, words)[0]
+
+
+def settled_beliefs(field: Field, words: Words) -> tuple[np.ndarray, set[int]]:
+    """(words, labels): each word's probabilities after loopy belief propagation; and the documents
+    whose messages did not settle in ``TURNS`` rounds.
 
     Messages run both ways along chain edges (neighbouring words with a digit or @) and skip
-    edges, all documents at once.
+    edges, all documents at once; but each document stops by itself, when its own messages settle.
     """
     label = np.array(words.label, np.int64)
     odds = _seen(words) @ field.own
     known = label > 0
     odds[known] = 0
     odds[known, label[known]] = OBSERVED
-    place, document, back, mate = (
-        np.array(x, np.int64) for x in (words.place, words.document, words.back, words.mate)
-    )
+    place, document = np.array(words.place, np.int64), np.array(words.document, np.int64)
     left = np.flatnonzero((document[1:] == document[:-1]) & (place[1:] == place[:-1] + 1))
     # a neighbour without digit or @ is O: a potential of the word itself
     lone_right = np.setdiff1d(np.arange(len(label)), left)
     lone_left = np.setdiff1d(np.arange(len(label)), left + 1)
     odds[lone_right] += field.chain[:, 0]
     odds[lone_left] += field.chain[0, :]
-    later = np.concatenate([np.flatnonzero(back >= 0), np.flatnonzero(mate >= 0)])
-    before = np.concatenate([back[back >= 0], mate[mate >= 0]])
+    earlier = [np.array(x, np.int64) for x in (words.back, words.mate, words.anchor)]
+    later = np.concatenate([np.flatnonzero(x >= 0) for x in earlier])
+    before = np.concatenate([x[x >= 0] for x in earlier])
     agree = field.skip * np.eye(LABELS)
     source = np.concatenate([left, left + 1, before, later])
     target = np.concatenate([left + 1, left, later, before])
@@ -386,32 +409,44 @@ def beliefs(field: Field, words: Words) -> np.ndarray:
         [np.arange(n, 2 * n), np.arange(n), np.arange(2 * n + m, 2 * n + 2 * m), np.arange(2 * n, 2 * n + m)]
     )
     message = np.zeros((len(source), LABELS))
-    for _ in range(TURNS):
+    numbers, owner = np.unique(document, return_inverse=True)
+    owner = owner[source]
+    live = np.arange(len(source))  # edges of the documents that have not settled
+    for turn in range(TURNS):
+        if not len(live):
+            break
         total = odds.copy()
-        np.add.at(total, target, message)
-        sent = (total[source] - message[reverse])[:, :, None] + table
+        np.add.at(total, target[live], message[live])
+        sent = (total[source[live]] - message[reverse[live]])[:, :, None] + table[live]
         peak = sent.max(axis=1, keepdims=True)
         new = (peak + np.log(np.exp(sent - peak).sum(axis=1, keepdims=True)))[:, 0]
         new -= new.max(axis=1, keepdims=True)
-        moved = np.abs(new - message).max(initial=0)
-        message = DAMPING * message + (1 - DAMPING) * new
-        if moved < 1e-3:
-            break
+        moved = np.zeros(len(numbers))
+        np.maximum.at(moved, owner[live], np.abs(new - message[live]).max(axis=1))
+        damping = DAMPING[turn >= SLOWER]
+        message[live] = damping * message[live] + (1 - damping) * new
+        live = live[moved[owner[live]] >= SETTLED]
     total = odds.copy()
     np.add.at(total, target, message)
-    return _normal(total)
+    return _normal(total), set(numbers[owner[live]].tolist())
 
 
 def find(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text."""
+    return [(base, spans) for base, spans, _ in find_settled(field, texts)]
+
+
+def find_settled(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span], bool]]:
+    """(base spans, all spans, whether the messages of the field settled) of each text."""
     bases = [base_spans(t) for t in texts]
     words = Words.none()
     for n, (text, spans) in enumerate(zip(texts, bases, strict=True)):
         if "@" in text or has_digit(text):
             add_words(words, n, text, spans)
     more: dict[int, list[Span]] = {}
+    open_ones: set[int] = set()
     if words.label:
-        chance = beliefs(field, words)
+        chance, open_ones = settled_beliefs(field, words)
         best = chance[:, 1:].argmax(axis=1)
         sure = (np.array(words.label) == 0) & (chance[np.arange(len(best)), best + 1] >= LIKELY)
         previous = -2
@@ -423,7 +458,9 @@ def find(field: Field, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
             else:
                 own.append((kind, words.start[i], words.end[i]))
             previous = i
-    return [(b, sorted(b + more[n], key=_order) if n in more else b) for n, b in enumerate(bases)]
+    return [
+        (b, sorted(b + more[n], key=_order) if n in more else b, n not in open_ones) for n, b in enumerate(bases)
+    ]
 
 
 def redacted(text: str, spans: list[Span]) -> str:
@@ -468,31 +505,33 @@ def personal_data(
     docs: DataFrame, field: Field, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """Per document: its key, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and
-    all spans, as a string and as a list ``found`` of (kind, start, end)."""
+    all spans, as a string and as a list ``found`` of (kind, start, end); ``settled`` is false where
+    the field's messages did not settle, so that its spans may differ from those at rest."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), _text(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = find(field, batch.column("text").to_pylist())
-            counts = [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
+            found = find_settled(field, batch.column("text").to_pylist())
+            counts = [pa.array([sum(s[0] == k for s in b) for b, _, _ in found], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
                     *counts,
-                    pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in found]),
-                    pa.array([written(a) for _, a in found], pa.string()),
+                    pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _, _ in found]),
+                    pa.array([written(a) for _, a, _ in found], pa.string()),
                     pa.array(
-                        [[{"kind": k, "start": s, "end": e} for k, s, e in a] for _, a in found], SPANS
+                        [[{"kind": k, "start": s, "end": e} for k, s, e in a] for _, a, _ in found], SPANS
                     ),
+                    pa.array([rest for _, _, rest in found], pa.bool_()),
                 ],
-                names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found"],
+                names=["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "found", "settled"],
             )
 
     return rows.mapInArrow(
         run,
         f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-        "spans string, found array<struct<kind:string,start:long,end:long>>",
+        "spans string, found array<struct<kind:string,start:long,end:long>>, settled boolean",
     ).withColumnRenamed("id", key)
 
 

@@ -77,7 +77,7 @@ def op8_byte_network(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_skip_chain(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return personal.personal_data(docs, personal.train(docs)).drop("found")
+    return personal.personal_data(docs, personal.train(docs)).drop("found", "settled")
 
 
 def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
