@@ -331,10 +331,15 @@ def contaminated(
 def without_contaminated(
     docs: DataFrame, items: DataFrame, size: int = 13, share: int = 20, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """All columns of the documents that are not contaminated; those with a null key are kept."""
-    found = contaminated(docs, items, size, share, key, text)
-    hit = found.where("contaminated").select(key)
-    return docs.join(hit, key, "left_anti").select(*docs.columns)
+    """All columns of the rows whose texts are not contaminated.
+
+    A row is judged by its own text, whose hash is the key it is looked up by; ``key`` is not read, so
+    null and repeated ones make no difference.
+    """
+    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    found = contaminated(marked, items, size, share, "__mark", text)
+    hit = found.where("contaminated").select("__mark").distinct()
+    return marked.join(hit, "__mark", "left_anti").select(*docs.columns)
 
 
 def proximity(index: DataFrame, words: list[str], reach: int) -> DataFrame:
