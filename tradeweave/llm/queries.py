@@ -6,7 +6,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradeweave.llm import archives, bit_slices, byte_pairs, contamination, licenses, personal, quality, shards, simhash, token_counts
+from tradeweave.llm import (
+    archives,
+    bit_slices,
+    byte_pairs,
+    contamination,
+    id_files,
+    licenses,
+    personal,
+    quality,
+    shards,
+    simhash,
+    token_counts,
+)
 from tradeweave.llm.license_texts import TEMPLATES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,7 +26,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 24
 TOKEN_LIMIT = 1024
 QUALITY_FROM = 0.3
-
+END_ID = 1
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -85,8 +97,29 @@ def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(docs, items).drop("spans", "items")
 
 
+def op13_simple8b(spark: SparkSession, folder: str) -> DataFrame:
+    encode = id_files.by_library(vocabulary("word_bpe_49k.json"))
+    listed = id_files.write_files(table(spark, folder, "documents"), encode, END_ID)
+    return id_files.read_files(listed)
+
+
+QUERIES: tuple[Query, ...] = (
+    op1_jump_shards,
+    op2_token_counts,
+    op3_simhash,
+    op4_zip_warc,
+    op5_license_scan,
+    op6_byte_pairs,
+    op7_bit_slices,
+    op8_byte_network,
+    op9_skip_chain,
+    op10_positional_index,
+    op13_simple8b,
+)
+
+
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_jump_shards, op2_token_counts, op3_simhash, op4_zip_warc, op5_license_scan, op6_byte_pairs, op7_bit_slices, op8_byte_network, op9_skip_chain, op10_positional_index)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP7_SQL = """
