@@ -13,6 +13,7 @@ from tradeweave.llm import (
     contamination,
     id_files,
     licenses,
+    periodic_runs,
     personal,
     quality,
     shards,
@@ -97,6 +98,21 @@ def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(docs, items).drop("spans", "items")
 
 
+def op12_recompression(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.find_runs(periodic_runs.with_repeated_tails(table(spark, folder, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = found.withColumn("longest", periodic_runs.longest(F.col("runs")))
+    exponent = F.call_function("div", 1000 * F.col("longest.length"), F.col("longest.period"))
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.*",
+        exponent.alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_simple8b(spark: SparkSession, folder: str) -> DataFrame:
     encode = id_files.by_library(vocabulary("word_bpe_49k.json"))
     listed = id_files.write_files(table(spark, folder, "documents"), encode, END_ID)
@@ -114,6 +130,7 @@ QUERIES: tuple[Query, ...] = (
     op8_byte_network,
     op9_skip_chain,
     op10_positional_index,
+    op12_recompression,
     op13_simple8b,
 )
 
