@@ -16,6 +16,7 @@ from tradeweave.llm import (
     periodic_runs,
     personal,
     quality,
+    ranked_search,
     shards,
     simhash,
     token_counts,
@@ -98,6 +99,10 @@ def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(docs, items).drop("spans", "items")
 
 
+def op11_dual_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
 def op12_recompression(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic_runs.find_runs(periodic_runs.with_repeated_tails(table(spark, folder, "documents")))
     lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
@@ -130,6 +135,7 @@ QUERIES: tuple[Query, ...] = (
     op8_byte_network,
     op9_skip_chain,
     op10_positional_index,
+    op11_dual_tree,
     op12_recompression,
     op13_simple8b,
 )
@@ -205,5 +211,42 @@ FROM split LEFT JOIN hit USING (id) LEFT JOIN items USING (id) WHERE kind = 'd'
 """
 
 
+OP11_SQL = """
+WITH split AS (
+    SELECT doc_id AS id, row_number() OVER () AS line, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS words
+    FROM documents
+), asked AS (
+    SELECT item_id, line AS item, unnest(list_distinct(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\\x{80}-\\x{10FFFF}]+'))) AS term
+    FROM (SELECT *, row_number() OVER () AS line FROM benchmark)
+), totals AS (
+    SELECT count(*) FILTER (len(words) > 0) AS n_docs, sum(len(words)) AS n_words FROM split
+), counted AS (
+    SELECT line, term, count(*) AS tf FROM (SELECT line, unnest(words) AS term FROM split)
+    WHERE term IN (SELECT term FROM asked) GROUP BY line, term
+), weighed AS (
+    SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM counted, totals GROUP BY term, n_docs
+), impacts AS (
+    SELECT line, id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * len(words) * n_docs) // n_words)) AS impact
+    FROM counted JOIN split USING (line), totals
+), scored AS (
+    SELECT item_id, item, line, id AS doc_id, CAST(sum(w * impact) AS BIGINT) AS score
+    FROM asked JOIN weighed USING (term) JOIN impacts USING (term) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
 def llm_statements() -> dict[str, str]:
-    return {"op4_zip_warc": OP4_SQL, "op7_bit_slices": OP7_SQL, "op10_positional_index": OP10_SQL}
+    return {
+        "op4_zip_warc": OP4_SQL,
+        "op7_bit_slices": OP7_SQL,
+        "op10_positional_index": OP10_SQL,
+        "op11_dual_tree": OP11_SQL,
+    }
