@@ -68,6 +68,17 @@ def test_awkward_rows_many_blocks_and_files(spark, encoded):
     assert empty.collect() == [] and empty.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_files_are_read_where_they_are_listed(spark):
+    """One task a part, not one for all files."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # the table is small
+    listed = id_files.write_files(spark.read.parquet(f"{FOLDER}/documents.parquet"), id_files.by_library(MODEL))
+    spark.conf.unset(setting)
+    parts = listed.select("part").distinct().count()
+    found = id_files.read_files(listed).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert parts > 1 and sum(n > 0 for n in found) == parts
+
+
 def test_pieces_are_encoded_as_in_their_texts(encoded, monkeypatch):
     monkeypatch.setattr(id_files, "REMEMBERED", 7)  # forgets all the time
     own = id_files.by_library(MODEL)()

@@ -292,7 +292,7 @@ def by_library(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
 
 # --- the operator
 
-FILE_TYPES = "part int, number int, path string, documents long, ids long, bytes long"
+FILE_TYPES = "part int, number int, path string, documents long, ids long, bytes long, earlier long"
 
 
 def write_files(
@@ -307,7 +307,7 @@ def write_files(
     block_ids: int = BLOCK_IDS,
 ) -> DataFrame:
     """Writes the ids of all texts in ascending order of the key (a whole number) and lists the files
-    with ``start``, the ids before each: (part, number, path, documents, ids, bytes, start).
+    with the ids before each: (part, number, path, documents, ids, bytes, earlier: in its part, start).
 
     ``make`` gives each task its function from text to ids; ``end`` is appended to each document.
     """
@@ -329,13 +329,13 @@ def write_files(
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
         last = np.zeros(0, np.uint32) if end is None else np.array([end], np.uint32)
-        writer, number, name = None, 0, ""
+        writer, number, name, earlier = None, 0, "", 0
 
         def closed() -> pa.RecordBatch:
             size = writer.close()
-            row = (task.partitionId(), number, f"{folder}/{name}", len(writer.keys), writer.ids, size)
-            kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            names = ["part", "number", "path", "documents", "ids", "bytes"]
+            row = (task.partitionId(), number, f"{folder}/{name}", len(writer.keys), writer.ids, size, earlier)
+            kinds = (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 4)
+            names = ["part", "number", "path", "documents", "ids", "bytes", "earlier"]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
@@ -347,15 +347,17 @@ def write_files(
                 writer.add(one, np.concatenate([encode(texts[k].as_py()), last]))
                 if writer.ids >= file_ids:
                     yield closed()
-                    writer, number = None, number + 1
+                    writer, number, earlier = None, number + 1, earlier + writer.ids
         if writer is not None:
             yield closed()
 
     listed = durable(placed.mapInArrow(run, FILE_TYPES))
-    # one row per file
-    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
-    starts = listed.select("path", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
-    return listed.join(starts, "path")
+    # one row per part; the list keeps its partitions, in which the files will be read
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = listed.groupBy("part").agg(F.sum("ids").alias("held"))
+    starts = parts.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
+    placed = listed.join(F.broadcast(starts), "part")
+    return placed.withColumn("start", F.col("first") + F.col("earlier")).drop("first")
 
 
 def read_files(listed: DataFrame, *, keep_ids: bool = False, key: str = "doc_id") -> DataFrame:
