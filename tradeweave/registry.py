@@ -1,6 +1,7 @@
 """Every report under its name, over a folder of sample tables."""
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +25,8 @@ from tradeweave.plans.ordering import checkpoint_folder, durable
 from tradeweave.plans.star import Star, Tables, star_from_raw
 from tradeweave.sources import files
 from tradeweave.sources.sample import sample_raw, sample_star
+from tradeweave.sources.warehouse import CLUSTERS, read_clusters, read_star, save_clusters, write_star
 from tradeweave.sources.warehouse import export_clusters as export
-from tradeweave.sources.warehouse import read_clusters, read_star, write_star
 
 Report = Callable[[Star], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,7 +71,6 @@ STAR_REPORTS: tuple[Report, ...] = (
     clusters.rfm_base,
     clusters.rfm_profile,
     clusters.rfm_features,
-    clusters.kmeans_k_search,
     correlation.analysis_base,
     correlation.pearson_matrix,
     correlation.spearman_matrix,
@@ -162,23 +162,26 @@ def _on_star(report: Report) -> Query:
     return run
 
 
-_clustered: dict[tuple[str, str], DataFrame] = {}
+def _search(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Scores and assignment of the search, from the catalog tables that the first caller stores for
+    a folder of samples."""
+    name = f"{CLUSTERS}_{zlib.crc32(folder.encode()):08x}"
+    if not spark.catalog.tableExists(name):  # the assignment is stored last
+        scores, clustered = clusters.search(sample_star(spark, folder))
+        save_clusters(scores, clustered, name, _fresh(spark, "clusters"))
+    return files.scan_table(spark, f"{name}_scores"), files.scan_table(spark, name)
 
 
-def _assignment(spark: SparkSession, folder: str) -> DataFrame:
-    """The stored cluster assignment, made once per application as a nightly job would."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _clustered:
-        _clustered[key] = clusters.kmeans_segments(sample_star(spark, folder))
-    return _clustered[key]
+def kmeans_k_search(spark: SparkSession, folder: str) -> DataFrame:
+    return portable(_search(spark, folder)[0].orderBy("k"))
 
 
 def kmeans_segments(spark: SparkSession, folder: str) -> DataFrame:
-    return portable(_assignment(spark, folder))
+    return portable(_search(spark, folder)[1])
 
 
 def _on_clusters(report: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: portable(report(_assignment(spark, folder)))
+    return lambda spark, folder: portable(report(_search(spark, folder)[1]))
 
 
 def _clean(table: str) -> Query:
@@ -204,7 +207,7 @@ def load_raw(spark: SparkSession, folder: str) -> DataFrame:
 def export_clusters(spark: SparkSession, folder: str) -> DataFrame:
     """The cluster assignment as read back from its stored table."""
     target = _fresh(spark, "clusters")
-    export(_assignment(spark, folder), target)
+    export(_search(spark, folder)[1], target)
     return portable(read_clusters(spark, target))
 
 
@@ -270,6 +273,7 @@ def all_queries() -> dict[str, Query]:
     found |= {report.__name__: _on_star(report) for report in STAR_REPORTS}
     found |= {report.__name__: _on_clusters(report) for report in CLUSTER_REPORTS}
     extra = (
+        kmeans_k_search,
         kmeans_segments,
         export_clusters,
         load_raw,

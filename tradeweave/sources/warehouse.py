@@ -41,16 +41,24 @@ def read_star(spark: SparkSession, folder: str) -> Star:
     return Star({table: loader(table) for table in STAR})
 
 
-def save_table(df: DataFrame, name: str) -> None:
-    """Replaces a catalog table."""
-    df.write.mode("overwrite").saveAsTable(name)
+def save_table(df: DataFrame, name: str, folder: str | None = None) -> None:
+    """Replaces a catalog table, in the catalog's own place or in ``folder``."""
+    writer = df.write.mode("overwrite")
+    (writer if folder is None else writer.option("path", folder)).saveAsTable(name)
+
+
+CLUSTER_COLUMNS = ("customer_unique_id", "recency", "frequency", "monetary", "cluster", "segment")
+
+
+def save_clusters(scores: DataFrame, clustered: DataFrame, name: str = CLUSTERS, folder: str | None = None) -> None:
+    """Replaces the catalog tables of a search: the assignment, and ``<name>_scores``."""
+    save_table(scores, f"{name}_scores", folder and f"{folder}/scores")
+    save_table(clustered.select(*CLUSTER_COLUMNS), name, folder and f"{folder}/{CLUSTERS}")
 
 
 def export_clusters(clustered: DataFrame, folder: str) -> None:
     """Replaces the stored cluster assignment."""
-    clustered.select(
-        "customer_unique_id", "recency", "frequency", "monetary", "cluster", "segment"
-    ).write.mode("overwrite").parquet(f"{folder}/{CLUSTERS}")
+    clustered.select(*CLUSTER_COLUMNS).write.mode("overwrite").parquet(f"{folder}/{CLUSTERS}")
 
 
 def read_clusters(spark: SparkSession, folder: str) -> DataFrame:
