@@ -96,9 +96,9 @@ def _revenue() -> dict[str, str]:
         "payment_installment_analysis": f"""
             , plans AS (
               SELECT p.*, CASE WHEN parts = 1 THEN '1 (Full Payment)'
-                WHEN parts IN (2, 3) THEN '2-3 Installments'
-                WHEN parts IN (4, 5, 6) THEN '4-6 Installments'
-                WHEN parts IN (7, 8, 9, 10) THEN '7-10 Installments'
+                WHEN parts BETWEEN 2 AND 3 THEN '2-3 Installments'
+                WHEN parts BETWEEN 4 AND 6 THEN '4-6 Installments'
+                WHEN parts BETWEEN 7 AND 10 THEN '7-10 Installments'
                 ELSE '10+ Installments' END AS plan
               FROM payments p JOIN done USING (order_id)),
             counted AS (
@@ -387,8 +387,8 @@ def _cohorts() -> dict[str, str]:
             SELECT cohort AS cohort_month, age AS months_since_first, active AS active_customers
             FROM grid""",
         "retention_counts_wide": """
-            , named AS (SELECT cohort AS cohort_month, 'month_' || age AS month, active FROM grid)
-            PIVOT named ON month USING coalesce(max(active), 0) GROUP BY cohort_month""",
+            SELECT cohort AS cohort_month, string_agg(CAST(active AS VARCHAR), ',' ORDER BY age) AS counts
+            FROM grid GROUP BY cohort""",
         "retention_matrix": f"""
             SELECT cohort AS cohort_month, age AS months_since_first,
               round({share}, 6) AS retention_pct FROM grid""",
@@ -449,6 +449,7 @@ def _correlation() -> dict[str, str]:
     side = """SELECT count(*) AS n, avg(score) AS mean, var_samp(score) AS var
         FROM studied WHERE late = """
     t_of_r = "r * sqrt((n - 2) / (1 - r * r))"
+    freedom = "((v0 + v1) * (v0 + v1) / (v0 * v0 / (n0 - 1) + v1 * v1 / (n1 - 1)))"
     names = {0: "Very Late (5+ days)", 1: "Slightly Late (1-5 days)", 2: "On Time"}
     names |= {3: "Early (1-9 days)", 4: "Very Early (10+ days)"}
     cut = (
@@ -482,19 +483,21 @@ def _correlation() -> dict[str, str]:
             SELECT n0 AS ontime_n, round(m0, 8) AS ontime_mean, round(sqrt(s0), 8) AS ontime_std,
               n1 AS late_n, round(m1, 8) AS late_mean, round(sqrt(s1), 8) AS late_std,
               round((m0 - m1) / sqrt(v0 + v1), 6) AS t_stat,
-              round((v0 + v1) * (v0 + v1) / (v0 * v0 / (n0 - 1) + v1 * v1 / (n1 - 1)), 4) AS df,
-              round(d, 8) AS cohens_d,
+              round({freedom}, 4) AS df,
+              {tested('(m0 - m1) / sqrt(v0 + v1)', freedom)}, round(d, 8) AS cohens_d,
               CASE WHEN abs(d) < 0.5 THEN 'Small' WHEN abs(d) < 0.8 THEN 'Medium'
                 ELSE 'Large' END AS effect
             FROM d""",
         "spearman_freight_review": f"""
             , ranked AS (SELECT {_average_rank('freight_c')}, {_average_rank('score')} FROM studied),
             found AS (SELECT count(*) AS n, corr(freight_c_rank, score_rank) AS r FROM ranked)
-            SELECT n, round(r, 8) AS r, round({t_of_r}, 6) AS t_stat, n - 2 AS df FROM found""",
+            SELECT n, round(r, 8) AS r, round({t_of_r}, 6) AS t_stat, n - 2 AS df,
+              {tested(t_of_r, 'n - 2')} FROM found""",
         "pearson_weight_delivery": f"""
             , found AS (SELECT count(*) AS n, corr(grams, days) AS r FROM studied
               WHERE grams IS NOT NULL)
-            SELECT n, round(r, 8) AS r, round({t_of_r}, 6) AS t_stat, n - 2 AS df FROM found""",
+            SELECT n, round(r, 8) AS r, round({t_of_r}, 6) AS t_stat, n - 2 AS df,
+              {tested(t_of_r, 'n - 2')} FROM found""",
         "weight_delivery_regression": """
             , fit AS (
               SELECT regr_slope(days, grams / 1000.0) AS slope,
@@ -532,6 +535,40 @@ def _correlation() -> dict[str, str]:
     }
 
 
+def p_value(t: str, df: str) -> str:
+    """Two-sided p-value of Student's t: the continued fraction of the incomplete beta function, its
+    convergents carried through a list of terms."""
+    near = f"(({t}) * ({t}) < ({df}) AND abs({t}) < 4)"
+    x, y = f"(({df}) / (({df}) + ({t}) * ({t})))", f"(({t}) * ({t}) / (({df}) + ({t}) * ({t})))"
+    a, b = f"(CASE WHEN {near} THEN 0.5 ELSE ({df}) / 2.0 END)", f"(CASE WHEN {near} THEN ({df}) / 2.0 ELSE 0.5 END)"
+    at, co = f"(CASE WHEN {near} THEN {y} ELSE {x} END)", f"(CASE WHEN {near} THEN {x} ELSE {y} END)"
+    names = ("j", "a", "b", "x", "now", "before", "scale")
+
+    def state(*values: str) -> str:
+        return "{" + ", ".join(f"'{n}': CAST({v} AS DOUBLE)" for n, v in zip(names, values, strict=True)) + "}"
+
+    j, m = "e.j", "floor(e.j / 2)"
+    odd = f"(-(h.a + {m}) * (h.a + h.b + {m}) * h.x / ((h.a + 2 * {m}) * (h.a + 2 * {m} + 1)))"
+    even = f"({m} * (h.b - {m}) * h.x / ((h.a + 2 * {m} - 1) * (h.a + 2 * {m})))"
+    term = f"(CASE WHEN {j} % 2 = 1 THEN {odd} ELSE {even} END)"
+    under = f"(1 + {term} * h.scale)"
+    turn = state(j, "h.a", "h.b", "h.x", f"(h.now + {term} * h.before) / {under}", f"h.now / {under}", f"1 / {under}")
+    terms = f"list_transform(range(1, CAST(200 + 20 * sqrt({df}) AS BIGINT)), lambda j: {state('j', *['0'] * 6)})"
+    fraction = f"(list_reduce(list_prepend({state('0', a, b, at, '1', '1', '0')}, {terms}), lambda h, e: {turn})).now"
+    beta = f"(lgamma(({df}) / 2.0) + lgamma(0.5) - lgamma(({df}) / 2.0 + 0.5))"
+    found = f"(exp({a} * ln({at}) + {b} * ln({co}) - {beta}) / ({a} * {fraction}))"
+    return f"(CASE WHEN {near} THEN 1 - {found} ELSE {found} END)"
+
+
+def tested(t: str, df: str) -> str:
+    """p_value, significance and decision."""
+    p = p_value(t, df)
+    return f"""round({p}, 8) AS p_value,
+              CASE WHEN {p} < 0.001 THEN '*** (p < 0.001)' WHEN {p} < 0.01 THEN '** (p < 0.01)'
+                WHEN {p} < 0.05 THEN '* (p < 0.05)' ELSE 'ns (not significant)' END AS significance,
+              CASE WHEN {p} < 0.05 THEN 'REJECT' ELSE 'FAIL TO REJECT' END AS decision"""
+
+
 def _marts() -> dict[str, str]:
     review = ratio("sum(score)", "count(score)", 2)
     everyone = "(SELECT count(*) FROM segments)"
@@ -710,8 +747,30 @@ def _tables() -> dict[str, str]:
               {stamp("date_trunc('day', bought) + to_days(32)")} AS review_answer_timestamp
             FROM reviews JOIN facts USING (order_id, k)""",
         "surrogate_keys": f"""
-            SELECT {item_columns}, row_number() OVER (ORDER BY order_id, line, product_id,
-              seller_id, ship_by, price_c, freight_c, total_c) AS item_id FROM items""",
+            SELECT 'fact_order_items' AS "table", count(*) AS rows, 1 AS lowest, count(*) AS highest,
+              count(*) AS numbers, {money('sum(total_c)')} AS value FROM items
+            UNION ALL SELECT 'fact_payments', count(*), 1, count(*), count(*), {money('sum(value_c)')} FROM payments""",
+        "append_rejects": """
+            , sent AS (
+              SELECT 'N' || order_id AS order_id, k,
+                k % 3 = 0 OR customer_id NOT IN (SELECT customer_id FROM customers) AS bad
+              FROM facts WHERE k % 10 = 1),
+            taken AS (SELECT order_id FROM sent WHERE NOT bad),
+            reasons AS (
+              SELECT 'dim_customers' AS "table", 'duplicate key' AS reason, customer_id AS key FROM customers
+              WHERE CAST(customer_id AS BIGINT) % 10 = 0
+              UNION ALL SELECT 'fact_orders', 'duplicate key', order_id FROM facts WHERE k % 10 = 0
+              UNION ALL SELECT 'fact_orders', 'duplicate key', order_id FROM sent WHERE k % 50 = 1
+              UNION ALL SELECT 'fact_orders', 'no such dim_customers', order_id FROM sent WHERE bad
+              UNION ALL SELECT 'fact_order_items', CASE
+                  WHEN 'N' || order_id NOT IN (SELECT order_id FROM taken) THEN 'no such fact_orders'
+                  WHEN line = 2 OR product_id NOT IN (SELECT product_id FROM products) THEN 'no such dim_products'
+                  WHEN seller_id NOT IN (SELECT seller_id FROM sellers) THEN 'no such dim_sellers' END, NULL
+              FROM items WHERE CAST(order_id AS BIGINT) % 10 = 1
+              UNION ALL SELECT 'fact_reviews', 'no such fact_orders', 'N' || review_id FROM reviews
+              WHERE k % 10 = 1 AND 'N' || order_id NOT IN (SELECT order_id FROM taken))
+            SELECT "table", reason, count(*) AS rows, count(DISTINCT key) AS keys
+            FROM reasons WHERE reason IS NOT NULL GROUP BY "table", reason""",
         "verify_load": loads,
         "pk_duplicates": copies,
         "fk_orphans": orphans,
@@ -737,4 +796,7 @@ def statements() -> dict[str, str]:
     found["load_raw"] = found["revenue_waterfall"]
     found["stored_revenue_waterfall"] = found["revenue_waterfall"]
     found["stored_seller_performance"] = found["seller_performance"]
+    found["sql_monthly_revenue"] = found["monthly_revenue"]
+    found["bucketed_revenue_waterfall"] = found["revenue_waterfall"]
+    found["bucketed_seller_performance"] = found["seller_performance"]
     return found

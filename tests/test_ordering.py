@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tradeweave.plans.ordering import numbered, running, tiled, tiled_each, value_standing
+from tradeweave.plans.ordering import numbered, running, standing, tiled, tiled_each, value_standing
 from tradeweave.plans.quantiles import grouped_quantiles
 
 
@@ -73,3 +73,27 @@ def test_grouped_quantiles_match_numpy(spark):
         expected = np.quantile(values[row["g"]], list(fractions.values()))
         assert [row[f] for f in fractions] == pytest.approx(expected.tolist())
         assert row["n"] == len(values[row["g"]])
+
+
+@pytest.mark.parametrize("value", ["id % 4", "1", "id", "IF(id < 50, 7, id)", "IF(id % 5 = 0, NULL, id % 9)"])
+@pytest.mark.parametrize("n", [0, 1, 200])
+def test_standing_carries_ties_over_borders(spark, value, n):
+    df = spark.range(n).selectExpr("id", f"CAST({value} AS long) AS v")
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # equal values go on over several slices
+    try:
+        ours = standing(df.repartition(4), "v", "id")
+        assert n < 200 or ours.select("position").count() == n
+        found = as_rows(ours.select("id", "position", "n", "dense_rank", "running", "everything"), "id")
+    finally:
+        spark.conf.unset(setting)
+    falling = Window.orderBy(F.desc("v"))
+    plain = df.select(
+        "id",
+        F.row_number().over(Window.orderBy(F.desc("v"), "id")).alias("position"),
+        F.lit(n).alias("n"),
+        F.dense_rank().over(falling).alias("r"),
+        F.coalesce(F.sum("v").over(falling), F.lit(0)).alias("s"),
+        F.sum("v").over(Window.partitionBy()).alias("e"),
+    )
+    assert found == as_rows(plain, "id")

@@ -3,6 +3,8 @@
 import re
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from oracles.reports import statements
 from tests.compare import differences, duck
@@ -58,19 +60,13 @@ def test_filters_on_orders_skip_row_groups(spark, stored):
     assert "PushedFilters: [IsNotNull(order_id), EqualTo(order_id,7)]" in plan
 
 
-def test_stored_facts_are_in_order(spark, stored):
-    parts = (
-        stored["fact_order_items"]
-        .selectExpr("order_id", "input_file_name() AS file")
-        .groupBy("file")
-        .agg({"order_id": "min"})
-        .collect()
-    )
-    tops = stored["fact_order_items"].selectExpr("order_id", "input_file_name() AS file").groupBy("file").agg({"order_id": "max"})
-    low = {r["file"]: r["min(order_id)"] for r in parts}
-    high = {r["file"]: r["max(order_id)"] for r in tops.collect()}
-    ranges = sorted((low[f], high[f]) for f in low)
-    assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
+def test_stored_facts_are_dealt_and_in_order(spark, stored):
+    """An order lies in one file, and a file's row groups hold ranges of orders."""
+    rows = stored["fact_order_items"].selectExpr("order_id", "input_file_name() AS file", "_metadata.row_index AS place")
+    assert rows.groupBy("order_id").agg(F.count_distinct("file").alias("files")).where("files > 1").collect() == []
+    in_file = Window.partitionBy("file").orderBy("place")
+    before = rows.withColumn("before", F.lag("order_id").over(in_file)).where("before > order_id")
+    assert before.collect() == []
 
 
 def test_loading_twice_replaces(spark, tmp_path):

@@ -5,7 +5,9 @@ import pytest
 import __spark_entry__ as contract
 from oracles.reports import statements
 from tests.compare import differences, duck
+from tradeweave.operators import cohorts
 from tradeweave.registry import all_queries
+from tradeweave.sources.sample import sample_star
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = all_queries()
@@ -40,6 +42,15 @@ def test_same_as_duckdb(spark, con, name):
     assert differences(QUERIES[name](spark, FOLDER), con, ORACLES[name]) == []
 
 
+def test_counts_by_offset_are_the_wide_grid(spark):
+    star = sample_star(spark, FOLDER)
+    grid = cohorts.retention_counts(star).collect()
+    offsets = sorted({r["months_since_first"] for r in grid})
+    wide = cohorts.widen(cohorts.retention_counts(star), "active_customers", offsets).collect()
+    rows = {r["cohort_month"]: r["counts"] for r in cohorts.counts_by_offset(star).collect()}
+    assert {r["cohort_month"]: ",".join(str(r[f"month_{o}"]) for o in offsets) for r in wide} == rows
+
+
 def test_flagship(spark):
     df = contract.entry(spark)
     assert df.columns[0] == "order_month" and df.count() > 0

@@ -4,6 +4,7 @@ import math
 from datetime import date, datetime
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,19 +114,50 @@ def test_segment_order_matters(spark):
     [(2.0, 10, 0.0733880), (12.7062047, 1, 0.05), (0.0, 5, 1.0), (3.5, 47.3, 0.0010254),
      (1.959963985, 1e9, 0.05), (1.959963985, 1e12, 0.05), (float("inf"), 3, 0.0)],
 )
-def test_t_distribution(t, df, p):
-    assert stats.two_sided_p(t, df) == pytest.approx(p, abs=1e-6)
+def test_t_distribution(spark, t, df, p):
+    assert p_values(spark, [(t, df)]) == [pytest.approx(p, abs=1e-6)]
 
 
-@pytest.mark.parametrize("t", [0.001, 0.7, 2.0, 3.9, 4.1, 6.0])
-def test_t_distribution_nears_the_normal_one(t):
-    for df in (1e7, 1e9, 1e11):
-        assert stats.two_sided_p(t, df) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-4)
+def p_values(spark, tests):
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(tests)], "i int, t double, df double")
+    p = stats.t_test_p(F.col("t"), F.col("df"))
+    return [r["p"] for r in df.coalesce(1).select("i", p.alias("p")).orderBy("i").collect()]
 
 
-def test_p_value_without_convergence_is_unknown(monkeypatch):
-    monkeypatch.setattr(stats, "TERMS", 3)
-    assert math.isnan(stats.two_sided_p(2.0, 10))
+NODES = np.polynomial.legendre.leggauss(300)
+
+
+def plain_p(t, df):
+    """By integrating the density, the tail folded onto an interval."""
+    angle, weight = NODES
+    low = math.atan(abs(t) / math.sqrt(df))
+    at = low + (math.pi / 2 - low) * (angle + 1) / 2
+    log_constant = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(math.pi)
+    return 2 * float((weight * np.exp(log_constant + (df - 1) * np.log(np.cos(at)))).sum()) * (math.pi / 2 - low) / 2
+
+
+def test_t_distribution_against_an_integral(spark):
+    tests = [(t, df) for t in (0.01, 0.7, 2.0, 3.99, 4.0, 6.0, 25.0, -2.5) for df in (1, 2, 3.5, 10, 300, 5000)]
+    for (t, df), p in zip(tests, p_values(spark, tests), strict=True):
+        assert p == pytest.approx(plain_p(t, df), rel=1e-8, abs=1e-13), (t, df)
+
+
+def test_t_distribution_nears_the_normal_one(spark):
+    tests = [(t, df) for t in (0.001, 0.7, 2.0, 3.9, 4.1, 6.0) for df in (9.9e5, 1e7, 1e9, 1e11)]
+    for (t, df), p in zip(tests, p_values(spark, tests), strict=True):
+        assert p == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-4 if df > 1e6 else 1e-2), (t, df)
+    (below, above) = p_values(spark, [(3.0, 1e6), (3.0, 1e6 + 1)])  # where the way changes
+    assert below == pytest.approx(above, rel=1e-8)
+
+
+def test_p_value_without_convergence_is_unknown(spark, monkeypatch):
+    monkeypatch.setattr(stats, "CONVERGED", -1.0)
+    assert p_values(spark, [(2.0, 10)]) == [None]
+
+
+def test_p_value_of_nothing(spark):
+    nan = float("nan")
+    assert p_values(spark, [(nan, 3), (2.0, nan), (2.0, 0), (2.0, -1)]) == [None] * 4
 
 
 def test_significance_marks(spark):

@@ -67,6 +67,24 @@ def retention_counts(star: Star) -> DataFrame:
     )
 
 
+def counts_by_offset(star: Star) -> DataFrame:
+    """One row per cohort: its active people at every offset, joined by commas in the order of offsets.
+
+    The offsets are those that occur anywhere, months since the first order, so a list is short.
+    """
+    counted = F.struct("months_since_first", "active_customers")
+    return (
+        retention_grid(star)
+        .groupBy("cohort_month")
+        .agg(F.sort_array(F.collect_list(counted)).alias("grid"))
+        .select(
+            "cohort_month",
+            F.array_join(F.transform("grid", lambda g: g["active_customers"].cast("string")), ",").alias("counts"),
+        )
+        .orderBy("cohort_month")
+    )
+
+
 def retention_matrix(star: Star) -> DataFrame:
     """The same grid as a percentage of the cohort's size, unrounded."""
     share = F.col("active_customers").cast("double") / F.col("cohort_size") * 100

@@ -188,7 +188,7 @@ def welch_late_vs_ontime(star: Star) -> DataFrame:
             "df": freedom,
             "cohens_d": apart / F.when(pooled > 0, pooled),
         }
-    ).withColumn("p_value", t_test_p("t_stat", "df"))
+    ).withColumn("p_value", t_test_p(F.col("t_stat"), F.col("df")))
     return tested.select(
         F.col("ontime_n").cast("long").alias("ontime_n"),
         "ontime_mean",
@@ -211,7 +211,7 @@ def _correlation_test(lv: Levels) -> DataFrame:
     tested = scatters(lv).select(
         F.coalesce("n", F.lit(0)).cast("long").alias("n"), _corr(a, b).alias("r")
     ).withColumns({"t_stat": correlation_t(F.col("r"), F.col("n")), "df": F.col("n") - 2})
-    return tested.withColumn("p_value", t_test_p("t_stat", F.col("df").cast("double"))).withColumns(
+    return tested.withColumn("p_value", t_test_p(F.col("t_stat"), F.col("df").cast("double"))).withColumns(
         {
             "significance": significance_label(F.col("p_value")),
             "decision": decision(F.col("p_value")),

@@ -3,13 +3,12 @@
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradeweave.functions.rounding import cents, mean_money, ratio
 from tradeweave.plans.grains import rows
-from tradeweave.plans.ordering import numbered
-from tradeweave.plans.star import Star
+from tradeweave.plans.ordering import counted
 from tradeweave.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STAR, SURROGATE_KEYS
 
 
@@ -26,11 +25,16 @@ def _counts(tables: Mapping[str, DataFrame], name: str) -> DataFrame:
     )
 
 
-def verify_load(source: Mapping[str, DataFrame], stored: Mapping[str, DataFrame]) -> DataFrame:
-    """Rows expected and found per star table."""
-    expected, actual = _counts(source, "expected_rows"), _counts(stored, "actual_rows")
+def verify_load(expected: Mapping[str, int] | Mapping[str, DataFrame], stored: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows expected and found per star table; what is expected comes as counts, as a load returns
+    them, or as tables to be counted."""
+    actual = _counts(stored, "actual_rows")
+    if all(isinstance(n, int) for n in expected.values()):
+        known = actual.sparkSession.createDataFrame(list(expected.items()), "table string, expected_rows long")
+    else:
+        known = _counts(expected, "expected_rows")
     return (
-        expected.join(actual, "table")
+        known.join(actual, "table")
         .withColumn("ok", (F.col("expected_rows") == F.col("actual_rows")).cast("int"))
         .withColumn("all_ok", F.expr("min(ok) over ()"))
         .orderBy("table")
@@ -84,65 +88,67 @@ def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def with_surrogate_key(df: DataFrame, table: str) -> DataFrame:
-    """Numbers the rows of a table without a natural key from 1, in column order.
+    """Numbers the rows of a table without a natural key from 1, as they lie."""
+    return counted(df, SURROGATE_KEYS[table])
 
-    The order takes in every column, so only identical rows could swap numbers; their place
-    of arrival still tells them apart and lets many copies spread over tasks.
-    """
-    arriving = df.withColumn("arrival", F.monotonically_increasing_id())
-    ordered = numbered(arriving, *[f.name for f in STAR[table].fields], "arrival")
-    return ordered.withColumnRenamed("position", SURROGATE_KEYS[table]).drop("n", "arrival")
 
+def surrogate_keys(star: Mapping[str, DataFrame]) -> DataFrame:
+    """Per numbered table: rows, smallest, largest and distinct numbers, and a sum of a value."""
+    values = {"fact_order_items": "total_value", "fact_payments": "payment_value"}
+    found = []
+    for table, key in SURROGATE_KEYS.items():
+        one = with_surrogate_key(star[table], table).groupBy(key).agg(rows().alias("copies"), F.sum(values[table]).alias("value"))
+        found.append(
+            one.agg(
+                F.sum("copies").alias("rows"),
+                F.min(key).alias("lowest"),
+                F.max(key).alias("highest"),
+                rows().alias("numbers"),
+                F.sum("value").alias("value"),
+            ).select(F.lit(table).alias("table"), "*")
+        )
+    return _union(found).orderBy("table")
 
-def surrogate_keys(star: Star) -> DataFrame:
-    return with_surrogate_key(star.order_items, "fact_order_items")
 
+# what is looked at while a star is written: raw table or star table -> aggregates
 
-def cleaning_report(raw: Mapping[str, DataFrame], star: Star) -> DataFrame:
-    """What cleaning kept and found, as (table, metric, value) rows."""
 
-    def metrics(df: DataFrame, table: str, **values) -> DataFrame:
-        summed = df.agg(*[v.alias(name) for name, v in values.items()])
-        cells = [
-            F.struct(F.lit(n).alias("metric"), F.col(n).cast("decimal(20,2)").alias("value"))
-            for n in values
-        ]
-        return summed.select(F.lit(table).alias("table"), F.explode(F.array(*cells)).alias("m"))
-
-    number = rows()
-    items, scores = star.order_items, star.reviews
-    mean_item = mean_money(cents(F.sum("total_value")), F.count("total_value"))
-    mean_score = ratio(F.sum("review_score"), F.count("review_score"), 2)
-    parts = [
-        metrics(star.customers, "dim_customers", rows=number),
-        metrics(
-            star.products,
-            "dim_products",
-            rows=number,
-            categories=F.count_distinct("product_category_english"),
-        ),
-        metrics(star.sellers, "dim_sellers", rows=number),
-        metrics(raw["geolocation"], "dim_geolocation", raw_rows=number),
-        metrics(star.geolocation, "dim_geolocation", rows=number),
-        metrics(
-            star.orders,
-            "fact_orders",
-            rows=number,
-            delivered=F.count_if(F.col("order_status") == "delivered"),
-            late=F.sum("is_late_delivery"),
-        ),
-        metrics(
-            raw["order_items"],
-            "fact_order_items",
-            removed=F.count_if(~F.coalesce(F.col("price") > 0, F.lit(False))),
-        ),
-        metrics(items, "fact_order_items", rows=number, mean_total_value=mean_item),
-        metrics(
-            star.payments,
-            "fact_payments",
-            rows=number,
-            types=F.count_distinct("payment_type"),
-        ),
-        metrics(scores, "fact_reviews", rows=number, mean_score=mean_score),
+def raw_figures() -> dict[str, dict[str, Column]]:
+    kept = F.coalesce(F.col("price") > 0, F.lit(False))
+    return {"geolocation": {"rows": rows()}, "order_items": {"rows": rows(), "removed": F.count_if(~kept)}}
+
+
+def star_figures() -> dict[str, dict[str, Column]]:
+    return {
+        "fact_orders": {"delivered": F.count_if(F.col("order_status") == "delivered"), "late": F.sum("is_late_delivery")},
+        "fact_order_items": {"value": F.sum("total_value"), "valued": F.count("total_value")},
+        "fact_reviews": {"score": F.sum("review_score"), "scored": F.count("review_score")},
+    }
+
+
+def cleaning_report(raw: Mapping[str, Mapping], figures: Mapping[str, Mapping], stored: Mapping[str, DataFrame]) -> DataFrame:
+    """What cleaning kept and found, as (table, metric, value) rows.
+
+    ``raw`` and ``figures`` are what ``raw_figures`` and ``star_figures`` gave while the star was
+    written; only the two counts of distinct names are read from the stored star.
+    """
+    spark = stored["dim_products"].sparkSession
+    items, reviews = figures["fact_order_items"], figures["fact_reviews"]
+    cells: list[tuple[str, str, Column]] = [(table, "rows", F.lit(figures[table]["rows"])) for table in STAR]
+    cells += [
+        ("dim_geolocation", "raw_rows", F.lit(raw["geolocation"]["rows"])),
+        ("fact_orders", "delivered", F.lit(figures["fact_orders"]["delivered"] or 0)),
+        ("fact_orders", "late", F.lit(figures["fact_orders"]["late"])),
+        ("fact_order_items", "removed", F.lit(raw["order_items"]["removed"] or 0)),
+        ("fact_order_items", "mean_total_value", mean_money(cents(F.lit(items["value"]).cast("decimal(38,2)")), F.lit(items["valued"] or 0))),
+        ("fact_reviews", "mean_score", ratio(F.lit(reviews["score"]).cast("long"), F.lit(reviews["scored"] or 0), 2)),
     ]
-    return _union(parts).select("table", "m.metric", "m.value").orderBy("table", "metric")
+
+    def cell(table: str, metric: str, value: Column) -> Column:
+        return F.struct(F.lit(table).alias("table"), F.lit(metric).alias("metric"), value.cast("decimal(20,2)").alias("value"))
+
+    seen = spark.range(1).select(F.explode(F.array(*[cell(*c) for c in cells])).alias("m")).select("m.*")
+    names = stored["dim_products"].agg(F.count_distinct("product_category_english").alias("n"))
+    kinds = stored["fact_payments"].agg(F.count_distinct("payment_type").alias("n"))
+    counts = [df.select(cell(t, m, F.col("n")).alias("m")).select("m.*") for df, t, m in ((names, "dim_products", "categories"), (kinds, "fact_payments", "types"))]
+    return _union([seen, *counts]).orderBy("table", "metric")

@@ -13,7 +13,7 @@ from tradeweave.plans.grains import (
     reviewed_sums,
     rows,
 )
-from tradeweave.plans.ordering import tiled, value_standing
+from tradeweave.plans.ordering import ntile_at, standing
 from tradeweave.plans.star import Star
 
 
@@ -27,8 +27,7 @@ def seller_sums(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
 def seller_performance(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
     """All sellers by revenue: rank, decile, share and running revenue.
 
-    Ranks and running sums come from a table of distinct revenues, so sellers with equal
-    revenue share them.
+    Tiles, ranks and running sums come from one order; sellers with equal revenue share the latter.
     """
     sellers = seller_sums(star, dedupe_reviews=dedupe_reviews).select(
         "seller_id",
@@ -42,37 +41,15 @@ def seller_performance(star: Star, *, dedupe_reviews: bool = False) -> DataFrame
         ratio("score", "scored", 2).alias("avg_review_score"),
         F.col("bad").alias("bad_reviews"),
     )
-    tiles = tiled(
-        sellers, "revenue_decile", 10, F.desc("total_revenue"), F.asc("seller_id")
-    )
-    standing = _revenue_standing(tiles)
-    total = tiles.agg(F.sum("total_revenue").alias("all_revenue"))
-    return (
-        tiles.join(standing, "total_revenue")
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumns(
-            {
-                "revenue_share_pct": percent(cents("total_revenue"), cents("all_revenue"), 4),
-                "cumulative_revenue_pct": percent(
-                    cents("cumulative_revenue"), cents("all_revenue")
-                ),
-            }
-        )
-        .drop("all_revenue")
-        .orderBy(F.desc("total_revenue"), "seller_id")
-    )
-
-
-def _revenue_standing(sellers: DataFrame) -> DataFrame:
-    """Dense rank and revenue up to and including each distinct revenue."""
-    standing = value_standing(
-        sellers, "total_revenue", descending=True, weight="total_revenue"
-    )
-    return standing.select(
-        "total_revenue",
+    placed = standing(sellers, "total_revenue", "seller_id")
+    return placed.select(
+        *sellers.columns,
+        ntile_at(F.col("position"), F.col("n"), 10).alias("revenue_decile"),
         F.col("dense_rank").alias("revenue_rank"),
-        (F.col("rows_before") + F.col("rows")).alias("cumulative_revenue"),
-    )
+        F.col("running").alias("cumulative_revenue"),
+        percent(cents("total_revenue"), cents("everything"), 4).alias("revenue_share_pct"),
+        percent(cents("running"), cents("everything")).alias("cumulative_revenue_pct"),
+    ).orderBy(F.desc("total_revenue"), "seller_id")
 
 
 def category_matrix(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:

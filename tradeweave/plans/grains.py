@@ -37,8 +37,9 @@ def item_sums() -> list[Column]:
 
 def items_by_order(star: Star) -> DataFrame:
     """Order items dealt by order: sums per order and more, and joins on the order, all use this
-    one exchange.  (order, seller) is nearly unique, so summing before it would save little."""
-    return star.order_items.repartition("order_id")
+    one exchange.  (order, seller) is nearly unique, so summing before it would save little.
+    Bucketed items are dealt already."""
+    return star.order_items if star.dealt else star.order_items.repartition("order_id")
 
 
 def order_sales(star: Star) -> DataFrame:

@@ -65,6 +65,25 @@ def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     )
 
 
+def counted(df: DataFrame, name: str) -> DataFrame:
+    """Numbers the rows from 1 in no particular order, without sorting or shuffling them.
+
+    The rows are stored as they lie; a row's number is its place in its partition after the sizes
+    of the earlier partitions.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))
+    held = durable(df.select("*", F.spark_partition_id().alias("__slice"), place.alias("__place")))
+    sizes = held.groupBy("__slice").agg(F.count(F.lit(1)).alias("size"))
+    earlier = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__slice", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("__start"))
+    # one row per partition
+    return (
+        held.join(F.broadcast(starts), "__slice")
+        .withColumn(name, F.col("__start") + F.col("__place") + 1)
+        .select(*df.columns, name)
+    )
+
+
 def ntile_at(position: Column, n: Column, tiles: int) -> Column:
     """NTILE bucket of a 1-based position among ``n``: the first buckets take the spare rows."""
     size = F.floor(n / tiles)
@@ -147,3 +166,61 @@ def value_standing(
     return running(values, [order], {"rows_before": "rows", "values_before": "one"}).select(
         key, "rows", "rows_before", (F.col("values_before") + 1).alias("dense_rank")
     )
+
+
+def standing(df: DataFrame, value: str, ident: str) -> DataFrame:
+    """From one global order, by falling ``value`` and then ``ident``: adds ``position`` and ``n``, and
+    over equal values alike ``dense_rank`` and ``running`` (the sum of this and all larger values), and
+    ``everything``, the sum of all.
+
+    Each slice works out what lies in it; a table of a row per slice carries sums, distinct values
+    and the rows of a value that goes on in later slices over the borders, so ties need no join.
+    """
+    falling = Window.partitionBy("slice").orderBy(F.desc(value))
+    rows = sliced(df, F.desc(value), F.asc(ident)).select(
+        "*", F.sum(value).over(falling).alias("within"), F.dense_rank().over(falling).alias("rank_within")
+    )
+    slices = rows.groupBy("slice").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.sum(value).alias("held"),
+        F.max("rank_within").alias("distinct"),
+        F.count_if(F.col("rank_within") == 1).alias("heading"),
+        F.min_by(value, "slice_row").alias("first"),
+        F.max_by(value, "slice_row").alias("last"),
+    )
+    in_order = Window.orderBy("slice")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = Window.partitionBy()
+    goes_on = (F.lag("size").over(in_order).isNotNull() & F.lag("last").over(in_order).eqNullSafe(F.col("first"))).cast("int")
+    slices = slices.withColumn("goes_on", goes_on)
+    alike = Window.partitionBy("first")
+    # a value that a slice ends with heads the later slices that it goes on in
+    heads = slices.groupBy(F.col("first").alias("head")).agg(F.sum("heading").alias("heads"))
+    carried = slices.select(
+        "slice",
+        "first",
+        "last",
+        F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("rows_before"),
+        F.sum("size").over(every).alias("n"),
+        F.sum("held").over(earlier).alias("sum_before"),
+        F.sum("held").over(every).alias("everything"),
+        (F.coalesce(F.sum("distinct").over(earlier), F.lit(0)) - F.sum("goes_on").over(so_far)).alias("ranks_before"),
+        F.sum("heading").over(alike.orderBy("slice")).alias("headed"),
+    )
+    carried = carried.join(heads, carried["last"].eqNullSafe(heads["head"]), "left").withColumn(
+        "later",
+        F.coalesce("heads", F.lit(0)) - F.when(F.col("first").eqNullSafe(F.col("last")), F.col("headed")).otherwise(0),
+    )
+    # one row per range partition, as in numbered()
+    joined = rows.join(F.broadcast(carried.drop("first", "headed", "heads", "head")), "slice")
+    peers = F.when(F.col(value) == F.col("last"), F.col("later") * F.col(value))
+    running_sum = F.coalesce("sum_before", F.lit(0)) + F.coalesce("within", F.lit(0)) + F.coalesce(peers, F.lit(0))
+    return joined.select(
+        *df.columns,
+        (F.col("rows_before") + F.col("slice_row") + 1).alias("position"),
+        "n",
+        (F.col("ranks_before") + F.col("rank_within")).alias("dense_rank"),
+        running_sum.alias("running"),
+        "everything",
+    )

@@ -29,7 +29,14 @@ class Tables(Mapping[str, DataFrame]):
 
 
 class Star(Tables):
-    """``fact_*`` and ``dim_*`` frames under short names."""
+    """``fact_*`` and ``dim_*`` frames under short names.
+
+    ``dealt``: the facts are stored dealt by order, so nothing has to be shuffled by it.
+    """
+
+    def __init__(self, loaders: Mapping[str, Loader], *, dealt: bool = False):
+        super().__init__(loaders)
+        self.dealt = dealt
 
     customers = property(lambda self: self["dim_customers"])
     products = property(lambda self: self["dim_products"])
