@@ -510,9 +510,16 @@ def _correlation() -> dict[str, str]:
               AS delivery_days, round(slope, 8) AS slope, round(intercept, 8) AS intercept
             FROM points""",
         "scatter_sample": """
+            , numbered AS (
+              SELECT grams, days, count(*) OVER () AS total,
+                row_number() OVER (ORDER BY order_id, line, product_id, review_id) - 1 AS place
+              FROM studied WHERE grams IS NOT NULL),
+            stretches AS (
+              SELECT j, (j * total) // 5000 AS first, ((j + 1) * total) // 5000 AS after
+              FROM (SELECT unnest(range(5000)) AS j), (SELECT max(total) AS total FROM numbered))
             SELECT CAST(grams AS DOUBLE) / 1000 AS weight_kg, days AS delivery_days_actual
-            FROM studied WHERE grams IS NOT NULL
-            ORDER BY md5(concat_ws('|', order_id, line, product_id, review_id)) LIMIT 5000""",
+            FROM numbered JOIN stretches
+              ON after > first AND place = first + (j * 2654435761 % 4294967296) % (after - first)""",
         "delivery_bucket_review_stats": f"""
             , grouped AS (SELECT {cut} AS g, CAST(score AS DOUBLE) AS score FROM studied
               WHERE {cut} IS NOT NULL){box}
@@ -796,6 +803,16 @@ def statements() -> dict[str, str]:
     found["load_raw"] = found["revenue_waterfall"]
     found["stored_revenue_waterfall"] = found["revenue_waterfall"]
     found["stored_seller_performance"] = found["seller_performance"]
+    effects = {  # query, test, method, statistic, effect
+        "welch_late_vs_ontime": ("late delivery vs review score", "Welch''s t-test", "t_stat", "cohens_d"),
+        "spearman_freight_review": ("freight value vs review score", "Spearman correlation", "r", "r"),
+        "pearson_weight_delivery": ("product weight vs delivery time", "Pearson correlation", "r", "r"),
+    }
+    found["hypothesis_summary"] = " UNION ALL ".join(
+        f"""SELECT '{test}' AS test, '{method}' AS method, round({statistic}, 6) AS statistic, p_value,
+        {effect} AS effect, significance, decision FROM ({found[name]})"""
+        for name, (test, method, statistic, effect) in effects.items()
+    )
     found["sql_monthly_revenue"] = found["monthly_revenue"]
     found["bucketed_revenue_waterfall"] = found["revenue_waterfall"]
     found["bucketed_seller_performance"] = found["seller_performance"]

@@ -1,6 +1,6 @@
 """Delivery, price, weight and satisfaction: correlations and significance tests."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradeweave import labels as L
@@ -23,15 +23,17 @@ from tradeweave.plans.fanout import (
     REVIEW,
     WHOLE,
     Levels,
+    Sources,
     analysis_orders,
     levels,
     pair_sums,
     pairs,
     per_order,
     scatters,
+    sources,
 )
 from tradeweave.plans.grains import account_states, rows
-from tradeweave.plans.ordering import durable, running
+from tradeweave.plans.ordering import durable, running, sized
 from tradeweave.plans.star import Star
 
 VARIABLES = tuple(LEVELS)
@@ -101,7 +103,8 @@ def ranked(lv: Levels) -> Levels:
     """The same levels with every value replaced by twice its average rank.
 
     Ranks are over the item-by-review rows; twice an average rank is a whole number.  The
-    table of distinct values is ranked in one distributed order and joined back.
+    table of distinct values is ranked in one distributed order and joined back; as it is stored with
+    its size, Spark broadcasts the ranks of days, scores and the like instead of shuffling facts by value.
     """
     k = lv.items.groupBy("order_id").agg(rows().alias("k"))
     r = lv.reviews.groupBy("order_id").agg(rows().alias("r"))
@@ -128,14 +131,15 @@ def ranked(lv: Levels) -> Levels:
     values = seen.groupBy("variable", "value").agg(F.sum("weight").alias("rows"))
     placed = running(values, ["variable", "value"], {"before": "rows"})
     starts = placed.groupBy("variable").agg(F.min("before").alias("start"))
-    ranks = durable(
+    ranks = sized(
         placed.join(F.broadcast(starts), "variable").select(  # one row per variable
             "variable",
             "value",
             ((F.col("before") - F.col("start")) * 2 + F.col("rows") + 1)
             .cast(WHOLE)
             .alias("rank"),
-        )
+        ),
+        "variable",
     )
 
     def replace(source: Levels, level: str) -> DataFrame:
@@ -151,7 +155,7 @@ def ranked(lv: Levels) -> Levels:
     return Levels(*[replace(found, level) for level in (ORDER, ITEM, REVIEW)], lv.variables)
 
 
-def welch_late_vs_ontime(star: Star) -> DataFrame:
+def welch_late_vs_ontime(star: Star | Sources) -> DataFrame:
     """Welch's t-test of review scores, on-time against late; one row."""
     lv = levels(star, "review_score")
     groups = per_order(lv).groupBy("is_late_delivery").agg(*pair_sums(lv))
@@ -219,12 +223,12 @@ def _correlation_test(lv: Levels) -> DataFrame:
     )
 
 
-def spearman_freight_review(star: Star) -> DataFrame:
+def spearman_freight_review(star: Star | Sources) -> DataFrame:
     """Rank correlation of freight and review score with its p-value; one row."""
     return _correlation_test(ranked(levels(star, "freight_value", "review_score")))
 
 
-def pearson_weight_delivery(star: Star) -> DataFrame:
+def pearson_weight_delivery(star: Star | Sources) -> DataFrame:
     """Correlation of product weight and delivery days with its p-value; one row."""
     return _correlation_test(levels(star, "product_weight_g", "delivery_days_actual"))
 
@@ -257,21 +261,53 @@ def weight_delivery_regression(star: Star, points: int = 100) -> DataFrame:
     )
 
 
+SPREAD = 2654435761  # an odd multiplier near 2**32 over the golden ratio
+
+
 def scatter_sample(star: Star, size: int = 5000) -> DataFrame:
-    """A repeatable uniform sample of (weight, days) rows: those with the lowest digests."""
-    orders = analysis_orders(star).select("order_id", "delivery_days_actual")
-    weights = star.products.filter(F.col("product_weight_g").isNotNull()).select(
-        "product_id", "product_weight_g"
+    """A repeatable uniform sample of (weight, days) over the item-by-review rows.
+
+    The rows, in the order of order, item and review, are cut into ``size`` stretches as even as can be,
+    and one is drawn from each, or all if there are no more than ``size``. Which orders they fall into
+    follows from the orders' numbers of items and reviews, so only drawn rows are formed.
+    """
+    weights = star.products.where("product_weight_g IS NOT NULL").select("product_id", "product_weight_g")
+    items = star.order_items.join(weights, "product_id").select(
+        "order_id", "order_item_id", "product_id", "product_weight_g"
     )
-    digest = F.md5(F.concat_ws("|", "order_id", "order_item_id", "product_id", "review_id"))
+    k = items.groupBy("order_id").agg(rows().alias("k"))
+    r = star.reviews.groupBy("order_id").agg(rows().alias("r"))
+    orders = analysis_orders(star).select("order_id", "delivery_days_actual").join(k, "order_id").join(r, "order_id")
+    placed = running(orders.withColumn("fan", F.col("k") * F.col("r")), ["order_id"], {"start": "fan"})
+    drawn = _drawn_places(placed, size)
+    of_drawn = items.join(F.broadcast(drawn.select("order_id").distinct()), "order_id", "left_semi")  # at most ``size``
+    in_order = Window.partitionBy("order_id").orderBy("order_item_id", "product_id")
+    numbered_items = of_drawn.withColumn("item", F.row_number().over(in_order) - 1)
     return (
-        _item_rows(star, weights, orders, star.reviews.select("order_id", "review_id"))
-        .select("product_weight_g", "delivery_days_actual", digest.alias("digest"))
-        .orderBy("digest")
-        .limit(size)
-        .select(
-            (F.col("product_weight_g") / 1000).alias("weight_kg"), "delivery_days_actual"
-        )
+        F.broadcast(drawn.withColumn("item", F.call_function("div", F.col("place"), F.col("r"))))
+        .join(numbered_items, ["order_id", "item"])
+        .select((F.col("product_weight_g") / 1000).alias("weight_kg"), "delivery_days_actual")
+    )
+
+
+def _drawn_places(placed: DataFrame, size: int) -> DataFrame:
+    """The orders (order_id, start, fan, ...) that hold drawn rows, with each one's place among theirs."""
+    everything = placed.agg(F.sum("fan").alias("total"))
+
+    def div(a: Column, b: Column) -> Column:
+        return F.call_function("div", a, b)
+
+    total, end, count = F.col("total"), F.col("start") + F.col("fan") - 1, F.lit(size).cast("long")
+    low = F.greatest(div(F.col("start") * count, total) - 1, F.lit(0))
+    high = F.least(div(end * count, total) + 1, count - 1)
+    first, after = div(F.col("stretch") * total, count), div((F.col("stretch") + 1) * total, count)
+    place = first + F.pmod(F.col("stretch") * SPREAD % (1 << 32), after - first)
+    return (
+        placed.crossJoin(F.broadcast(everything))  # one row
+        .withColumn("stretch", F.explode(F.sequence(low, high)))
+        .where(after > first)
+        .withColumn("place", place - F.col("start"))
+        .where((F.col("place") >= 0) & (F.col("place") < F.col("fan")))
     )
 
 
@@ -345,7 +381,9 @@ def review_histogram(star: Star, bins: int = 5) -> DataFrame:
 
 
 def hypothesis_summary(star: Star) -> DataFrame:
-    """The three tests side by side."""
+    """The three tests side by side, all from one stored set of narrow orders, items and reviews."""
+    base = sources(star)
+    star = Sources(*[durable(df) for df in (base.orders, base.items, base.reviews)])
     welch = welch_late_vs_ontime(star).select(
         F.lit("late delivery vs review score").alias("test"),
         F.lit("Welch's t-test").alias("method"),

@@ -56,7 +56,28 @@ class Levels:
         return [v for v in self.variables if LEVELS[v] == level]
 
 
-def levels(star: Star, *variables: str) -> Levels:
+@dataclass(frozen=True)
+class Sources:
+    """The narrow frames that levels are made of: orders, items with their product's weight, reviews."""
+
+    orders: DataFrame
+    items: DataFrame
+    reviews: DataFrame
+
+
+def sources(star: Star) -> Sources:
+    weights = star.products.select("product_id", "product_weight_g")
+    names = {level: [v for v in LEVELS if LEVELS[v] == level] for level in (ORDER, ITEM, REVIEW)}
+    return Sources(
+        analysis_orders(star).select("order_id", "is_late_delivery", *names[ORDER]),
+        star.order_items.join(weights, "product_id").select("order_id", *names[ITEM]),
+        star.reviews.select("order_id", *names[REVIEW]),
+    )
+
+
+def levels(star: Star | Sources, *variables: str) -> Levels:
+    base = star if isinstance(star, Sources) else sources(star)
+
     def whole(name: str) -> Column:
         column = F.col(name) * 100 if name in MONEY else F.col(name)
         return column.cast(WHOLE).alias(name)
@@ -66,13 +87,10 @@ def levels(star: Star, *variables: str) -> Levels:
         chosen = df.select("order_id", *keep, *[whole(n) for n in names])
         return chosen.dropna(subset=names) if names else chosen
 
-    weights = star.products.select("product_id", "product_weight_g")
     return Levels(
-        complete(analysis_orders(star), ORDER, "is_late_delivery"),
-        complete(
-            star.order_items.join(weights, "product_id"), ITEM
-        ),
-        complete(star.reviews, REVIEW),
+        complete(base.orders, ORDER, "is_late_delivery"),
+        complete(base.items, ITEM),
+        complete(base.reviews, REVIEW),
         tuple(variables),
     )
 

@@ -10,6 +10,7 @@ spread over partitions like any other.
 """
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, *parts: str) -> DataFrame:
+    """Like ``durable``, but as a Parquet table, by the columns ``parts`` if any: Spark knows its size,
+    so it broadcasts what proves to be small and shuffles the rest."""
+    folder = f"{checkpoint_folder(df.sparkSession)}/sized-{uuid.uuid4()}"
+    df.write.partitionBy(*parts).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def sliced(df: DataFrame, *order: Column | str) -> DataFrame:
     """Globally sorted rows with ``slice`` and ``slice_row`` marking their place."""
     place = F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_BITS))
