@@ -41,9 +41,9 @@ def test_counts_of_the_table(spark, counted):
     assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in found.values())
 
 
-def test_counts_of_awkward_rows(spark, counted, monkeypatch):
-    monkeypatch.setattr(words, "BLOCK_CHARS", 500)  # many blocks
-    rows = token_counts.token_counts(awkward(spark, clashing=True), MODEL, 10).collect()
+def test_counts_of_awkward_rows(spark, counted):
+    many = {"block_chars": 500}  # many blocks
+    rows = token_counts.token_counts(awkward(spark, clashing=True), MODEL, 10, **many).collect()
     assert len(rows) == len(AWKWARD) + 1
     for r in rows:
         text = AWKWARD[r["doc_id"]]
@@ -70,7 +70,7 @@ def test_ids_of_the_table(spark, encoded):
 
 
 def test_ids_of_awkward_rows(spark, encoded):
-    rows = byte_pairs.encode(awkward(spark, clashing=True), RANKS, PATTERN, keep_ids=True)
+    rows = byte_pairs.encode(awkward(spark, clashing=True), RANKS, PATTERN, keep_ids=True, block_chars=500)
     back = byte_pairs.decode(rows, RANKS).collect()
     assert len(back) == len(AWKWARD) + 1
     for r in back:
@@ -87,6 +87,21 @@ def test_odd_texts_and_long_words(spark, encoded):
     assert all(same(found[i], t, encoded(t)) for i, t in enumerate(odd))
 
 
+def test_documents_are_split_once(spark, capsys):
+    for df in (op2_token_counts(spark, FOLDER), op6_byte_pairs(spark, FOLDER)):
+        df.collect()
+        df.explain()
+        final = capsys.readouterr().out.split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1 and final.count("ReusedExchange") == 2
+
+
+def test_marks_of_blocks_are_no_words(spark):
+    df = spark.createDataFrame([(1, "d0 0 d0 0")], "doc_id long, text string")
+    assert token_counts.token_counts(df, MODEL, 10).first()["n_tokens"] > 0
+    with pytest.raises(ValueError, match="mark"):
+        words.blocks(df, r"[a-z]0 \d+")
+
+
 def test_missing_byte(spark):
     few = {bytes([b]): b for b in range(97, 123)}
     df = spark.createDataFrame([(1, "abc!")], "doc_id long, text string")

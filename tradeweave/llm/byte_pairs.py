@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from tradeweave.llm import words
 
 SHELVES = 16_384  # maps that the ranks are dealt over; about three entries each
-TOGETHER = 100_000  # words that share one reading of the ranks
+TOGETHER = 25_000  # words that share one reading of the ranks
+PART = 20_000  # words of a block that are decoded at once
 LONG_WORD = 200  # characters from which a word's merges are kept in a heap, as the fold is quadratic
 NONE = (1 << 31) - 1  # rank of a pair that never merges
 NO_PAIR = NONE << 31
@@ -153,7 +154,7 @@ def word_ids(distinct: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
-            column = batch.column("word")
+            column = words.only_words(batch)
             short = pc.less(pc.utf8_length(column), LONG_WORD)
             held.append(column.filter(short))
             rows += len(held[-1])
@@ -231,9 +232,11 @@ def encode(
     text: str = "text",
     *,
     keep_ids: bool = False,
+    block_chars: int = words.BLOCK_CHARS,
 ) -> DataFrame:
     """Per document: its key, n_bytes, n_tokens, ids_sha256 (of the decimal ids, joined by commas),
-    decoded_sha256 (of the bytes decoded from the ids) and, if wanted, ids."""
+    decoded_sha256 (of the bytes decoded from the ids) and, if wanted, ids. Larger blocks shuffle
+    less, smaller ones take less memory."""
     pieces = {rank: piece for piece, rank in ranks.items()}
     numerals = {rank: str(rank) for rank in pieces}
 
@@ -241,16 +244,21 @@ def encode(
         known: np.ndarray, ends: np.ndarray, sequences: list[np.ndarray]
     ) -> dict[str, pa.Array]:
         """Puts the ids of each document's words in order and decodes them."""
-        ids, starts = known.tolist(), np.concatenate([[0], ends[:-1]])
-        try:
-            binary = list(map(pieces.__getitem__, ids))
-        except KeyError:
-            raise ValueError("a byte of the text is not in the vocabulary") from None
-        bounds = list(zip(starts.tolist(), ends.tolist(), strict=True))
-        decoded = [b"".join(binary[a:b]) for a, b in bounds]
-        digits = list(map(numerals.__getitem__, ids))
-        decimal = [",".join(digits[a:b]) for a, b in bounds]
-        del ids, binary, digits, bounds
+        starts = np.concatenate([[0], ends[:-1]])
+        decoded: list[bytes] = []
+        decimal: list[str] = []
+        for at in range(0, len(ends), PART):  # a part at a time, as lists take many times the room
+            part = slice(at, at + PART)
+            low, bounds = int(starts[at]), zip((starts[part] - starts[at]).tolist(), (ends[part] - starts[at]).tolist(), strict=True)
+            ids = known[low : int(ends[part][-1])].tolist()
+            try:
+                binary = list(map(pieces.__getitem__, ids))
+            except KeyError:
+                raise ValueError("a byte of the text is not in the vocabulary") from None
+            digits = list(map(numerals.__getitem__, ids))
+            for a, b in bounds:
+                decoded.append(b"".join(binary[a:b]))
+                decimal.append(",".join(digits[a:b]))
         sizes = ends - starts
         hashes, back, all_ids = [], [], []
         for sequence in sequences:
@@ -272,15 +280,10 @@ def encode(
         return out
 
     docs = words.stored(docs, key, text)
-    found = words.block_words(docs, pattern, None, text)
-    facts = found.join(word_ids(words.distinct_words(found), ranks), "word")
+    found = words.blocks(docs, pattern, None, key, text, block_chars=block_chars)
+    facts = words.places(found).join(word_ids(words.distinct_words(found), ranks), "word")
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    rows = words.with_facts(
-        words.block_documents(docs, pattern, None, key, text),
-        facts,
-        assemble,
-        columns + ", ids array<int>" * keep_ids,
-    )
+    rows = words.with_facts(found, facts, assemble, columns + ", ids array<int>" * keep_ids)
     return rows.withColumnRenamed("id", key)
 
 

@@ -52,8 +52,9 @@ def word_counts(distinct: DataFrame, definition: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(definition).encode_batch
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.column("word").slice(at, BATCH)
+            column = words.only_words(batch)
+            for at in range(0, len(column), BATCH):
+                part = column.slice(at, BATCH)
                 found = encode(part.to_pylist(), add_special_tokens=False)
                 yield pa.RecordBatch.from_arrays(
                     [part, pa.array([len(x) for x in found], pa.int32())], names=["word", "fact"]
@@ -63,7 +64,13 @@ def word_counts(distinct: DataFrame, definition: str) -> DataFrame:
 
 
 def token_counts(
-    docs: DataFrame, model: str, limit: int, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    model: str,
+    limit: int,
+    key: str = "doc_id",
+    text: str = "text",
+    *,
+    block_chars: int = words.BLOCK_CHARS,
 ) -> DataFrame:
     """Per document: its key, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
@@ -73,13 +80,12 @@ def token_counts(
         definition = file.read()
     special = special_token(definition)
     docs = words.stored(docs, key, text)
-    found = words.block_words(docs, PATTERN, special, text)
-    facts = found.join(word_counts(words.distinct_words(found), definition), "word")
+    found = words.blocks(docs, PATTERN, special, key, text, block_chars=block_chars)
+    facts = words.places(found).join(word_counts(words.distinct_words(found), definition), "word")
 
     def total(tokens: np.ndarray, _: np.ndarray, sequences: list[np.ndarray]) -> dict[str, pa.Array]:
         return {"n_tokens": pa.array([int(tokens[s].sum()) for s in sequences], pa.int64())}
 
-    documents = words.block_documents(docs, PATTERN, special, key, text)
-    return words.with_facts(documents, facts, total, "n_tokens long").select(
+    return words.with_facts(found, facts, total, "n_tokens long").select(
         F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

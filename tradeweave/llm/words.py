@@ -3,17 +3,19 @@
 A pre-token is a piece of text that byte-pair merges never cross. Most occur again and again, so
 what a model says about one (its ids, its count) is worked out once per distinct pre-token of the
 corpus and joined back. Joining every occurrence would shuffle many times the corpus; here the
-documents are taken in blocks of bounded size, and within a block a pre-token is a number:
+documents are taken in blocks of bounded size, and within a block a pre-token is a number.
 
-* ``block_words``: (at, word), a row per distinct pre-token of a block; ``at`` is one long of the
-  block and the number, as these rows are most of what is shuffled;
-* ``block_documents``: per document, the packed numbers of its pre-tokens in order;
-* ``with_facts``: gathers the facts about a block's words, packed, and applies a function to each
-  block: its documents beside its facts.
+``blocks`` splits the documents once into two kinds of rows, which share one exchange:
 
-The block of a row follows from its partition and the rows before it there, so both tables agree
-as long as the documents are read from files or a checkpoint, which hold still; ``stored`` sees to
-that.
+* words: a row per distinct pre-token of a block, with ``at``, one long of the block and the number,
+  as these rows are most of what is shuffled; dealt by word;
+* documents: the packed numbers of their pre-tokens in order, some documents to a row; dealt by block.
+
+``distinct_words``, ``places`` and ``with_facts`` each read that exchange: for the distinct words of
+the corpus, for the join of what is known about them with the blocks, and for the documents, to
+which it applies a function block by block. The block of a row follows from its partition and the
+rows before it there, so a lost task comes out the same as long as the documents are read from files
+or a checkpoint, which hold still; ``stored`` sees to that.
 ``with_facts`` checks that every number of a block has its fact and raises otherwise.
 """
 
@@ -32,8 +34,9 @@ from pyspark.sql import functions as F
 
 from tradeweave.plans.ordering import durable
 
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 24_000_000
 ROWS = 50_000  # rows to an Arrow batch that is handed back
+TOGETHER = 16  # documents that are packed as one, which takes less room
 
 SIGNS = frozenset(".,;:!?")
 
@@ -133,7 +136,7 @@ class _Block:
 
 
 def _blocks(
-    batches: Iterator[pa.RecordBatch], pattern: str, special: str | None
+    batches: Iterator[pa.RecordBatch], pattern: str, special: str | None, block_chars: int
 ) -> Iterator[tuple[int, _Block, list[list[int]] | None, pa.RecordBatch | None]]:
     """(block, its words, pre-token numbers by row, the rows) for runs of rows of one block, and
     once with None for the last two at the block's end."""
@@ -143,7 +146,7 @@ def _blocks(
         texts, start = batch.column("text"), 0
         found: list[list[int]] = []
         for k in range(batch.num_rows):
-            if block.chars >= BLOCK_CHARS:
+            if block.chars >= block_chars:
                 if found:
                     yield number, block, found, batch.slice(start, k - start)
                 yield number, block, None, None
@@ -169,36 +172,82 @@ def _texts(docs: DataFrame, text: str) -> Column:
     return F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text")
 
 
-def block_words(
-    docs: DataFrame, pattern: str, special: str | None = None, text: str = "text"
+def blocks(
+    docs: DataFrame,
+    pattern: str,
+    special: str | None = None,
+    key: str = "doc_id",
+    text: str = "text",
+    *,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """(at, word), dealt by word: the distinct pre-tokens of each block. One exchange serves both
-    the distinct words and the join back to the blocks."""
+    """(word, at, doc), dealt by word. Rows of words have no ``doc``; those of documents have the
+    block in ``at``, and in ``word`` a text that is no pre-token and the same for a block.
+
+    Three readers share this exchange. Spark sees that only if each of them asks for all columns of
+    it, so they do, and if no filter of theirs goes below it.
+    """
+    if letters_and_numbers(pattern).findall(_mark(0)) == [_mark(0)]:
+        raise ValueError("the pattern takes the mark of a block for a pre-token")
+    rows = docs.select(F.col(f"`{key}`").alias("id"), _texts(docs, text))
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, block, found, _ in _blocks(batches, pattern, special):
+        def out(word: pa.Array, at: np.ndarray, doc: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([word, pa.array(at), doc], names=["word", "at", "doc"])
+
+        def together(found: list[list[int]], batch: pa.RecordBatch) -> pa.StructArray:
+            every = np.concatenate([np.array(x, np.uint32) for x in found])
+            columns = [pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), batch.column(c)) for c in ("id", "n_bytes")]
+            columns += [pa.array([pack(x)], pa.binary()) for x in ([len(x) for x in found], every)]
+            return pa.StructArray.from_arrays(columns, ["ids", "n_bytes", "sizes", "packed"])
+
+        type_of = None
+        for number, block, found, batch in _blocks(batches, pattern, special, block_chars):
             if found is not None:
+                for at in range(0, len(found), TOGETHER):
+                    doc = together(found[at : at + TOGETHER], batch.slice(at, TOGETHER))
+                    type_of = doc.type
+                    yield out(pa.array([_mark(number)]), np.full(1, number, np.int64), doc)
                 continue
-            words = list(block.numbers)
+            words = list(block.numbers) if type_of is not None else []
             for at in range(0, len(words), ROWS):
                 part = words[at : at + ROWS]
                 places = (number << NUMBER_BITS) + np.arange(at, at + len(part), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(places), pa.array(part, pa.string())], names=["at", "word"]
-                )
+                yield out(pa.array(part, pa.string()), places, pa.nulls(len(part), type_of))
 
-    found = docs.select(_texts(docs, text)).mapInArrow(run, WORDS_SCHEMA)
-    # no word is null; a join on the word would put this filter below one of two equal exchanges
+    found = rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(
+        run, f"word string, at long, doc struct<ids:array<{kind}>,n_bytes:array<long>,sizes:binary,packed:binary>"
+    )
+    # no word is null; a join on the word would put this filter below one of several equal exchanges
     return found.where("word IS NOT NULL").repartition("word")
 
 
+def _mark(block: int) -> str:
+    return f"d0 {block}"
+
+
 def distinct_words(found: DataFrame) -> DataFrame:
-    """(word, blocks): the distinct words of ``block_words`` and in how many blocks each occurs.
+    """(word, blocks, documents): the distinct words of ``blocks`` and in how many blocks each occurs;
+    where ``documents`` is not 0 it is the mark of a block."""
+    return found.groupBy("word").agg(F.count("at").alias("blocks"), F.count("doc").alias("documents"))
+
+
+def only_words(batch: pa.RecordBatch) -> pa.Array:
+    """The words of a batch of ``distinct_words``."""
+    return batch.column("word").filter(pc.equal(batch.column("documents"), 0))
 
-    With that count this reads the very exchange that the join back reads; an exchange of the
-    word alone would be another one, and the documents would be split again.
-    """
-    return found.groupBy("word").agg(F.count("at").alias("blocks"))
+
+def places(found: DataFrame) -> DataFrame:
+    """(word, at) of the words of ``blocks``, and rows that join with no word."""
+    return found.select("word", F.when(F.col("doc").isNull(), F.col("at")).alias("at"))
+
+
+def _documents(found: DataFrame) -> DataFrame:
+    """(word, ids, n_bytes, sizes, packed) of the documents of ``blocks``, some to a row."""
+    # a condition that Spark can't foresee stays above the exchange
+    here = F.when(F.col("doc").isNull(), F.lit(False)).otherwise(F.monotonically_increasing_id() + F.col("at") >= 0)
+    return found.where(here).select("word", "doc.*")
 
 
 @cache
@@ -222,31 +271,6 @@ def unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def block_documents(
-    docs: DataFrame, pattern: str, special: str | None = None, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(block, id, n_bytes, packed): each document's pre-tokens in order."""
-    rows = docs.select(F.col(f"`{key}`").alias("id"), _texts(docs, text))
-    kind = rows.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, _, found, batch in _blocks(batches, pattern, special):
-            if found is not None:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(found), number, np.int64)),
-                        batch.column("id"),
-                        batch.column("n_bytes"),
-                        pa.array([pack(x) for x in found], pa.binary()),
-                    ],
-                    names=["block", "id", "n_bytes", "packed"],
-                )
-
-    return rows.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(
-        run, f"block long, id {kind}, n_bytes long, packed binary"
-    )
-
-
 def _packed_facts(facts: DataFrame) -> DataFrame:
     """Facts (at, fact: a whole number or a list of them) as a few rows per block; shorts hold
     numbers less SHIFT."""
@@ -290,21 +314,25 @@ def _packed_facts(facts: DataFrame) -> DataFrame:
 
 
 def with_facts(
-    documents: DataFrame,
+    found: DataFrame,
     facts: DataFrame,
     apply: Callable[[np.ndarray, np.ndarray, list[np.ndarray]], dict[str, pa.Array]],
     columns: str,
 ) -> DataFrame:
-    """A row per document: id, n_bytes and what ``apply`` returns for its block.
+    """A row per document of ``blocks``: id, n_bytes and what ``apply`` returns for its block, given
+    facts (at, fact).
 
     ``apply`` gets the facts of a block one after another, where each pre-token's end (a fact that
     is a list may be of any size), and the numbers of each document's pre-tokens; ``columns``
     names and types its results.
     """
-    kind = documents.schema["id"].dataType.simpleString()
+    documents = _documents(found)
+    kind = documents.schema["ids"].dataType.elementType.simpleString()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sequences = [unpack(x) for x in left.column("packed").to_pylist()]
+        sequences: list[np.ndarray] = []
+        for sizes, packed in zip(*(left.column(c).to_pylist() for c in ("sizes", "packed")), strict=True):
+            sequences += np.split(unpack(packed), np.cumsum(unpack(sizes))[:-1])
         rows = right.select(["numbers", "sizes", "facts"]).to_pylist()
         parts = [(np.cumsum(unpack(r["numbers"])), r["sizes"], unpack(r["facts"])) for r in rows]
         nothing = np.zeros(0, np.int64)
@@ -320,9 +348,11 @@ def with_facts(
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
         known = known[spread(starts[order], sizes[order])]
         more = apply(known, np.cumsum(sizes[order], dtype=np.int64), sequences)
-        return pa.table({"id": left.column("id"), "n_bytes": left.column("n_bytes"), **more})
+        ids, n_bytes = (left.column(c).combine_chunks().flatten() for c in ("ids", "n_bytes"))
+        return pa.table({"id": ids, "n_bytes": n_bytes, **more})
 
-    grouped = documents.groupBy("block").cogroup(_packed_facts(facts).groupBy("block"))
+    packed = _packed_facts(facts).withColumn("word", F.concat(F.lit(_mark(0)[:-1]), "block"))
+    grouped = documents.groupBy("word").cogroup(packed.groupBy("word"))
     return grouped.applyInArrow(run, f"id {kind}, n_bytes long, {columns}")
 
 
