@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from tests.llm.cases import AWKWARD, awkward, by_id, nothing
+from tests.llm.cases import AWKWARD, TYPES, awkward, by_id, nothing
 from tradeweave.llm import quality
 from tradeweave.llm.queries import op8_byte_network
 
@@ -39,6 +39,48 @@ def test_slopes_match_differences():
             assert np.isclose((up - down) / (2 * h), slope.reshape(-1)[i], rtol=0.02, atol=1e-5), name
 
 
+def plain_score(network, text):
+    """The network a byte, a filter and a chunk at a time."""
+    lead = quality.WIDTH - quality.STRIDE
+    numbers = [0] * lead + [b + 1 for b in text] + [0] * quality.WIDTH
+    numbers += [0] * (-len(numbers) % quality.STEP)
+    tops = []
+    for step in range(0, len(numbers), quality.STEP):
+        best = [0.0] * quality.FILTERS
+        for place in range(step, step + quality.STEP, quality.STRIDE):
+            seen = [numbers[place + k] if place + k < len(numbers) else 0 for k in range(quality.WIDTH)]
+            for f in range(quality.FILTERS):
+                value = float(network.bias[f])
+                for k, number in enumerate(seen):
+                    for v in range(quality.VECTOR):
+                        value += float(network.vectors[number][v]) * float(network.filters[k * quality.VECTOR + v][f])
+                best[f] = max(best[f], value)
+        tops.append(best)
+    chunks = [[max(pair) for pair in zip(a, b)] for a, b in zip(tops, tops[1:] + tops[-1:])]
+    means = [sum(c[f] for c in chunks) / len(chunks) for f in range(quality.FILTERS)]
+    features = means + [max(c[f] for c in chunks) for f in range(quality.FILTERS)]
+    odds = float(network.outer_bias[0]) + network.shift
+    for h in range(quality.HIDDEN):
+        inner = float(network.inner_bias[h]) + sum(x * float(network.inner[i][h]) for i, x in enumerate(features))
+        odds += max(inner, 0.0) * float(network.outer[h])
+    return 1 / (1 + np.exp(-odds))
+
+
+def test_scores_against_plain_loops():
+    network = quality.Network.fresh(5)
+    network.shift = 0.3
+    texts = [b"", b"q", "näïve text, with 日本語".encode(), b"some words " * 30, b"x" * 511]
+    assert np.allclose(network.scores(texts), [plain_score(network, t) for t in texts], atol=1e-5)
+
+
+def test_an_id_of_many_rows_is_collected_once(spark):
+    docs = spark.createDataFrame([(k % 3 + 1, f"text {k}", None, None, None) for k in range(300)], TYPES)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    few = docs.groupBy("doc_id").agg({"text": "min"}).withColumnRenamed("min(text)", "text")
+    a, b = (quality.train(df, labels).scores([b"text 5", b"other"]) for df in (docs, few))
+    assert (a == b).all()
+
+
 def test_every_part_of_a_text_counts(monkeypatch):
     network = quality.Network.fresh(3)
     texts = [b"abc " * 5000, b"abc " * 4990 + b"XYZ!" * 10, b"", b"q"]

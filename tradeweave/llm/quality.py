@@ -218,9 +218,9 @@ def train(
         pool = known.where((F.col("label") == value) & (place < int(share * (1 << 31))))
         drawn.append(pool.orderBy(*order).limit(SAMPLE))
     wanted = drawn[0].unionByName(drawn[1])  # 2 * SAMPLE rows at most
-    rows = texts.join(F.broadcast(wanted), "id").select("id", "label", "text").collect()
-    first = {r["id"]: r for r in sorted(rows, key=lambda r: r["text"], reverse=True)}  # one for each id
-    chosen = [first[i] for i in sorted(first)]
+    # one text for each id, so that an id of many rows is not collected as often
+    rows = texts.join(F.broadcast(wanted), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    chosen = sorted(rows.collect(), key=lambda r: r["id"])
     y = np.array([r["label"] for r in chosen], np.float32)
     odds = np.log(shares[1] / shares[0])
     if not 0 < y.sum() < len(y):
