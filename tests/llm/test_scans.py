@@ -240,6 +240,17 @@ def test_top_k_of_the_table(spark, monkeypatch, block, chunk):
     assert ranked(op7_bit_slices(spark, FOLDER)) == plain_top(sample("embeddings", "vec_id, embedding"), 20, 20)
 
 
+def test_rows_that_share_an_id_are_queries_each(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0]), (40, [-1.0, 0.5]), (None, [9.0, 9.0])]
+    found = ranked(bit_slices.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3, 20))
+    own, expected = rows[:-1], []
+    for i, (q, vector) in enumerate(own):
+        if q % 20 == 0:
+            scored = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(vector, v)), c) for j, (c, v) in enumerate(own) if j != i)
+            expected += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:3])]
+    assert found == sorted(expected)
+
+
 def test_top_k_with_ties_and_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [float(i % 3), -1.0, 0.0]) for i in range(60)]

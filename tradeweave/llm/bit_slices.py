@@ -9,14 +9,16 @@ vectors with the bit set are ahead of those without, and where the k-th falls am
 rest of the places go to the smallest ids (after O'Neil and Quass, "Improved Query Performance
 with Variant Indexes", 1997).
 
-Every block is searched by every chunk of queries, and the best k of each block are merged by a
-window per query, so no task sees more than one block and one chunk at a time.
+Rows are numbered, and blocks are runs of numbers. A block is sliced once, in the task that holds it,
+and the chunks of queries stream past it; so vectors are moved once, and what grows with blocks
+and queries is only the queries' share of the shuffle. With few blocks, each is held by several tasks
+that share the queries. The best k of each block are merged by a window per query.
 
 Cases: vectors that are null, or hold nulls or numbers that are not finite, take no part; a vector
-of another length than most raises an error; a query is not compared with rows of its own id; with
-fewer candidates than k all are returned; equal scores go to smaller ids; rows that repeat an id
-are candidates each; rows with a null id are left out; an empty table gives an empty result;
-columns other than the id and the vector are not read.
+of another length than most raises an error, and so does a component that leaves 64 bits; a query is
+not compared with its own row; with fewer candidates than k all are returned; equal scores go to
+smaller ids; rows that repeat an id are queries and candidates each; rows with a null id are left
+out; an empty table gives an empty result; columns other than the id and the vector are not read.
 """
 
 from collections.abc import Iterator
@@ -26,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradeweave.plans.ordering import durable
+from tradeweave.plans.ordering import counted
 
-BLOCK_ROWS = 16_384
+BLOCK_ROWS = 8192
 CHUNK_QUERIES = 128
 
 
@@ -59,9 +61,9 @@ def _bitmaps(flags: np.ndarray) -> np.ndarray:
 class Block:
     """The bit-sliced index of some vectors: ``slices[d]`` are the digits of dimension d."""
 
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
+    def __init__(self, ids: np.ndarray, values: np.ndarray, numbers: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order]
+        self.ids, self.values, self.numbers = ids[order], values[order], numbers[order]
         low = self.values.min(axis=0)
         shifted = (self.values - low).astype(np.uint64).T  # digits need whole positive numbers
         self.peak = [(1 << int(x).bit_length()) - 1 for x in shifted.max(axis=1)]
@@ -104,9 +106,9 @@ class Block:
         return total
 
     def best(self, total: np.ndarray, own: int, k: int) -> np.ndarray:
-        """The rows of the k best vectors, those of the query's own id left out."""
+        """The rows of the k best vectors, the query's own row left out."""
         left = self.everyone.copy()
-        for row in range(np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")):
+        for row in np.flatnonzero(self.numbers == own).tolist():
             left[row >> 6] &= ~np.uint64(1 << (row & 63))
         sure, missing = np.zeros_like(left), k
         for digit in total[::-1]:
@@ -131,19 +133,21 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, group: str) -> DataFrame:
-    """Vectors by group, as one row each: its ids and values as bytes."""
+    """Vectors by group, as one row each: numbers, ids and values as bytes."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy().astype("<i8")
+        ids, numbers = (table.column(c).to_numpy().astype("<i8") for c in ("id", "number"))
         vectors = table.column("vector").combine_chunks()
         sizes = np.diff(vectors.offsets.to_numpy())
         if len(set(sizes.tolist())) > 1:
             raise ValueError("the vectors differ in length")
         values = vectors.flatten().to_numpy()
-        values = values.astype(np.result_type(np.int16, *map(np.min_scalar_type, (values.min(), values.max()))))
+        ends = (values.min(), values.max()) if len(values) else (0,)
+        values = values.astype(np.result_type(np.int16, *map(np.min_scalar_type, ends)))
         return pa.table(
             {
                 group: table.column(group).slice(0, 1),
+                "numbers": pa.array([numbers.tobytes()], pa.binary()),
                 "ids": pa.array([ids.tobytes()], pa.binary()),
                 "width": pa.array([int(sizes[0])], pa.int32()),
                 "vectors": pa.array([values.tobytes()], pa.binary()),
@@ -151,7 +155,7 @@ def _packed(rows: DataFrame, group: str) -> DataFrame:
         )
 
     return rows.groupBy(group).applyInArrow(
-        run, f"{group} long, ids binary, width int, vectors binary"
+        run, f"{group} long, numbers binary, ids binary, width int, vectors binary"
     )
 
 
@@ -160,42 +164,40 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` vectors of the largest inner product with each
     query, the queries being the rows whose id is divisible by ``step``."""
-    rows = durable(
+    rows = counted(
         table.select(
             F.col(f"`{key}`").cast("long").alias("id"), quantised(F.col(f"`{vector}`"), scale).alias("vector")
-        ).where("id IS NOT NULL AND vector IS NOT NULL")
+        ).where("id IS NOT NULL AND vector IS NOT NULL"),
+        "number",
     )
-    count = rows.count()
-    queries = rows.where(F.col("id") % step == 0).groupBy("id").agg(F.min("vector").alias("vector"))
-    blocks = count // BLOCK_ROWS + 1
-    chunks = queries.count() // CHUNK_QUERIES + 1
-    dealt = F.xxhash64("id", "vector")
-    stored = _packed(rows.withColumn("block", F.pmod(dealt, F.lit(blocks)).cast("long")), "block")
-    asked = _packed(queries.withColumn("chunk", F.pmod(dealt, F.lit(chunks)).cast("long")), "chunk")
-    # each chunk of queries goes once to each block
-    visits = asked.select(
-        "chunk",
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1).cast("long"))).alias("block"),
-        F.col("ids").alias("query_ids"),
-        F.col("vectors").alias("query_vectors"),
-        F.col("width").alias("query_width"),
-    )
-    pairs = visits.join(stored, "block").repartition("block", "chunk")
+    asked = counted(rows.where(F.col("id") % step == 0), "place")
+    blocks = rows.count() // BLOCK_ROWS + 1
+    shares = max(1, 2 * table.sparkSession.sparkContext.defaultParallelism // blocks)
+    every_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1).cast("long"))).alias("block")
+    every_share = F.explode(F.sequence(F.lit(0), F.lit(shares - 1).cast("long"))).alias("share")
+    chunk = F.call_function("div", F.col("place"), F.lit(CHUNK_QUERIES)).cast("long")
+    block = F.call_function("div", F.col("number"), F.lit(BLOCK_ROWS)).cast("long")
+    what = ("numbers", "ids", "width", "vectors")
+    stored = _packed(rows.withColumn("block", block), "block").select("block", every_share, F.lit(-1).cast("long").alias("chunk"), *what)
+    visits = _packed(asked.withColumn("chunk", chunk), "chunk").select(every_block, F.col("chunk") % shares, "chunk", *what)
+    streams = stored.union(visits).repartition("block", "share").sortWithinPartitions("block", "share", "chunk")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built: tuple[int, Block] | None = None
+        built: tuple[int, Block, int] | None = None
         for batch in batches:
-            for k_row in range(batch.num_rows):
-                row = {n: batch.column(n)[k_row].as_py() for n in batch.schema.names}
-                if row["width"] != row["query_width"]:
-                    raise ValueError("the vectors differ in length")
-                if built is None or built[0] != row["block"]:
-                    built = (row["block"], Block(*_unpacked(row["ids"], row["vectors"], row["width"])))
-                ids, values = _unpacked(row["query_ids"], row["query_vectors"], row["width"])
-                yield _scored(built[1], ids, values, k)
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            for at in range(batch.num_rows):
+                row = {n: batch.column(n)[at].as_py() for n in batch.schema.names}
+                numbers, ids, values = _unpacked(row)
+                if row["chunk"] < 0:  # the block itself comes first
+                    if built is None or built[0] != row["block"]:
+                        built = row["block"], Block(ids, values, numbers), row["width"]
+                elif built is not None and built[0] == row["block"]:  # else a block without rows
+                    if row["width"] != built[2]:
+                        raise ValueError("the vectors differ in length")
+                    yield _scored(built[1], numbers, ids, values, k)
+
+    found = streams.mapInArrow(run, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
@@ -203,18 +205,22 @@ def top_k(
     )
 
 
-def _unpacked(ids: bytes, vectors: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids, "<i8")
-    kind = f"<i{len(vectors) // (len(own) * width)}"
-    return own, np.frombuffer(vectors, kind).astype(np.int64).reshape(len(own), width)
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    numbers, ids = np.frombuffer(row["numbers"], "<i8"), np.frombuffer(row["ids"], "<i8")
+    width = row["width"]
+    if not width:
+        return numbers, ids, np.zeros((len(ids), 0), np.int64)
+    kind = f"<i{len(row['vectors']) // (len(ids) * width)}"
+    return numbers, ids, np.frombuffer(row["vectors"], kind).astype(np.int64).reshape(len(ids), width)
 
 
-def _scored(block: Block, ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
-    asked, found, scores = [], [], []
-    for own, query in zip(ids.tolist(), queries, strict=True):
-        rows = block.best(block.totals(query), own, k)
-        asked.append(np.full(len(rows), own))
+def _scored(block: Block, numbers: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> pa.RecordBatch:
+    asked, own_ids, found, scores = [], [], [], []
+    for number, own, query in zip(numbers.tolist(), ids.tolist(), queries, strict=True):
+        rows = block.best(block.totals(query), number, k)
+        asked.append(np.full(len(rows), number))
+        own_ids.append(np.full(len(rows), own))
         found.append(block.ids[rows])
         scores.append(block.values[rows] @ query)
-    columns = (np.concatenate(x).astype(np.int64) for x in (asked, found, scores))
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+    columns = (np.concatenate(x).astype(np.int64) for x in (asked, own_ids, found, scores))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "vec_id", "score"])

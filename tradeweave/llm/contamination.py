@@ -9,7 +9,8 @@ A phrase is looked up in each segment by its rarest term there: that list, shift
 offset, is where the phrase may start, and the lists of the other terms, from rare to frequent,
 narrow it down. Proximity matches start from the rarest term likewise.
 
-Tests are read in parts of bounded size, so what is sent to the tasks has a bound too.
+Tests are read in parts of bounded size, one after another, so what the driver holds and what is sent
+to the tasks has a bound too.
 
 Cases: a null text has no words; a document without words has no hits; an item without words has
 no window, one of fewer words than a window is one window; equal items are found alike; repeated
@@ -201,16 +202,21 @@ def windows(words: list[bytes], size: int) -> set[tuple[bytes, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def parts(items: DataFrame, key: str, text: str) -> Iterator[list[tuple]]:
-    """(key as text, text) of all items, in parts of about PART_BYTES of text or one item."""
+def parts(items: DataFrame, key: str, text: str) -> tuple[int, Iterator[list[tuple]]]:
+    """How many parts there are, and (key as text, text) of the items of each in turn, about PART_BYTES
+    of text or one item. Distinct items suffice, as equal ones are found alike."""
     rows = items.select(
         F.col(f"`{key}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")
-    )
+    ).distinct()
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     count = total // PART_BYTES + 1
-    for k in range(count):
-        mine = rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == k)
-        yield [tuple(r) for r in mine.collect()]
+
+    def each() -> Iterator[list[tuple]]:
+        for k in range(count):
+            mine = rows.where(F.pmod(F.xxhash64("item", "body"), F.lit(count)) == k)
+            yield [tuple(r) for r in mine.collect()]
+
+    return count, each()
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -278,7 +284,7 @@ def _over_parts(found: list[DataFrame]) -> DataFrame:
     """What the parts of the items found, put together by document."""
     if len(found) == 1:
         return found[0]
-    rows = found[0]
+    rows = found[0]  # at least one
     for more in found[1:]:
         rows = rows.unionByName(more)
     gathered = rows.groupBy("segment", "place").agg(
@@ -310,11 +316,14 @@ def contaminated(
     """Per document: its key, n_words, n_hit, spans (stretches of hit words), items (whose windows
     occur), n_items, items_sha256 and contaminated (a hit, and hits at least 1/share of the words).
     """
-    tests = list(parts(items, item_key, item_text))
-    # with one part, its words bound what the index must hold
-    terms = {w for _, body in tests[0] for w in split_words(body)} if len(tests) == 1 else None
-    index = durable(build_index(docs, terms, key, text))
-    rows = _over_parts([_found_in(index, part, size) for part in tests])
+    count, tests = parts(items, item_key, item_text)
+    if count == 1:  # its words bound what the index must hold
+        (part,) = tests
+        index = build_index(docs, {w for _, body in part for w in split_words(body)}, key, text)
+        rows = _found_in(durable(index), part, size)
+    else:  # a part's result is stored before the next part is read
+        index = durable(build_index(docs, None, key, text))
+        rows = _over_parts([durable(_found_in(index, part, size)) for part in tests])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return rows.withColumn("n_hit", n_hit).select(
         F.col("id").alias(key),

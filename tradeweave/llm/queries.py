@@ -91,7 +91,7 @@ def op8_byte_network(spark: SparkSession, folder: str) -> DataFrame:
 
 def op9_skip_chain(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return personal.personal_data(docs, personal.train(docs)).drop("found", "settled")
+    return personal.personal_data(docs, personal.train(docs)).drop("found")
 
 
 def op10_positional_index(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,16 +147,16 @@ def llm_queries() -> dict[str, Query]:
 
 OP7_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
+    SELECT vec_id, row_number() OVER () AS line, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS whole
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, v.vec_id,
+    SELECT q.line, q.vec_id AS query_id, v.vec_id,
            CAST(list_sum(list_transform(list_zip(q.whole, v.whole), lambda p: p[1] * p[2])) AS BIGINT) AS score
-    FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id
+    FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.line <> v.line
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+SELECT query_id, CAST(row_number() OVER (PARTITION BY line ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
        vec_id, score
 FROM scored
 QUALIFY rank <= 20
