@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tradeweave.functions.rounding import cents, mean_money, percent, ratio
 from tradeweave.plans.grains import (
     category_lines,
+    delivered,
     item_sums,
     items_by_order,
     product_categories,
@@ -94,17 +95,11 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
         .groupBy("basket")
         .agg(rows().alias("orders"))
     )
-    later = F.transform(
-        "basket",
-        lambda a, i: F.transform(
-            F.slice("basket", i + 1, F.size("basket")),
-            lambda b: F.struct(a.alias("a"), b.alias("b")),
-        ),
-    )
+    # one category after another, each with itself and those behind it: rows, not a list of all pairs
+    firsts = baskets.select("orders", "basket", F.posexplode("basket").alias("place", "a"))
+    behind = F.slice("basket", F.col("place") + 1, F.size("basket"))
     pairs = (
-        baskets.select("orders", F.explode(F.flatten(later)).alias("pair"))
-        .groupBy("pair.a", "pair.b")
-        .agg(F.sum("orders").alias("orders"))
+        firsts.select("orders", "a", F.explode(behind).alias("b")).groupBy("a", "b").agg(F.sum("orders").alias("orders"))
     )
     own = F.max(F.when(F.col("a") == F.col("b"), F.col("orders"))).over(Window.partitionBy("a"))
     return (
@@ -124,16 +119,16 @@ def basket_pairs(star: Star, min_orders: int = 20, top: int = 20) -> DataFrame:
 def seller_state_summary(star: Star, *, dedupe_reviews: bool = False) -> DataFrame:
     """Sellers, orders and revenue per seller state; one row per state."""
     states = star.sellers.select("seller_id", "seller_state")
-    by_seller = items_by_order(star).groupBy("order_id", "seller_id").agg(*item_sums())
-    lines = by_seller.join(states, "seller_id")
-    orders = reviewed_orders(star, dedupe_reviews=dedupe_reviews)
-    sums = reviewed_sums(
-        lines,
-        orders,
-        "seller_state",
-        orders_counted=F.count_distinct("order_id"),
-        more=[F.count_distinct("seller_id").alias("sellers")],
+    added = ("items", "revenue", "score", "scored", "days", "timed")
+    sums = seller_sums(star, dedupe_reviews=dedupe_reviews).groupBy("seller_state").agg(
+        rows().alias("sellers"), *[F.sum(name).alias(name) for name in added]
     )
+    # an order counts once in a state, however many of its sellers are there
+    kept = delivered(star.orders).select("order_id")
+    sold = items_by_order(star).join(kept, "order_id", "left_semi").join(states, "seller_id")
+    counted = sold.groupBy("order_id", "seller_state").agg(rows().alias("lines")).groupBy("seller_state").agg(rows().alias("orders"))
+    # the states of both, null ones too
+    sums = sums.join(counted.withColumnRenamed("seller_state", "state"), F.col("seller_state").eqNullSafe(F.col("state")))
     return sums.select(
         "seller_state",
         F.col("sellers").alias("seller_count"),
