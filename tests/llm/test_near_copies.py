@@ -95,3 +95,30 @@ def test_stage_over_the_table(spark):
     keys = sorted(found)
     expected = {keys[k] for k in plain_groups([found[k] for k in keys])}
     assert {r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, docs, FOLDER).collect()} == expected
+
+
+def test_a_crowd_that_shares_a_passage(spark, monkeypatch):
+    """Texts with 0.6 of their shingles in common are told apart with few comparisons each, and the near
+    copies among them are found."""
+    draw = random.Random(4)
+    passage = [f"p{k}" for k in range(150)]
+    rows, pairs = [], 0
+    for k in range(400):
+        own = [f"o{draw.randrange(10**6)}" for _ in range(50)]
+        rows.append(" ".join(passage + own))
+        if k % 10 == 0:  # one word in the middle of its own part: 0.95 of the shingles stay
+            rows.append(" ".join([*passage, *own[:25], "changed", *own[26:]]))
+            pairs += 1
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(rows)], TYPES)
+    compared = []
+    plain = near_copies._pairs
+
+    def noted(crowd, done, pivots):
+        found = plain(crowd, done, pivots).persist()
+        compared.append(found.count())
+        return found
+
+    monkeypatch.setattr(near_copies, "_pairs", noted)
+    left = near_copies.without_near_copies(df).count()
+    assert len(rows) - pairs <= left <= len(rows) - 0.9 * pairs
+    assert sum(compared) < 50 * len(rows), compared
