@@ -8,6 +8,7 @@ from tradeweave.schemas import STAR
 
 # one row of totals, or one per weekday, whatever the input
 ROWS = {
+    "surrogate_keys": 2,
     "baseline_kpis": 1,
     "rfm_profile": 1,
     "order_heatmap": 7,

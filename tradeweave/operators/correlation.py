@@ -297,9 +297,9 @@ def _drawn_places(placed: DataFrame, size: int) -> DataFrame:
     def div(a: Column, b: Column) -> Column:
         return F.call_function("div", a, b)
 
-    total, end, count = F.col("total"), F.col("start") + F.col("fan") - 1, F.lit(size).cast("long")
+    total, end, count = F.col("total"), F.col("start") + F.col("fan"), F.lit(size).cast("long")
     low = F.greatest(div(F.col("start") * count, total) - 1, F.lit(0))
-    high = F.least(div(end * count, total) + 1, count - 1)
+    high = F.least(div(end * count, total), count - 1)
     first, after = div(F.col("stretch") * total, count), div((F.col("stretch") + 1) * total, count)
     place = first + F.pmod(F.col("stretch") * SPREAD % (1 << 32), after - first)
     return (

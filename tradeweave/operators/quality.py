@@ -100,7 +100,7 @@ def surrogate_keys(star: Mapping[str, DataFrame]) -> DataFrame:
         one = with_surrogate_key(star[table], table).groupBy(key).agg(rows().alias("copies"), F.sum(values[table]).alias("value"))
         found.append(
             one.agg(
-                F.sum("copies").alias("rows"),
+                F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
                 F.min(key).alias("lowest"),
                 F.max(key).alias("highest"),
                 rows().alias("numbers"),
