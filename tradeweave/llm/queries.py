@@ -29,6 +29,7 @@ SHARDS = 24
 TOKEN_LIMIT = 1024
 QUALITY_FROM = 0.3
 END_ID = 1
+ENCODED_CHARS = 30_000_000  # of a block of op6
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -76,7 +77,8 @@ def op5_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     ranks = byte_pairs.read_ranks(vocabulary("byte_bpe_multi_50k.tiktoken"))
-    return byte_pairs.encode(table(spark, folder, "documents"), ranks, token_counts.PATTERN)
+    docs = table(spark, folder, "documents")
+    return byte_pairs.encode(docs, ranks, token_counts.PATTERN, block_chars=ENCODED_CHARS)
 
 
 def op7_bit_slices(spark: SparkSession, folder: str) -> DataFrame:
