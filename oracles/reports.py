@@ -754,6 +754,9 @@ def _tables() -> dict[str, str]:
               {stamp("date_trunc('day', bought) + to_days(32)")} AS review_answer_timestamp
             FROM reviews JOIN facts USING (order_id, k)""",
         "surrogate_keys": f"""
+            SELECT {item_columns}, row_number() OVER (ORDER BY order_id, line, product_id,
+              seller_id, ship_by, price_c, freight_c, total_c) AS item_id FROM items""",
+        "surrogate_key_figures": f"""
             SELECT 'fact_order_items' AS "table", count(*) AS rows, 1 AS lowest, count(*) AS highest,
               count(*) AS numbers, {money('sum(total_c)')} AS value FROM items
             UNION ALL SELECT 'fact_payments', count(*), 1, count(*), count(*), {money('sum(value_c)')} FROM payments""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tradeweave.functions.rounding import cents, mean_money, ratio
 from tradeweave.plans.grains import rows
-from tradeweave.plans.ordering import counted
+from tradeweave.plans.ordering import counted, numbered
 from tradeweave.schemas import FOREIGN_KEYS, PRIMARY_KEYS, STAR, SURROGATE_KEYS
 
 
@@ -92,7 +92,24 @@ def with_surrogate_key(df: DataFrame, table: str) -> DataFrame:
     return counted(df, SURROGATE_KEYS[table])
 
 
+def numbered_rows(df: DataFrame, table: str) -> DataFrame:
+    """Every row of a table without a natural key, numbered from 1 in the order of its columns, nulls last.
+
+    The order takes in every column, so only identical rows could swap numbers; their place of arrival
+    still tells them apart and lets many copies spread over tasks.
+    """
+    arriving = df.withColumn("arrival", F.monotonically_increasing_id())
+    columns = [F.asc_nulls_last(f.name) for f in STAR[table].fields]
+    ordered = numbered(arriving, *columns, F.asc("arrival"))
+    return ordered.withColumnRenamed("position", SURROGATE_KEYS[table]).drop("n", "arrival")
+
+
 def surrogate_keys(star: Mapping[str, DataFrame]) -> DataFrame:
+    """Every order item with its number."""
+    return numbered_rows(star["fact_order_items"], "fact_order_items")
+
+
+def surrogate_key_figures(star: Mapping[str, DataFrame]) -> DataFrame:
     """Per numbered table: rows, smallest, largest and distinct numbers, and a sum of a value."""
     values = {"fact_order_items": "total_value", "fact_payments": "payment_value"}
     found = []
