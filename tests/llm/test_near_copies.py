@@ -122,3 +122,22 @@ def test_a_crowd_that_shares_a_passage(spark, monkeypatch):
     left = near_copies.without_near_copies(df).count()
     assert len(rows) - pairs <= left <= len(rows) - 0.9 * pairs
     assert sum(compared) < 50 * len(rows), compared
+
+
+def test_groups_of_fingerprints_are_candidates(spark, monkeypatch):
+    """Copies whose fingerprints link them are found by these alone; a group that is not similar is no link."""
+    draw = random.Random(6)
+    rows = []
+    for _ in range(20):
+        words = [f"w{draw.randrange(5000)}" for _ in range(300)]
+        rows += [" ".join(words), " ".join([*words, "end"])]
+    few = [f"r{k}" for k in range(5)]
+    rows += [" ".join(few * 60), " ".join(few * 60 + [f"s{k}" for k in range(6)])]  # nearly one fingerprint, sets far apart
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(rows)], TYPES)
+    assert kept(df) == sorted(set(plain_groups(rows)))
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    linked = [i for i, t in enumerate(rows[:40]) if groups[i] != i]
+    assert linked and groups[41] == 40
+    monkeypatch.setattr(near_copies, "_pairs", lambda crowd, done, pivots: crowd.select("node", "root").toDF("a", "b").limit(0))
+    left = kept(df)
+    assert not set(linked) & set(left) and {40, 41} <= set(left)

@@ -45,8 +45,8 @@ def padded(text: bytes) -> np.ndarray:
     A filter that reaches over the end of one document sees zeros, whichever document is next.
     """
     lead = WIDTH - STRIDE
-    out = np.zeros(-(-(lead + len(text) + WIDTH) // STEP) * STEP, np.int64)
-    out[lead : lead + len(text)] = np.frombuffer(text, np.uint8).astype(np.int64) + 1
+    out = np.zeros(-(-(lead + len(text) + WIDTH) // STEP) * STEP, np.int16)
+    out[lead : lead + len(text)] = np.frombuffer(text, np.uint8).astype(np.int16) + 1
     return out
 
 
