@@ -125,6 +125,30 @@ def test_all_models_at_once(spark):
     assert [m.cost for m in again] == pytest.approx([m.cost for m in models[:2]])
 
 
+def test_silhouettes_of_blocks_far_apart(spark, monkeypatch):
+    """The sums over blocks far apart are those over all pairs, from a small part of the distances."""
+    draw = np.random.default_rng(11)
+    middles, heap = draw.uniform(-40, 40, (12, 3)), draw.integers(0, 12, 6000)
+    points = middles[heap] + draw.normal(0, 0.3, (6000, 3))
+    points[:, 1] = np.round(points[:, 1])  # an axis of few values, and one cluster of a single point
+    points[0], heap[0] = 500.0, 12
+    distinct = kmeans.weighted(spark.createDataFrame(points.tolist(), "x double, y double, z double"), AXES).persist()
+    monkeypatch.setattr(kmeans, "BLOCK", 400)
+    far, apart = kmeans._far, []
+    models = [kmeans.Model(k, 0, np.vstack([middles[: k - 1], points[0]])) for k in (4, 9)]
+    for m, found in zip(models, kmeans.silhouettes(distinct, AXES, models)):
+        label = ((points[:, None] - m.centers) ** 2).sum(axis=2).argmin(axis=1)
+        assert found == pytest.approx(plain_silhouette(points, label), abs=1e-10)
+    monkeypatch.setattr(kmeans, "_far", lambda x, y, share, out: apart.append(len(x) * len(y)) or far(x, y, share, out))
+    blocks = [points[heap == h] for h in range(13)]
+    group = kmeans._Group(blocks, 1)
+    for y in blocks:
+        group.add(y, np.ones((len(y), 1)))
+    found, exact = group.whole()[:, 0], np.zeros((6000, 1))
+    far(np.concatenate(blocks), points, np.ones((6000, 1)), exact)
+    assert found == pytest.approx(exact[:, 0], rel=1e-10) and sum(apart) < 6000**2 / 2
+
+
 def test_a_job_a_turn(spark, monkeypatch):
     """However many models there are."""
     _, df = numbers(spark, 300)
