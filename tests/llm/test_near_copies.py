@@ -6,6 +6,7 @@ import re
 import corpus_pipeline
 from tests.llm.cases import FOLDER, TYPES, awkward, nothing, texts
 from tradeweave.llm import near_copies, simhash
+from tradeweave.plans import bloom
 
 
 def plain_shingles(text):
@@ -141,3 +142,32 @@ def test_groups_of_fingerprints_are_candidates(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "_pairs", lambda crowd, done, pivots: crowd.select("node", "root").toDF("a", "b").limit(0))
     left = kept(df)
     assert not set(linked) & set(left) and {40, 41} <= set(left)
+
+
+def test_only_texts_of_candidates_are_shuffled(spark, monkeypatch):
+    """Texts that share no band and no group stay where they are; what comes back has a row of each kept text."""
+    draw = random.Random(3)
+    rows = [" ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    rows += [text + " end" for text in rows[:5]] + [rows[9]]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(rows)], TYPES)
+    passed = []
+    plain = near_copies.likely
+
+    def noted(found, name, keys):
+        left = plain(found, name, keys)
+        if "text" in left.columns:
+            passed.append(left.count())
+        return left
+
+    monkeypatch.setattr(near_copies, "likely", noted)
+    assert kept(df) == list(range(300))
+    assert passed and max(passed) <= 20, passed
+
+
+def test_a_filter_loses_no_key(spark):
+    rows = spark.range(5000).selectExpr("nullif(id, 7) AS id", "id AS other")
+    keys = spark.range(0, 5000, 10).selectExpr("id * 3 AS id")
+    for bits in (64, 1 << 25):
+        found = {r["id"] for r in bloom.likely(rows, "id", keys, bits).collect()}
+        assert set(range(0, 5000, 30)) <= found
+    assert len(found) < 200 and bloom.likely(rows, "id", keys.limit(0)).count() == 0
