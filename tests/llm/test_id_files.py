@@ -99,3 +99,15 @@ def test_a_stretch_and_a_broken_file(tmp_path):
         assert (reader.ids(65_000, 140_000) == ids[65_000:140_000]).all() and len(reader.ids(5, 5)) == 0
         with pytest.raises(ValueError):
             id_files.Reader(file, size - 9)
+
+
+def test_texts_encoded_together(encoded, monkeypatch):
+    """One dictionary of bounded size; long pieces are not kept, and texts do not mix."""
+    own = id_files.by_library(MODEL)()
+    plain = ["Its words, its signs!!", "a" * 500 + " b", "", " ", "ÀÉ'll don't 12.34", "it'S Öl\n\nß?"]
+    every = [*plain, *odd_texts(100), "<|endoftext|> a", *plain]
+    for size in (3, 10**6):
+        monkeypatch.setattr(id_files, "REMEMBERED", size)
+        for _ in range(2):
+            assert [ids.tolist() for ids in own.many(every)] == [encoded(text)[:-1] for text in every]
+    assert own.pieces and max(map(len, own.pieces)) <= id_files.SHORT

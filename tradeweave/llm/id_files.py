@@ -13,10 +13,10 @@ A file, little-endian:
     blocks: place in the file, words, escapes, ids (8 bytes each)
     documents, blocks, place of the documents section (8 bytes each), magic
 
-Texts are encoded with the tokenizers library. White space separates pieces that its word-level
-vocabulary never joins, and most pieces occur again and again, so each task asks the library once
-per distinct piece and keeps a bounded number of answers. A piece of plain letters needs none of
-the library's normalising and goes to its byte-pair model at once (``_Encoder``).
+Texts are encoded with the tokenizers library, whose word-level vocabulary never joins two words of its
+splitter. Most words occur again and again, so each task asks the library's byte-pair model once per
+distinct word and keeps a bounded number of answers. Texts of ASCII and Latin-1 letters need of the
+library's normalising only small letters; what is beyond them passes through all of it (``_Encoder``).
 
 Documents are range-partitioned and sorted by key, so partition after partition and file after file
 hold ascending keys; how many ids precede a file follows from the list of files. Files lie in a
@@ -29,11 +29,11 @@ spreads over partitions; an empty table has no files and an empty result; other
 read.
 """
 
+import os
 import re
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +49,8 @@ from tradeweave.plans.ordering import checkpoint_folder, durable
 COUNTS = (1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 0
+FEW = 4  # at a part of the places of less than one in so many, selectors are tried one by one
+SHORT_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.int8)  # of small numbers
 
 MAGIC = b"TWIDS8b1"
 BLOCK_IDS = 1 << 16
@@ -68,20 +70,32 @@ def encode_block(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     escapes = ids[wide]
     values = np.where(wide, np.cumsum(wide).astype(np.uint64) - np.uint64(1), ids) if len(escapes) else ids
     # the narrowest selector that fits at each place; beyond the end anything fits
-    bits = np.frexp(values.astype(np.float64))[1].astype(np.int8)  # beyond 53 the width is 60 anyway
-    bits[wide] = WIDTHS[-1]
+    bits = np.zeros(n + max(COUNTS), np.int8)
+    if int(values.max()) < len(SHORT_BITS):
+        bits[:n] = SHORT_BITS[values.astype(np.int64)]
+    else:
+        bits[:n] = np.frexp(values.astype(np.float64))[1]  # beyond 53 the width is 60 anyway
+    bits[:n][wide] = WIDTHS[-1]
     best = np.full(n, len(COUNTS) - 1, np.int8)
     before = np.zeros(n + max(COUNTS), np.int32)  # numbers that are too wide before a place
+    places = None  # that the selector before fits at; a narrower one of more numbers fits at no others
     for selector in range(len(COUNTS) - 2, 0, -1):
         width, count = WIDTHS[selector], COUNTS[selector]
-        np.cumsum(bits > width, out=before[1 : n + 1])
-        if before[n] == n:
-            break  # narrower ones hold nothing either
-        before[n + 1 :] = before[n]
-        np.copyto(best, np.int8(selector), where=before[count : count + n] == before[:n])
+        if places is None:
+            np.cumsum(bits[:n] > width, out=before[1 : n + 1])
+            before[n + 1 :] = before[n]
+            fits = before[count : count + n] == before[:n]
+            np.copyto(best, np.int8(selector), where=fits)
+            if np.count_nonzero(fits) * FEW <= n:
+                places = np.flatnonzero(fits)
+        else:
+            places = places[(bits[places[:, None] + np.arange(count)] <= width).all(axis=1)]
+            best[places] = selector
+        if places is not None and not len(places):
+            break
     if len(escapes):
         best[wide] = ESCAPE
-    steps = np.array(COUNTS)[best].tolist()
+    steps = np.array(COUNTS, np.uint8)[best].tobytes()
     starts, at = [], 0
     while at < n:
         starts.append(at)
@@ -220,60 +234,90 @@ class Reader:
 
 # --- encoding
 
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")  # letters that normalising only lowers, and a sign
-REMEMBERED = 600_000  # pieces that a task keeps the ids of, and
-SHORT = 40  # no piece longer than this
-
-
-class _Pieces(dict):
-    """The ids of pieces, as bytes, worked out when first asked for."""
-
-    def __init__(self, work_out: Callable[[str], bytes]):
-        self.work_out = work_out
-
-    def __missing__(self, piece: str) -> bytes:
-        found = self.work_out(piece)
-        if len(piece) <= SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = found
-        return found
+PLAIN = re.compile("[ \\n!-~À-ÖØ-öø-ÿ]*")  # what normalising only lowers
+SPECIAL = "<|"  # how the library's added tokens begin
+#: the words of a plain text in small letters, as the library's splitter finds them
+WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\\[-`{-~]+")
+END_OF_WORD = "</w>"  # ends the last token of each word
+REMEMBERED = 500_000  # pieces that a task keeps the ids of, and
+SHORT = 40  # none longer than this
+TOGETHER = 1_000_000  # characters of texts that are encoded together
 
 
 class _Encoder:
-    """The ids of texts by the library, which is asked once per distinct piece between blanks.
+    """The ids of texts by the library, whose model is asked once per distinct word.
 
-    A blank or line break takes no part in normal forms and is dropped by the vocabulary's splitter, so
-    pieces can be encoded by themselves. The ids of a piece are kept as bytes, which join quickly.
+    White space is dropped by the library's splitter, so pieces between blanks can be encoded by themselves.
+    Those of plain texts are split here into the words that it finds, and the new words of several texts go to the
+    model together; the ids of pieces are kept as bytes, which join quickly. Of others (white space takes
+    no part in normal forms) the pieces that are not plain go through the whole library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
+        self.bare = Tokenizer(self.library.model)  # neither normalises nor splits words
+        self.bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.library.get_vocab().items() if token.endswith(END_OF_WORD)]] = True
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(0x41, 0x100) if PLAIN.fullmatch(chr(c))]
-        self.shown = {ord(x): byte_level.pre_tokenize_str(x.lower())[0][0] for x in letters}
-        self.cores, self.pieces, self.signs = map(_Pieces, (self._core, self._piece, self._by_library))
-
-    def _core(self, core: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(core)]).tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        plain = PLAIN.fullmatch(piece) if len(piece) <= SHORT else None
-        if plain is None:
-            return self._by_library(piece)
-        letters, sign = plain.groups()
-        found = self.cores[letters.translate(self.shown)]
-        return found + self.signs[sign] if sign else found
-
-    def _by_library(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        letters = [chr(c).lower() for c in range(0xC0, 0x100) if PLAIN.fullmatch(chr(c))]
+        signs = {(chr(b), sign) for x in letters for b, sign in zip(x.encode(), byte_level.pre_tokenize_str(x)[0][0], strict=True)}
+        self.shown = sorted((b, sign) for b, sign in signs if b != sign)  # bytes that the model has another sign for
+        self.pieces: dict[str, bytes] = {}
+
+    def _by_model(self, words: list[str]) -> list[bytes]:
+        """The ids of each word."""
+        text = " ".join(words).encode().decode("latin-1")
+        for byte, sign in self.shown:
+            text = text.replace(byte, sign)
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+        if len(ends) != len(words):
+            raise RuntimeError("the ids of the words cannot be told apart")
+        data, ends = ids.tobytes(), ends.tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, missing: set[str]) -> list[str]:
+        """Works out the ids of pieces; returns those that are too long to be kept."""
+        plain = {p for p in missing if PLAIN.fullmatch(p) and SPECIAL not in p}
+        split = {p: WORDS.findall(p) for p in plain if not p.isalpha()}
+        words = plain.difference(split).union(*split.values()).difference(self.pieces)
+        if words:
+            words = list(words)
+            self.pieces.update(zip(words, self._by_model(words), strict=True))
+        for piece, own in split.items():
+            self.pieces[piece] = b"".join([self.pieces[w] for w in own])
+        odd = missing - plain
+        for piece in odd:
+            self.pieces[piece] = np.array(self.library.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        return [p for p in {*words, *split, *odd} if len(p) > SHORT]
+
+    def _split(self, text: str) -> list[str]:
+        """The pieces of a text, plain ones in small letters."""
+        if PLAIN.fullmatch(text) and SPECIAL not in text:
+            return text.lower().split()
+        pieces = text.replace("\n", " ").split(" ")
+        return [p.lower() if PLAIN.fullmatch(p) and SPECIAL not in p else p for p in pieces]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; the model gets the new words of all of them together."""
+        split = [self._split(text) for text in texts]
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        found = [list(map(self.pieces.get, pieces)) for pieces in split]
+        places = [(n, k) for n, own in enumerate(found) if None in own for k, ids in enumerate(own) if ids is None]
+        long = self._learn({split[n][k] for n, k in places})
+        for n, k in places:
+            found[n][k] = self.pieces[split[n][k]]
+        for piece in long:
+            del self.pieces[piece]
+        return [np.frombuffer(b"".join(own), "<u4") for own in found]
 
     def __call__(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, pieces)), "<u4")
+        return self.many([text])[0]
 
 
 _encoders: dict[str, _Encoder] = {}  # of a Python worker, which serves one task after another
@@ -295,6 +339,18 @@ def by_library(path: str) -> Callable[[], Callable[[str], np.ndarray]]:
 FILE_TYPES = "part int, number int, path string, documents long, ids long, bytes long, earlier long"
 
 
+def _encoded(batch: pa.RecordBatch, many: Callable[[list[str]], list[np.ndarray]]) -> Iterator[tuple[int | None, np.ndarray]]:
+    """The key and ids of each row, some ``TOGETHER`` characters at a time."""
+    keys, texts = batch.column("key").to_pylist(), batch.column("text")
+    held, size = [], 0
+    for k in range(len(keys)):
+        held.append(texts[k].as_py())
+        size += len(held[-1])
+        if size >= TOGETHER or k + 1 == len(keys):
+            yield from zip(keys[k + 1 - len(held) : k + 1], many(held), strict=True)
+            held, size = [], 0
+
+
 def write_files(
     docs: DataFrame,
     make: Callable[[], Callable[[str], np.ndarray]],
@@ -309,7 +365,8 @@ def write_files(
     """Writes the ids of all texts in ascending order of the key (a whole number) and lists the files
     with the ids before each: (part, number, path, documents, ids, bytes, earlier: in its part, start).
 
-    ``make`` gives each task its function from text to ids; ``end`` is appended to each document.
+    ``make`` gives each task its function from text to ids, which may have a function ``many`` for several
+    texts at once; ``end`` is appended to each document.
     """
     folder = folder or f"{checkpoint_folder(docs.sparkSession)}/ids-{uuid.uuid4()}"
     rows = docs.select(
@@ -326,6 +383,7 @@ def write_files(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encode = TaskContext.get(), make()
+        many = getattr(encode, "many", lambda texts: [encode(text) for text in texts])
         files, root = filesystem(folder)
         files.create_dir(root, recursive=True)
         last = np.zeros(0, np.uint32) if end is None else np.array([end], np.uint32)
@@ -339,12 +397,11 @@ def write_files(
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            keys, texts = batch.column("key").to_pylist(), batch.column("text")
-            for k, one in enumerate(keys):
+            for one, ids in _encoded(batch, many):
                 if writer is None:
                     name = f"ids-{task.partitionId():06d}-{task.taskAttemptId()}-{number}.bin"
                     writer = Writer(files.open_output_stream(f"{root}/{name}"), block_ids)
-                writer.add(one, np.concatenate([encode(texts[k].as_py()), last]))
+                writer.add(one, np.concatenate([ids, last]))
                 if writer.ids >= file_ids:
                     yield closed()
                     writer, number, earlier = None, number + 1, earlier + writer.ids
