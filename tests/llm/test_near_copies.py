@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+
 import corpus_pipeline
 from tests.llm.cases import FOLDER, TYPES, awkward, nothing, texts
 from tradeweave.llm import near_copies, simhash
@@ -125,6 +127,55 @@ def test_a_crowd_that_shares_a_passage(spark, monkeypatch):
     assert sum(compared) < 50 * len(rows), compared
 
 
+def at_the_threshold(pairs):
+    """Pairs that share just 0.8 of their shingles, among texts that all share 0.75 with each other."""
+    draw = random.Random(12)
+    passage, rows = [f"p{k}" for k in range(172)], []
+    for _ in range(pairs):
+        own = [f"o{draw.randrange(10**6)}" for _ in range(28)]
+        other = [f"c{draw.randrange(10**6)}" if k in (4, 9, 14, 19, 27) else w for k, w in enumerate(own)]
+        rows += [" ".join(passage + own), " ".join(passage + other)]
+    return rows
+
+
+def test_no_link_is_lost_in_a_crowd(spark, monkeypatch):
+    """Near copies at the threshold in a crowd that shares nearly as much are all found, with few comparisons."""
+    rows = at_the_threshold(300)
+    groups = plain_groups(rows)
+    assert groups == [k // 2 * 2 for k in range(len(rows))]
+    compared = []
+    plain = near_copies._verified
+
+    def noted(pairs, texts):
+        compared.append(pairs.count())
+        return plain(pairs, texts)
+
+    monkeypatch.setattr(near_copies, "_verified", noted)
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(rows)], TYPES)
+    assert kept(df) == sorted(set(groups))
+    assert sum(compared) < 5 * len(rows), compared
+
+
+def test_similar_sets_share_first_shingles():
+    """Whatever shingles are common, similar sets share as many first ones as ``_counted`` asks for."""
+    draw = np.random.default_rng(5)
+    common = draw.integers(0, 256, near_copies.COUNTERS // 8, np.uint8)
+    similar = 0
+    for _ in range(2000):
+        whole = np.unique(draw.integers(0, 1 << 64, draw.integers(1, 300), np.uint64))
+        a, b = (whole[draw.random(len(whole)) >= draw.choice([0, 0.05, 0.1, 0.2])] for _ in range(2))
+        if not len(a) or not len(b) or not near_copies.similar(a, b):
+            continue
+        similar += 1
+        first = [near_copies.first_ones(x, common) for x in (a, b)]
+        both = set(first[0].tolist()) & set(first[1].tolist())
+        least = -(-4 * (len(a) + len(b)) // 9)
+        assert len(both) >= least - max(len(x) - len(f) for x, f in zip((a, b), first))
+        short = first[len(a) > len(b)]
+        assert both & set(short[: min(len(a), len(b)) // 9 + 1].tolist())
+    assert similar > 300
+
+
 def test_groups_of_fingerprints_are_candidates(spark, monkeypatch):
     """Copies whose fingerprints link them are found by these alone; a group that is not similar is no link."""
     draw = random.Random(6)
