@@ -160,6 +160,45 @@ def test_a_job_a_turn(spark, monkeypatch):
     assert asked[0] == 12 and sorted(asked, reverse=True) == asked and len(asked) < 100
 
 
+def test_nearest_centres():
+    """As by all distances, the first of equal ones."""
+    draw = np.random.default_rng(3)
+    x, centers = draw.integers(-3, 4, (500, 3)).astype(float), draw.integers(-3, 4, (7, 3)).astype(float)
+    squares = kmeans._squares(x, centers)
+    label, nearest = kmeans._nearest(x, centers)
+    assert (label == squares.argmin(axis=1)).all() and (nearest == squares.min(axis=1)).all()
+
+
+def test_sums_by_kinds():
+    """Sums of distances by a few kinds of points, spread over the clusters, are those by clusters."""
+    draw = np.random.default_rng(4)
+    x, far, y = draw.normal(0, 1, (300, 3)), draw.normal(90, 1, (300, 3)), draw.normal(0, 1, (900, 3))
+    kind, spread = draw.integers(0, 3, 900), np.repeat(np.eye(3), 4, axis=1)
+    share = np.eye(3)[kind] * draw.integers(1, 5, (900, 1))
+    one, other = kmeans._Group([x, far], 12), kmeans._Group([x, far], 12)
+    one.add(y, share, spread)
+    other.add(y, share @ spread)
+    assert one.grids and one.whole() == pytest.approx(other.whole(), rel=1e-12)
+
+
+def test_points_of_the_search_are_dealt_evenly(spark, monkeypatch):
+    """However few they are, all cores take part in each turn."""
+    people = spark.range(4000).selectExpr(
+        "cast(id AS string) AS customer_unique_id", "cast(id AS int) AS recency", "id % 7 AS frequency", "cast(id + 1 AS decimal(12,2)) AS monetary"
+    )
+    dealt = []
+
+    def noted(points, ks, starts):
+        dealt.append([r["n"] for r in points.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+        return [], None
+
+    monkeypatch.setattr(clusters, "rfm_base", lambda star: people)
+    monkeypatch.setattr(clusters, "_scored", noted)
+    clusters.search(Star({t: lambda df=spark.createDataFrame([], s): df for t, s in STAR.items()}))
+    cores = spark.sparkContext.defaultParallelism
+    assert len(dealt[0]) == cores and sum(dealt[0]) == 4000 and max(dealt[0]) < 2 * 4000 / cores
+
+
 def test_few_points(spark):
     kinds = "x double, y double, z double"
     nothing = kmeans.weighted(spark.createDataFrame([], kinds), AXES)

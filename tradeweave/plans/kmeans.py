@@ -16,7 +16,7 @@ task holds a few blocks and streams all others past them, so neither driver nor
 the sums for all models come from the same distances. Blocks near each other are compared point by
 point. Between blocks far apart the distance is so smooth that interpolation between a few nodes of each gives it
 to a billionth at most (``APART``; errors of either sign mostly cancel in the sums), below the eight digits that reports
-keep. From 60,000 to 120,000 points the time still grew about with the square (see the README).
+keep. How the time grows is measured in the README.
 """
 
 from collections.abc import Iterator, Sequence
@@ -33,7 +33,7 @@ from tradeweave.plans.ordering import durable, numbered
 CHUNK = 4096  # points that are compared with all centres at once
 BLOCK = 1024  # points of a block of the silhouette
 GROUPS, TOGETHER = 64, 32  # groups of blocks that are aimed at, and most blocks of a group
-STRIP = 256  # points whose distances from a block are held at once
+STRIP = 64  # points whose distances from a block are held at once
 #: nodes an axis, and from where on they do: distance of the middles of two blocks over the sum of their radii
 APART = {5: 30.0, 6: 12.0, 8: 4.0, 10: 3.0}
 TOLERANCE = 1e-4  # a model is done when none of its centres moves farther
@@ -65,6 +65,24 @@ def _squares(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return sum((x[:, i, None] - centers[:, i]) ** 2 for i in range(x.shape[1]))
 
 
+def _nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each point's nearest centre, the first of equal ones, and its squared distance; a centre at a
+    time, so that each step runs along the points."""
+    columns = np.ascontiguousarray(x.T)
+    label, best = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    squares, part, nearer = np.empty(len(x)), np.empty(len(x)), np.empty(len(x), bool)
+    for name, center in enumerate(centers):
+        for i, (column, at) in enumerate(zip(columns, center, strict=True)):
+            np.subtract(column, at, out=part)
+            np.multiply(part, part, out=part if i else squares)
+            if i:
+                squares += part
+        np.less(squares, best, out=nearer)
+        np.copyto(label, name, where=nearer)
+        np.minimum(best, squares, out=best)
+    return label, best
+
+
 # --- starts
 
 
@@ -129,12 +147,10 @@ def _sums(points: DataFrame, columns: Sequence[str], models: dict[int, Model]) -
         found = {name: np.zeros((len(c), len(columns) + 2)) for name, c in plan.items()}
         for batch in batches:
             for x, w in _points(batch, columns):
+                parts = [w, *(w * x[:, i] for i in range(x.shape[1]))]
                 for name, centers in plan.items():
-                    squares, n = _squares(x, centers), len(centers)
-                    label = squares.argmin(axis=1)
-                    cost = w * squares[np.arange(len(x)), label]
-                    parts = [w, *(w * x[:, i] for i in range(x.shape[1])), cost]
-                    found[name] += np.stack([np.bincount(label, p, n) for p in parts], axis=1)
+                    label, squares = _nearest(x, centers)
+                    found[name] += np.stack([np.bincount(label, p, len(centers)) for p in (*parts, w * squares)], axis=1)
         names = np.concatenate([np.full(len(c), name) for name, c in plan.items()])
         clusters = np.concatenate([np.arange(len(c)) for c in plan.values()])
         values = np.concatenate(list(found.values()))
@@ -263,7 +279,14 @@ class _Group:
             self.grids[order] = nodes, block, np.zeros((len(nodes), self.sums.shape[1]))
         return self.grids[order]
 
-    def add(self, y: np.ndarray, share: np.ndarray) -> None:
+    def add(self, y: np.ndarray, share: np.ndarray, spread: np.ndarray | None = None) -> None:
+        """Adds the distances from ``y`` by the columns of ``share``, or of ``share @ spread``."""
+
+        def far(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
+            found = np.zeros((len(x), share.shape[1]))
+            _far(x, y, share, found)
+            return found if spread is None else found @ spread
+
         middle, radius = _ball(y)
         apart = np.sqrt(((self.middles - middle) ** 2).sum(axis=1))
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -281,12 +304,10 @@ class _Group:
             grid, counts = _nodes(y, order)
             grid, moments = (grid, counts.T @ share) if 2 * len(grid) <= len(y) else (y, share)
             at = np.flatnonzero(chosen[block])
-            found = np.zeros((len(at), share.shape[1]))
-            _far(nodes[at], grid, moments, found)
-            sums[at] += found
+            sums[at] += far(nodes[at], grid, moments)
             left &= ~chosen
         for k in np.flatnonzero(left):
-            _far(self.blocks[k], y, share, self.sums[self.ends[k] - len(self.blocks[k]) : self.ends[k]])
+            self.sums[self.ends[k] - len(self.blocks[k]) : self.ends[k]] += far(self.blocks[k], y, share)
 
     def whole(self) -> np.ndarray:
         for order, (_, block, sums) in self.grids.items():
@@ -317,16 +338,24 @@ def silhouettes(points: DataFrame, columns: Sequence[str], models: Sequence[Mode
     width = int(last[-1])
 
     def labels(x: np.ndarray) -> list[np.ndarray]:
-        return [_squares(x, c).argmin(axis=1) for c in centers]
+        return [_nearest(x, c)[0] for c in centers]
+
+    def kinds(x: np.ndarray) -> np.ndarray:
+        """A number for each point, the same for points that are in the same clusters of all models."""
+        place = np.zeros(len(x), np.int64)
+        for label, c in zip(labels(x), centers, strict=True):
+            place = np.unique(place * len(c) + label, return_inverse=True)[1]
+        return place
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of coordinates and weights for each stretch of a block; blocks lie in order."""
+        """A row of coordinates, weights and kinds for each stretch of a block; blocks lie in order."""
         for batch in batches:
             if batch.num_rows:
                 block = batch.column("block").to_numpy()
                 values = np.stack([batch.column(c).to_numpy() for c in (*columns, WEIGHT)], axis=1)
                 starts = np.append(0, np.flatnonzero(np.diff(block)) + 1)
-                data = [values[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(block)), strict=True)]
+                own = [values[a:b] for a, b in zip(starts, np.append(starts[1:], len(block)), strict=True)]
+                data = [np.column_stack([v, kinds(v[:, :-1])]).tobytes() for v in own]
                 yield pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(data, pa.binary())], names=["block", "data"])
 
     stretches = durable(placed.mapInArrow(packed, "block long, data binary"))
@@ -340,7 +369,7 @@ def silhouettes(points: DataFrame, columns: Sequence[str], models: Sequence[Mode
 
         def finish() -> None:
             whole = np.concatenate(mine)
-            x, w, sums = whole[:, :-1], whole[:, -1], group.whole()
+            x, w, sums = whole[:, :-2], whole[:, -2], group.whole()
             for j, label in enumerate(labels(x)):
                 size, part = sizes[j], sums[:, last[j] - len(sizes[j]) : last[j]]
                 held = np.flatnonzero(size > 0)
@@ -361,7 +390,7 @@ def silhouettes(points: DataFrame, columns: Sequence[str], models: Sequence[Mode
         for batch in batches:
             tasks, owns, data = (batch.column(c).to_pylist() for c in ("task", "own", "data"))
             for name, is_own, values in zip(tasks, owns, data, strict=True):
-                part = np.frombuffer(values).reshape(-1, len(columns) + 1)
+                part = np.frombuffer(values).reshape(-1, len(columns) + 2)
                 if name != task:
                     if task is not None:
                         finish()
@@ -370,12 +399,18 @@ def silhouettes(points: DataFrame, columns: Sequence[str], models: Sequence[Mode
                     mine.append(part)
                     continue
                 if group is None:
-                    group = _Group([np.ascontiguousarray(m[:, :-1]) for m in mine], width)
-                y, w = np.ascontiguousarray(part[:, :-1]), part[:, -1]
-                share = np.zeros((len(y), width))
-                for j, label in enumerate(labels(y)):
-                    share[np.arange(len(y)), last[j] - len(centers[j]) + label] = w
-                group.add(y, share)
+                    group = _Group([np.ascontiguousarray(m[:, :-2]) for m in mine], width)
+                y, w = np.ascontiguousarray(part[:, :-2]), part[:, -2]
+                # neighbours are mostly of the same few kinds: a column for each of these, not for each cluster
+                _, first, place = np.unique(part[:, -1], return_index=True, return_inverse=True)
+                share, spread = np.zeros((len(y), len(first))), np.zeros((len(first), width))
+                share[np.arange(len(y)), place] = w
+                for j, label in enumerate(labels(y[first])):
+                    spread[np.arange(len(first)), last[j] - len(centers[j]) + label] = 1
+                if 2 * len(first) <= width:
+                    group.add(y, share, spread)
+                else:
+                    group.add(y, share @ spread)
         if task is not None:
             finish()
         yield pa.RecordBatch.from_arrays(
